@@ -1,8 +1,8 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from undula.llm import decontaminate, line_dedup, token_output
+from undula.llm import ann, decontaminate, line_dedup, packing, secrets, simhash, token_output
 
-_MODULES = (line_dedup, token_output, decontaminate)
+_MODULES = (simhash, secrets, packing, ann, line_dedup, token_output, decontaminate)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLE", {}).items()}
