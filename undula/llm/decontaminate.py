@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from undula.llm.shared import ascii_lower, broadcast_if_small, checkpointed, fresh_path, table
 
@@ -56,26 +57,29 @@ def phrase_matches(index: DataFrame, windows: DataFrame, vocabulary: DataFrame,
     if at least min_share of its terms stand within slop positions of their places,
     the rarest one exactly at its place.
     """
-    terms = checkpointed(
-        windows.select("window", "n", F.posexplode("words").alias("at", "term")).join(vocabulary, "term").select("window", "n", "at", "term_id")
-    )
+    exact = slop == 0 and min_share >= 1
+    terms = checkpointed(windows.select("window", "n", F.posexplode("words").alias("at", "term")).join(vocabulary, "term").drop("term"))
     asked = terms.select("term_id").distinct()
     frequency = checkpointed(index.join(broadcast_if_small(asked, BROADCAST_ROWS), "term_id").groupBy("term_id").agg(F.count("*").alias("df")))
-    ranked = terms.join(frequency, "term_id", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    # max(df) = 0 for some term means that the window occurs nowhere.
-    anchors = ranked.groupBy("window", "n").agg(F.min(F.struct("df", "at", "term_id")).alias("a")).where((F.col("a.df") > 0) | F.lit(min_share < 1))
-    anchors = checkpointed(anchors.select("window", "n", F.col("a.at").alias("at"), F.col("a.term_id").alias("term_id")))
-    found = index.join(broadcast_if_small(anchors, BROADCAST_ROWS), "term_id")
-    first = checkpointed(found.select("window", "n", "doc_id", (F.col("pos") - F.col("at")).alias("start")).where((F.col("start") >= 0) | F.lit(slop > 0)).distinct())
-    few = broadcast_if_small(first.select("doc_id").distinct(), BROADCAST_ROWS)
+    rarest_first = Window.partitionBy("window").orderBy("df", "at")
+    ranked = checkpointed(terms.join(frequency, "term_id", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", F.row_number().over(rarest_first)))
+    by_rank = lambda r: broadcast_if_small(ranked.where(F.col("rank") == r).select("window", "n", "at", "term_id"), BROADCAST_ROWS)
+    at_start = lambda rows: rows.select("window", "n", "doc_id", (F.col("pos") - F.col("at")).cast("int").alias("start"))
+    found = at_start(index.join(by_rank(1), "term_id"))
+    if exact:
+        # most places of the rarest term lack the second rarest: what its list leaves is short
+        second = ranked.where("rank = 2")
+        lists = index.join(broadcast_if_small(second.select("term_id").distinct(), BROADCAST_ROWS), "term_id", "left_semi")
+        pairs = found.where("n > 1 and start >= 0").join(by_rank(2).drop("n"), "window").withColumn("pos", F.col("start") + F.col("at")).drop("at")
+        both = pairs.join(lists, ["doc_id", "term_id", "pos"]).select("window", "n", "doc_id", "start")
+        found = both.unionByName(found.where("n = 1"))
+    first = checkpointed(found)
+    few = broadcast_if_small(checkpointed(first.select("doc_id").distinct()), BROADCAST_ROWS)
     near = index.where(F.col("term_id") != LENGTH).join(few, "doc_id", "left_semi")
     wanted = first.join(broadcast_if_small(terms.drop("n"), BROADCAST_ROWS), "window").withColumn("pos", F.col("start") + F.col("at"))
-    if slop == 0:
-        kept = wanted.join(near, ["doc_id", "term_id", "pos"])
-    else:
-        around = wanted.withColumn("pos", F.explode(F.sequence(F.col("pos") - slop, F.col("pos") + slop)))
-        kept = around.join(near, ["doc_id", "term_id", "pos"])
-    counted = kept.groupBy("window", "n", "doc_id", "start").agg(F.count_distinct("at").alias("n_found"))
+    if slop:
+        wanted = wanted.withColumn("pos", F.explode(F.sequence(F.col("pos") - slop, F.col("pos") + slop)))
+    counted = wanted.join(near, ["doc_id", "term_id", "pos"]).groupBy("window", "n", "doc_id", "start").agg(F.count_distinct("at").alias("n_found"))
     return counted.where(F.col("n_found") >= F.ceil(F.col("n") * F.lit(min_share)))
 
 
