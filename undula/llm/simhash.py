@@ -12,17 +12,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undula.llm.components import connected_components
-from undula.llm.shared import checkpointed, table
+from undula.llm.shared import broadcast_if_small, checkpointed, table
 
 SEED = 42
 #: In a table's bucket up to this size all links are returned, in a larger one those of a spanning forest.
 ALL_LINKS = 16
+#: Seeds of the word-set fingerprints of near_duplicates, and documents of a candidate group in a block.
+SEEDS, COMPARED = (42, 43, 44), 256
+#: Tables of document numbers up to so many rows are broadcast, longer ones joined by shuffles.
+BROADCAST_NODES = 500_000
 #: Fingerprints compared with one another at a time in a large bucket.
 BLOCK = 2048
 
@@ -180,6 +185,104 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _word_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, a, b, fp0 ...): 128 bits of the words in order, and fingerprints of the set of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                whole, each = xxhash.xxh3_128_intdigest(b" ".join(words)), list(set(words))
+                rows.append([whole >> 64, whole & ((1 << 64) - 1), *(fingerprint(each, s) for s in SEEDS)])
+            values = np.array(rows, np.uint64).reshape(-1, len(names) - 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c.copy()) for c in values.T)], names=names)
+
+    names = ["doc_id", "a", "b", *(f"fp{i}" for i in range(len(SEEDS)))]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def similar_in_block(rows: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the rows (node, set) whose sets have that Jaccard similarity."""
+    rows = rows.drop_duplicates("node").sort_values("node")
+    nodes, sets, root = rows["node"].tolist(), rows["set"].tolist(), list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i in range(len(nodes)):
+        for j in range(i + 1, len(nodes)):
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if small < similarity * large or find(i) == find(j):
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similarity * (small + large - both):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+                out.append((nodes[i], nodes[j]))
+    return out
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4) -> DataFrame:
+    """(doc_id, component_id) for every row of docs: groups of texts of that Jaccard similarity.
+
+    Candidates are found by covering tables over three fingerprints of a text's set of
+    words, any of which may differ in at most `radius` bits: an edited word moves one
+    word of the set but `shingle` shingles, so these fingerprints stay closer than
+    those of shingles. What candidates reach together is then compared exactly, by the
+    sets of `shingle`-word shingles, and only pairs of `similarity` or more are linked.
+    Texts of the same words in order are one node. component_id is the smallest doc_id
+    that links reach. Nulls, repeats, blank texts and empty tables: as
+    simhash_components has it; blank texts are copies of one another.
+
+    Candidate groups are cut into blocks of rows, and each two blocks of one group are
+    compared in a task of their own, so no task holds a whole group.
+    """
+    keyed = checkpointed(_word_sets(docs))
+    nodes = checkpointed(keyed.groupBy("a", "b").agg(F.min("doc_id").alias("node"), *[F.first(f"fp{i}").alias(f"fp{i}") for i in range(len(SEEDS))]))
+    named = nodes.where("node is not null")
+    near = connected_components(near_links(named, radius, len(SEEDS)))
+    near = near.join(near.groupBy("component").agg(F.count("*").alias("n")), "component")
+    blocks = F.ceil(F.col("n") / COMPARED).cast("int")
+    near = checkpointed(near.select("node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(words_of(t.as_py()), shingle)], np.uint64)).view(np.int64) for t in batch.column("text")]
+            kept = [batch.column(c) for c in ("node", "component", "blocks", "block")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.int64()))], names=["node", "component", "blocks", "block", "set"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(broadcast_if_small(near, BROADCAST_NODES), "node")
+    held = texts.select("node", "component", "blocks", "block", "text").mapInArrow(sets, "node long, component long, blocks int, block int, set array<long>")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = held.select("component", "node", "set", "block", other.alias("other")).select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "set")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(similar_in_block(rows, similarity), columns=["a", "b"]).astype("int64")
+
+    links = checkpointed(met.groupBy("component", "x", "y").applyInPandas(compare, "a long, b long"))
+    linked = connected_components(links)
+    groups = nodes.join(linked, "node", "left").select("a", "b", F.coalesce("component", "node").alias("component_id"))
+    return keyed.join(groups, ["a", "b"]).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4) -> DataFrame:
+    """docs with one document of each group of near duplicates, that of the smallest doc_id.
+
+    Of repeated rows with one doc_id one stays; rows without a doc_id all stay.
+    """
+    groups = checkpointed(near_duplicates(docs, similarity, shingle, radius))
+    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(broadcast_if_small(checkpointed(dropped), BROADCAST_NODES), "doc_id", "left_anti").select(docs.columns)
+    named = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    if named.where("n > 1").limit(1).count():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
