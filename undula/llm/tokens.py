@@ -3,64 +3,98 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 
+import numpy as np
 import public_tokenizers
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-#: A worker keeps the ids of at most so many distinct chunks, then starts anew; results don't depend on it.
+#: A worker keeps the ids of at most so many chunks seen repeatedly, and of as many recent ones; results don't depend on it.
 CACHED_CHUNKS = 300_000
-#: Chunks above this length are encoded each time.
+#: Chunks above this length are not kept.
 CACHED_CHARS = 60
+#: A word of Latin letters and the marks after it: one piece each, by the pattern of the tokenizer.
+WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
 _encoders: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
     """Encodes texts chunk by chunk, a chunk being what stands between blanks and line feeds.
 
-    For tokenizers whose pieces never span white space and which drop it: there the
-    ids of a text are those of its chunks, one after another.
+    For lower-casing tokenizers whose pieces never span white space, which drop it, and
+    which mark the last token of each piece: there the ids of a text are those of its
+    chunks, one after another, and words encoded together can be told apart.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        import numpy as np
+        self.tokenizer = Tokenizer.from_file(path)
+        # for words already in lower case, cut and composed: the same model without the steps that would do that
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
+        self.recent: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
+    def _each(self, chunks: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(chunks), 2000):
             out += [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks[i : i + 2000], add_special_tokens=False)]
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; none for a null or empty text."""
-        chunks = (text or "").replace("\n", " ").split(" ")
-        new = set(chunks).difference(self.known)
-        if not new:
-            return b"".join(map(self.known.__getitem__, chunks))
-        if len(self.known) > CACHED_CHUNKS:
-            self.known = {"": b""}
-            new = set(chunks).difference(self.known)
-        short = [x for x in new if len(x) <= CACHED_CHARS]
-        self.known.update(zip(short, self._ids(short), strict=True))
-        if len(short) == len(new):
-            return b"".join(map(self.known.__getitem__, chunks))
-        long = [x for x in new if len(x) > CACHED_CHARS]
-        held = dict(zip(long, self._ids(long), strict=True))
-        return b"".join(self.known[x] if x in self.known else held[x] for x in chunks)
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words that are one piece each, encoded as one text and cut after last tokens."""
+        if not words:
+            return []
+        ids = np.asarray(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts, whole = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()], ids.tobytes()
+        return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _encode(self, chunks: Iterable[str]) -> dict[str, bytes]:
+        plain, words, marks, other = [], [], [], []
+        for x in chunks:
+            if m := WORD_AND_MARKS.fullmatch(x):
+                plain.append(x)
+                words.append(m[1].lower())
+                marks.append(m[2])
+            else:
+                other.append(x)
+        unique = list(set(words))
+        ids = dict(zip(unique, self._words(unique), strict=True))
+        if len(self.marks) > CACHED_CHUNKS:
+            self.marks = {"": b""}
+        new = list(set(marks).difference(self.marks))
+        self.marks.update(zip(new, self._each(new), strict=True))
+        out = dict(zip(plain, map(bytes.__add__, map(ids.__getitem__, words), map(self.marks.__getitem__, marks)), strict=True))
+        out.update(zip(other, self._each(other), strict=True))
+        return out
 
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Like encode for each; chunks new to the worker are encoded together."""
-        texts = list(texts)
-        new = {x for t in texts if t for x in t.replace("\n", " ").split(" ") if len(x) <= CACHED_CHARS}.difference(self.known)
-        if len(self.known) + len(new) <= CACHED_CHUNKS:
-            new = list(new)
-            self.known.update(zip(new, self._ids(new), strict=True))
-        return [self.encode(t) for t in texts]
+        """The ids of each text as little-endian unsigned 32-bit integers; none for a null or empty text."""
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > CACHED_CHUNKS:
+            self.known = {"": b""}
+        known = self.known
+        new = set().union(*split).difference(known)
+        again = new.intersection(self.recent)
+        known.update((x, self.recent.pop(x)) for x in again)
+        fresh = self._encode(new - again)
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        for x in fresh:
+            del known[x]
+        short = {x: v for x, v in fresh.items() if len(x) <= CACHED_CHARS}
+        if len(self.recent) + len(short) > CACHED_CHUNKS:
+            self.recent = {}
+        if len(short) <= CACHED_CHUNKS:
+            self.recent.update(short)
+        return out
 
 
 def encoder(path: str = WORD_BPE) -> ChunkEncoder:
