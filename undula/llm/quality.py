@@ -72,6 +72,8 @@ def evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     if not fit.limit(1).count():
         return out
     counted = CountVectorizer(inputCol="_signs", outputCol="_v", vocabSize=VOCABULARY, minDF=MIN_DOCS, binary=True).fit(fit)
+    if not counted.vocabulary:  # too few labels for any sign to be in enough of them
+        return out
     fit, out = checkpointed(counted.transform(fit).drop("_signs")), counted.transform(_signed(docs)).drop("_signs")
     for name in ("low", "toxic"):
         known = fit.where(F.col(name).isNotNull())
@@ -114,7 +116,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     low) and toxic (1: toxic). Other columns are not read. A null text is an empty one;
     null hosts and paths are sites of their own; labels of other documents count for
     nothing. low and toxic are the classifiers' probabilities, 0 where labels show one
-    class only. prior is the path's shrunk rate of bad documents, posterior the
+    class only or are too few. prior is the path's shrunk rate of bad documents, posterior the
     probability that the document is bad; it is kept below `reject`. Repeated rows are
     classified each; an empty table gives no rows.
     """
