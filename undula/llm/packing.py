@@ -11,7 +11,6 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,7 @@ BLOCK_WINDOWS = 64
 #: Ids left free in each window of a block, so that near-equal windows fit in it.
 SLACK = 4
 #: Documents encoded at a time.
-ROWS = 256
+ROWS = 2000
 PIECE = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("start", T.LongType()),
@@ -188,7 +187,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = WORD_BPE, e
         raise ValueError("capacity must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer)
         packer = Packer(capacity, TaskContext.get().partitionId() << 33)
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -197,7 +196,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = WORD_BPE, e
         for whole in batches:
             for i in range(0, whole.num_rows, ROWS):
                 part = whole.slice(i, ROWS)
-                rows = [p for d, x in zip(part.column("doc_id").to_pylist(), enc.encode_all(part.column("text").to_pylist()), strict=True) for p in packer.add(d, x + end)]
+                ids, ends = enc.encode(part.column("text"), end_id)
+                whole_ids, places = ids.astype("<u4", copy=False).tobytes(), [0, *(4 * ends).tolist()]
+                rows = [p for d, a, b in zip(part.column("doc_id").to_pylist(), places, places[1:], strict=False) for p in packer.add(d, whole_ids[a:b])]
                 if rows:
                     yield batch(rows)
         if rows := list(packer.close()):

@@ -35,7 +35,7 @@ SCHEMA = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType())),
 ])
 #: Texts encoded at a time.
-ROWS = 256
+ROWS = 2000
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id: int = 1) -> None:
@@ -48,17 +48,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id:
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, start, end = encoder(tokenizer), TaskContext.get().partitionId(), 0, np.asarray([end_id], "<u4").tobytes()
+        enc, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
             for i in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(i, ROWS)
-                ids = [x + end for x in enc.encode_all(batch.column("text").to_pylist())]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(sizes)
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
+                ids, ends = enc.encode(batch.column("text"), end_id)
+                sizes = np.diff(ends, prepend=0)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(start + ends - sizes), pa.array(sizes), lists], names=SCHEMA.names
+                    [batch.column("doc_id"), pa.array(np.full(len(ends), part, np.int32)), pa.array(start + ends - sizes), pa.array(sizes), lists], names=SCHEMA.names
                 )
                 start += int(ends[-1])
 

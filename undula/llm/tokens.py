@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterable
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-#: A worker keeps the ids of at most so many chunks seen repeatedly, and of as many recent ones; results don't depend on it.
-CACHED_CHUNKS = 300_000
-#: Chunks above this length are not kept.
+#: A worker keeps the ids of at most so many pieces seen repeatedly, and of as many recent ones; results don't depend on it.
+CACHED = 300_000
+#: Pieces above this length are not kept.
 CACHED_CHARS = 60
 #: A word of Latin letters and the marks after it: one piece each, by the pattern of the tokenizer.
-WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
+WORD_AND_MARKS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)$"
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -38,14 +39,13 @@ class ChunkEncoder:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
         self.recent: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
 
-    def _each(self, chunks: list[str]) -> list[bytes]:
+    def _each(self, pieces: list[str]) -> list[bytes]:
         out = []
-        for i in range(0, len(chunks), 2000):
-            out += [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks[i : i + 2000], add_special_tokens=False)]
+        for i in range(0, len(pieces), 2000):
+            out += [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces[i : i + 2000], add_special_tokens=False)]
         return out
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -56,45 +56,49 @@ class ChunkEncoder:
         cuts, whole = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()], ids.tobytes()
         return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _encode(self, chunks: Iterable[str]) -> dict[str, bytes]:
-        plain, words, marks, other = [], [], [], []
-        for x in chunks:
-            if m := WORD_AND_MARKS.fullmatch(x):
-                plain.append(x)
-                words.append(m[1].lower())
-                marks.append(m[2])
-            else:
-                other.append(x)
-        unique = list(set(words))
-        ids = dict(zip(unique, self._words(unique), strict=True))
-        if len(self.marks) > CACHED_CHUNKS:
-            self.marks = {"": b""}
-        new = list(set(marks).difference(self.marks))
-        self.marks.update(zip(new, self._each(new), strict=True))
-        out = dict(zip(plain, map(bytes.__add__, map(ids.__getitem__, words), map(self.marks.__getitem__, marks)), strict=True))
-        out.update(zip(other, self._each(other), strict=True))
-        return out
+    def _ids_of(self, pieces: pa.Array, encode: Callable[[list[str]], list[bytes]]) -> np.ndarray:
+        """The ids of each piece, of which distinct ones are looked up and new ones encoded together."""
+        coded = pieces.dictionary_encode()
+        names, known, recent = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known, self.recent
+        if len(known) > CACHED:
+            known.clear()
+        found = list(map(known.get, names))
+        new = [x for x, v in zip(names, found) if v is None]
+        again = [x for x in new if x in recent]
+        known.update([(x, recent.pop(x)) for x in again])
+        new = [x for x in new if x not in known] if again else new
+        fresh = dict(zip(new, encode(new), strict=True))
+        if len(recent) + len(fresh) > CACHED:
+            recent.clear()
+        if len(fresh) <= CACHED:
+            recent.update((x, v) for x, v in fresh.items() if len(x) <= CACHED_CHARS)
+        held = np.empty(len(names), object)
+        held[:] = [v if v is not None else known[x] if x in known else fresh[x] for x, v in zip(names, found)]
+        return held[coded.indices.to_numpy()]
 
-    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; none for a null or empty text."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED_CHUNKS:
-            self.known = {"": b""}
-        known = self.known
-        new = set().union(*split).difference(known)
-        again = new.intersection(self.recent)
-        known.update((x, self.recent.pop(x)) for x in again)
-        fresh = self._encode(new - again)
-        known.update(fresh)
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        for x in fresh:
-            del known[x]
-        short = {x: v for x, v in fresh.items() if len(x) <= CACHED_CHARS}
-        if len(self.recent) + len(short) > CACHED_CHUNKS:
-            self.recent = {}
-        if len(short) <= CACHED_CHUNKS:
-            self.recent.update(short)
-        return out
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the unsigned 32-bit ids of all texts, end_id after each, and where each text's ids end.
+
+        A null or an empty text has end_id alone. Chunks are told apart and counted
+        once by Arrow; what is looked up and encoded are the distinct ones.
+        """
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        split = pc.extract_regex(coded.dictionary, WORD_AND_MARKS)
+        plain = pc.is_valid(split)
+        words, marks = (pc.struct_field(split, i).filter(plain) for i in (0, 1))
+        held, rest = np.empty(len(coded.dictionary), object), ~plain.to_numpy(zero_copy_only=False)
+        held[~rest] = self._ids_of(pc.utf8_lower(words), self._words) + self._ids_of(marks, self._each)
+        held[rest] = self._ids_of(coded.dictionary.filter(pc.invert(plain)), self._each)
+        held = held.tolist()
+        pool, size = np.frombuffer(b"".join(held), "<u4"), np.fromiter(map(len, held), np.int64, len(held)) // 4
+        start, at = np.cumsum(size) - size, coded.indices.to_numpy()
+        n = size[at]
+        last = np.cumsum(n)
+        ids = pool[np.repeat(start[at] - (last - n), n) + np.arange(last[-1] if len(last) else 0)]
+        chunks = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = last[np.cumsum(chunks) - 1] if len(last) else np.zeros(len(lists), np.int64)
+        return np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
 
 
 def encoder(path: str = WORD_BPE) -> ChunkEncoder:
