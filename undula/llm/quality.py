@@ -19,6 +19,8 @@ from undula.llm.shared import ascii_lower, broadcast_if_small, checkpointed, tab
 
 #: The classifiers are fitted on at most so many labelled documents, those with the smallest hashes.
 FIT_ROWS = 12_000
+#: Partitions of that bounded table, each round of fitting being a job over them, and rounds.
+FIT_PARTITIONS, FIT_ROUNDS = 6, 30
 #: Signs in the model, and the labelled documents that a sign must be in.
 VOCABULARY, MIN_DOCS = 20_000, 4
 #: Hosts and paths up to so many are joined by broadcast, more by a shuffle.
@@ -74,14 +76,14 @@ def evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     counted = CountVectorizer(inputCol="_signs", outputCol="_v", vocabSize=VOCABULARY, minDF=MIN_DOCS, binary=True).fit(fit)
     if not counted.vocabulary:  # too few labels for any sign to be in enough of them
         return out
-    fit, out = checkpointed(counted.transform(fit).drop("_signs")), counted.transform(_signed(docs)).drop("_signs")
+    fit, out = checkpointed(counted.transform(fit).drop("_signs").coalesce(FIT_PARTITIONS)), counted.transform(_signed(docs)).drop("_signs")
     for name in ("low", "toxic"):
         known = fit.where(F.col(name).isNotNull())
         if known.select(name).distinct().limit(2).count() < 2:
             out = out.withColumn(f"_{name}", F.lit(0.0))
             continue
         columns = {"probabilityCol": "_p", "rawPredictionCol": "_r", "predictionCol": "_d"}
-        model = LogisticRegression(featuresCol="_v", labelCol=name, regParam=REGULARISATION, elasticNetParam=1.0, maxIter=60, standardization=False, **columns).fit(known)
+        model = LogisticRegression(featuresCol="_v", labelCol=name, regParam=REGULARISATION, elasticNetParam=1.0, maxIter=FIT_ROUNDS, tol=1e-4, standardization=False, **columns).fit(known)
         out = model.transform(out).withColumn(f"_{name}", vector_to_array("_p")[1]).drop(*columns.values())
     return out.drop("_v")
 
