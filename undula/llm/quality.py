@@ -9,14 +9,21 @@ own evidence with the prior of its path.
 
 from __future__ import annotations
 
+import math
+import string
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm.shared import ascii_lower, broadcast_if_small, checkpointed, table
+from undula.llm.shared import broadcast_if_small, checkpointed, table
 
+MARKS, SPACE, DIGITS, UPPER_CASE = string.punctuation.encode(), b" \t\n\x0b\x0c\r", string.digits.encode(), string.ascii_uppercase.encode()
+#: All of ASCII but digits and lower-case letters becomes a blank.
+NO_MARKS = bytes(c if c > 127 or chr(c) in string.digits + string.ascii_lowercase else 32 for c in range(256))
 #: The classifiers are fitted on at most so many labelled documents, those with the smallest hashes.
 FIT_ROWS = 12_000
 #: Partitions of that bounded table, each round of fitting being a job over them, and rounds.
@@ -31,26 +38,26 @@ REGULARISATION = 0.002
 REJECT = 0.5
 
 
-def signs(text: Column) -> Column:
-    """What the classifiers see: words without their punctuation, and what kinds of marks, case and length the text has."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.array_distinct(F.split(F.trim(F.regexp_replace(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), " ", -1))
-    n = F.greatest(F.char_length(text), F.lit(1))
-    share = lambda pattern: F.floor(F.log2(F.lit(1) + 255 * (n - F.char_length(F.regexp_replace(text, pattern, ""))) / n)).cast("string")
-    marks = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|\s|[^\s!-/:-@\[-`{-~])([!-/:-@\[-`{-~]{1,4})(?=\s|$)"), F.lit(1)))
-    shapes = F.array(
-        F.concat(F.lit("\x01upper "), share("[A-Z]")),
-        F.concat(F.lit("\x01digit "), share("[0-9]")),
-        F.concat(F.lit("\x01mark "), share(r"[!-/:-@\[-`{-~]")),
-        F.concat(F.lit("\x01space "), share(r"\s")),
-        F.concat(F.lit("\x01length "), F.floor(F.log2(n) / 2).cast("string")),
-        F.concat(F.lit("\x01repeats "), F.least(F.floor(F.log2(F.greatest(F.size(F.split(text, r"\s+", -1)) / F.size(words), F.lit(1.0)))), F.lit(4)).cast("string")),
-    )
-    return F.concat(words, F.transform(marks, lambda m: F.concat(F.lit("\x01"), m)), shapes)
+def signs(text: str | None) -> set[bytes]:
+    """What the classifiers see: words without their marks, and what marks, case, length and repetition the text has."""
+    raw = (text or "").encode()
+    words, n = raw.lower().translate(NO_MARKS).split(), max(len(raw), 1)
+    each = set(words)
+    marks = {t[len(t.rstrip(MARKS)) :] for t in set(raw.split())}
+    share = lambda kind: int(math.log2(1 + 255 * (n - len(raw.translate(None, kind))) / n))
+    shapes = {"upper": share(UPPER_CASE), "digit": share(DIGITS), "mark": share(MARKS), "space": share(SPACE), "length": int(math.log2(n) / 2), "repeats": min(4, int(math.log2(max(len(words), 1) / max(len(each), 1))))}
+    return each | {b"\x01" + m for m in marks if 0 < len(m) <= 4} | {f"\x01{k} {v}".encode() for k, v in shapes.items()}
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_signs", signs(F.col("text"))).drop("text")
+    """rows (text, low, toxic) with _signs in the place of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([[x.decode(errors="replace") for x in sorted(signs(t.as_py()))] for t in batch.column("text")], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([found, batch.column("low"), batch.column("toxic")], names=["_signs", "low", "toxic"])
+
+    return rows.select("text", "low", "toxic").mapInArrow(run, "_signs array<string>, low double, toxic double")
 
 
 def logit(p: Column) -> Column:
@@ -67,25 +74,46 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     )
 
 
-def evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """docs with _low and _toxic, the probabilities that the classifiers give."""
+def fit_heads(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict[str, tuple[float, dict[bytes, float]]]:
+    """For low and toxic, the intercept and the weights of signs; heads whose labels show one class only, or too few, are left out."""
     fit = checkpointed(_signed(labelled(docs, labels, fit_rows)))
-    out = docs.withColumns({"_low": F.lit(0.0), "_toxic": F.lit(0.0)}).drop("text")
     if not fit.limit(1).count():
-        return out
+        return {}
     counted = CountVectorizer(inputCol="_signs", outputCol="_v", vocabSize=VOCABULARY, minDF=MIN_DOCS, binary=True).fit(fit)
-    if not counted.vocabulary:  # too few labels for any sign to be in enough of them
-        return out
-    fit, out = checkpointed(counted.transform(fit).drop("_signs").coalesce(FIT_PARTITIONS)), counted.transform(_signed(docs)).drop("_signs")
+    if not counted.vocabulary:
+        return {}
+    fit, heads = checkpointed(counted.transform(fit).drop("_signs").coalesce(FIT_PARTITIONS)), {}
     for name in ("low", "toxic"):
         known = fit.where(F.col(name).isNotNull())
-        if known.select(name).distinct().limit(2).count() < 2:
-            out = out.withColumn(f"_{name}", F.lit(0.0))
-            continue
-        columns = {"probabilityCol": "_p", "rawPredictionCol": "_r", "predictionCol": "_d"}
-        model = LogisticRegression(featuresCol="_v", labelCol=name, regParam=REGULARISATION, elasticNetParam=1.0, maxIter=FIT_ROUNDS, tol=1e-4, standardization=False, **columns).fit(known)
-        out = model.transform(out).withColumn(f"_{name}", vector_to_array("_p")[1]).drop(*columns.values())
-    return out.drop("_v")
+        if known.select(name).distinct().limit(2).count() == 2:
+            model = LogisticRegression(featuresCol="_v", labelCol=name, regParam=REGULARISATION, elasticNetParam=1.0, maxIter=FIT_ROUNDS, tol=1e-4, standardization=False).fit(known)
+            heads[name] = (float(model.intercept), {w.encode(): float(c) for w, c in zip(counted.vocabulary, model.coefficients.toArray()) if c})
+    return heads
+
+
+def evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, _host, _path, _low, _toxic) for docs (doc_id, text, _host, _path): the probabilities that the classifiers give."""
+    heads = fit_heads(docs, labels, fit_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list[float]] = {"low": [], "toxic": []}
+            for text in batch.column("text"):
+                found = signs(text.as_py())
+                for name, column in out.items():
+                    if name in heads:
+                        start, weights = heads[name]
+                        total = start + sum(map(weights.__getitem__, found & weights.keys()))
+                        column.append(1 / (1 + math.exp(-max(-700.0, min(700.0, total)))))
+                    else:
+                        column.append(0.0)
+            kept = [batch.column(c) for c in names[:3]]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(out[k], pa.float64()) for k in out)], names=names)
+
+    names = ["doc_id", "_host", "_path", "_low", "_toxic"]
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in names[:3]] + ["_low double", "_toxic double"])
+    return docs.select("doc_id", "text", "_host", "_path").mapInArrow(run, schema)
 
 
 def site_priors(rows: DataFrame) -> DataFrame:
