@@ -144,3 +144,15 @@ def test_empty_panels(spark):
     e = walk(spark).where("false")
     for f in (panel.lag1_pairs, panel.zscored, panel.global_signal, moments.correlation_matrix, panel.regress_global_signal):
         assert f(e).count() == 0
+
+
+def test_q_values():
+    assert np.allclose(patterns.storey_q([0.01, 0.02, 0.03, 0.04]), np.full(4, 0.04) * 0.25 / 1, atol=0.04)
+    p = np.random.default_rng(0).uniform(size=400)
+    assert (patterns.storey_q(p) >= p * 0.5).all()
+
+
+def test_seed_frames_are_the_highest(spark):
+    p = spark.range(100).select(F.lit(1).alias("s"), F.lit(1).alias("channel"), F.col("id").alias("t"), F.col("id").cast("double").alias("value"))
+    assert sorted(r["t"] for r in patterns.seed_frames(p, [1], ["s"]).collect()) == list(range(85, 100))
+    assert patterns.seed_frames(p, [1], ["s"], most=3).count() == 3

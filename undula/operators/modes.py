@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undula.functions.columns import safe_corr, wrap_phase
 from undula.functions.dense import band_pass, forward_backward, lasso, modes, refit, spline_matrix
 
 Keys = Sequence[str]
@@ -153,12 +154,13 @@ def engagement(panel: DataFrame, keys: Keys, vectors: np.ndarray, n_channels: in
     return panel.groupBy(*keys).applyInPandas(run, _schema(panel, keys, "mode_idx int, b_mean double, b_var double"))
 
 
-def forecasts(panel: DataFrame, keys: Keys, vectors: np.ndarray, n_channels: int, pairs: Sequence[int], sparse: float | None = None) -> DataFrame:
+def forecasts(panel: DataFrame, keys: Keys, vectors: np.ndarray, n_channels: int, pairs: Sequence[int], sparse: float | None = None, kernel: float | None = None) -> DataFrame:
     """(keys, model, n_modes, r2, loss): one-step forecasts of a session's last fifth, fitted on what is before.
 
     model: modes (with each number of conjugate pairs), null (one coefficient),
-    persistence, and sparse (null plus row-wise lasso of its residual) where a weight is
-    given. r2: mean over channels of 1 - SSE / SST about the held-out mean. loss: mean
+    persistence, sparse (null plus row-wise lasso of its residual) where a weight is
+    given, and kernel (null plus the residual averaged by Gaussian weights of the
+    distance, the median distance times kernel / 50 wide) where a width is given. r2: mean over channels of 1 - SSE / SST about the held-out mean. loss: mean
     of SSE over the null model's.
     """
 
@@ -182,6 +184,11 @@ def forecasts(panel: DataFrame, keys: Keys, vectors: np.ndarray, n_channels: int
             rest, g = x - a * y, y @ y.T / cut
             theta = np.stack([lasso(g, y @ row / cut, sparse) for row in rest])
             sse["sparse", 0] = ((xt - (a * np.eye(n_channels) + theta) @ yt) ** 2).sum(1)
+        if kernel is not None:
+            rest, d2 = x - a * y, np.maximum((y * y).sum(0)[:, None] + (yt * yt).sum(0)[None] - 2 * y.T @ yt, 0)
+            width = max(np.median(np.sqrt(d2)) * kernel / 50, 1e-300)
+            w = np.exp(-(d2 - d2.min(0)) / (2 * width * width))
+            sse["kernel", 0] = ((xt - a * yt - rest @ (w / w.sum(0))) ** 2).sum(1)
         ok = (sst > 0) & (sse["null", 0] > 0)
         out = [(m, k, float((1 - e[ok] / sst[ok]).mean()) if ok.any() else 0.0, float((e[ok] / sse["null", 0][ok]).mean()) if ok.any() else 0.0) for (m, k), e in sse.items()]
         return pd.DataFrame(out, columns=["model", "n_modes", "r2", "loss"]).assign(**{k: rows[k].iat[0] for k in keys})[[*keys, "model", "n_modes", "r2", "loss"]]
@@ -206,3 +213,32 @@ def phase_coupling(modes_: DataFrame) -> DataFrame:
     first = cells.select("mode_idx", "c", F.posexplode("c").alias("n", "a"))
     each = first.select("mode_idx", "a", F.explode(F.slice("c", F.col("n") + 2, F.size("c"))).alias("b"))
     return each.select("mode_idx", F.col("a.channel").alias("i"), F.col("b.channel").alias("j"), F.cos(F.col("a.phase") - F.col("b.phase")).alias("coupling"))
+
+
+def global_coupling(panel: DataFrame, keys: Keys, vectors: np.ndarray, n_channels: int) -> DataFrame:
+    """(keys, mode_idx, r, share): correlation of the mean over channels with each mode's part of it, and |r| as a share of all modes'."""
+    v, mean = np.linalg.pinv(vectors), vectors.mean(0)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        channels, times, values = _matrix(rows)
+        x = np.zeros((n_channels, len(times)))
+        x[channels - 1] = values
+        signal, parts = x.mean(0), ((v @ x) * mean[:, None]).real
+        sd = signal.std() * parts.std(1)
+        r = np.divide(((parts - parts.mean(1, keepdims=True)) * (signal - signal.mean())).mean(1), sd, out=np.zeros(len(parts)), where=sd > 0)
+        return pd.DataFrame({**{k: rows[k].iat[0] for k in keys}, "mode_idx": np.arange(1, len(r) + 1), "r": r, "share": np.abs(r) / max(np.abs(r).sum(), 1e-300)})
+
+    return panel.groupBy(*keys).applyInPandas(run, _schema(panel, keys, "mode_idx int, r double, share double"))
+
+
+def lag_projection(modes_: DataFrame) -> DataFrame:
+    """(mode_idx, channel, lag): mean over the other channels of the wrapped phase difference."""
+    p = modes_.select("mode_idx", "channel", F.atan2("im", "re").alias("phase"))
+    every = p.groupBy("mode_idx").agg(F.collect_list(F.struct("channel", "phase")).alias("c"))  # a row of channels
+    each = every.select("mode_idx", "c", F.explode("c").alias("a")).select("mode_idx", "a", F.explode("c").alias("b")).where("a.channel <> b.channel")
+    return each.groupBy("mode_idx", F.col("a.channel").alias("channel")).agg(F.avg(wrap_phase(F.col("a.phase") - F.col("b.phase"))).alias("lag"))
+
+
+def feature_course(frames: DataFrame, features: DataFrame, keys: Keys = ()) -> DataFrame:
+    """(keys, t, feature, r): correlation over channels of each frame (keys, channel, t, value) with each feature (feature, channel, weight)."""
+    return frames.join(features, "channel").groupBy(*keys, "t", "feature").agg(safe_corr(F.col("value"), F.col("weight")).alias("r"))

@@ -9,8 +9,11 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from undula.functions.dense import leading_communities
+from undula.operators.panel import zscored
+from undula.operators.statistics import midpoint_percentile
 
 
 def row_vectors(matrix: DataFrame, value: str = "r") -> DataFrame:
@@ -49,6 +52,35 @@ def communities(matrix: DataFrame, value: str = "r") -> DataFrame:
     return matrix.sparkSession.createDataFrame(pd.DataFrame({"i": nodes, "community": found}))
 
 
+def seed_frames(panel: DataFrame, seeds: list[int], keys: list[str], percent: float = 85, most: int = 200, seed: int = 1) -> DataFrame:
+    """(keys, t) of frames whose mean over seed channels is above that percentile of the session; of more than `most`, those with the smallest hashes."""
+    signal = panel.where(F.col("channel").isin(*seeds)).groupBy(*keys, "t").agg(F.avg("value").alias("value"))
+    above = signal.join(midpoint_percentile(signal, "value", percent, keys), keys).where(F.col("value") > F.col("percentile"))
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64(*keys, "t", F.lit(seed)))
+    return above.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select(*keys, "t")
+
+
+def coactivation_patterns(panel: DataFrame, seeds: list[int], keys: list[str], k: int = 8, replicates: int = 5) -> DataFrame:
+    """(cluster, n, pattern): k-means centres, in channel order, of the z-scored frames that seed_frames picks."""
+    scored = zscored(panel, keys)
+    frames = scored.join(seed_frames(scored, seeds, keys), [*keys, "t"]).groupBy(*keys, "t").agg(F.array_sort(F.collect_list(F.struct("channel", "value"))).alias("c"))
+    found = clusters(frames.select(*keys, "t", array_to_vector(F.transform("c", lambda x: x["value"])).alias("row")), k, replicates, seed=684)
+    each = found.select("cluster", F.posexplode(vector_to_array("row")).alias("p", "x")).groupBy("cluster", "p").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    return each.groupBy("cluster").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda v: v["x"]).alias("pattern"))
+
+
+def storey_q(p: np.ndarray) -> np.ndarray:
+    """q-values of a bounded list of p-values; the share of true nulls is the least over the grid 0.05 .. 0.9 of mean(p > l) / (1 - l)."""
+    p = np.asarray(p, float)
+    grid = np.arange(0.05, 0.91, 0.05)
+    nulls = min(1.0, max(min((p > g).mean() / (1 - g) for g in grid), 1 / max(len(p), 1)))
+    order = np.argsort(p)
+    q = nulls * p[order] * len(p) / np.arange(1, len(p) + 1)
+    out = np.empty(len(p))
+    out[order] = np.minimum.accumulate(q[::-1])[::-1]
+    return np.minimum(out, 1)
+
+
 def max_t_permutations(spark, x: np.ndarray, y: np.ndarray, n: int = 10_000, seed: int = 1) -> DataFrame:
     """(permutation, max_t): largest |t| over columns of x of its regression on y, y permuted; x, y: subjects by variables, bounded tables."""
     x, y = x - x.mean(0), y - y.mean()

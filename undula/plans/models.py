@@ -59,10 +59,10 @@ def mode_engagement(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def forecast_cv(spark: SparkSession, d: str) -> DataFrame:
-    """L-10 to L-13: forecasts of each label's last fifth by modes, the null, persistence and a sparse model."""
+    """L-10 to L-14: forecasts of each label's last fifth by modes, the null, persistence, a sparse and a kernel model."""
     panel = labelled_panel(spark, d)
     vectors, _, _ = O.fit_group(O.session_moments(panel, ["label"], CHANNELS), CHANNELS, LOW, HIGH)
-    return O.forecasts(panel, ["label"], vectors, CHANNELS, [k for k in (1, 2, 4) if 2 * k <= vectors.shape[1]], sparse=0.01)
+    return O.forecasts(panel, ["label"], vectors, CHANNELS, [k for k in (1, 2, 4) if 2 * k <= vectors.shape[1]], sparse=0.01, kernel=20.0)
 
 
 @query
@@ -109,3 +109,30 @@ def fc_gradients(spark: SparkSession, d: str) -> DataFrame:
 def fc_communities(spark: SparkSession, d: str) -> DataFrame:
     """L-30."""
     return C.communities(_full_fc(spark, d))
+
+
+@query
+def global_signal_coupling(spark: SparkSession, d: str) -> DataFrame:
+    """L-18."""
+    panel = labelled_panel(spark, d)
+    vectors, _, _ = O.fit_group(O.session_moments(panel, ["label"], CHANNELS), CHANNELS, LOW, HIGH)
+    return O.global_coupling(panel, ["label"], vectors[:, :10], CHANNELS)
+
+
+@query
+def mode_lag_projection(spark: SparkSession, d: str) -> DataFrame:
+    """L-32."""
+    return O.lag_projection(group_modes(spark, d).where("mode_idx in (1, 3, 5)"))
+
+
+@query
+def feature_time_course(spark: SparkSession, d: str) -> DataFrame:
+    """L-34, L-35: a reconstruction's frames against the mean pattern of each label."""
+    features = labelled_panel(spark, d).groupBy(F.col("label").alias("feature"), "channel").agg(F.avg("value").alias("weight"))
+    return O.feature_course(mode_reconstruction(spark, d), features)
+
+
+@query
+def coactivation_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """L-25, B-19."""
+    return C.coactivation_patterns(labelled_panel(spark, d), [3, 35], ["label"], k=4, replicates=2)
