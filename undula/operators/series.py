@@ -31,9 +31,10 @@ def dfc_std(sliding: DataFrame, keys: Keys = ()) -> DataFrame:
 def excursion(sliding: DataFrame, keys: Keys = (), alpha: float = 0.9, beta: float = 1.0) -> DataFrame:
     """(keys, i, j, excursion): sum over runs on one side of the median of run length^alpha times the run's greatest rho^beta.
 
-    Samples equal to the median are runs of their own side.
+    Samples equal to the median, to nine digits, are runs of their own side.
     """
     group = [*keys, "i", "j"]
+    sliding = sliding.withColumn("rho", F.round("rho", 9))
     mid = sliding.groupBy(*group).agg(F.median("rho").alias("_m"))
     by = Window.partitionBy(*group).orderBy("t")
     signed = sliding.join(mid, group).withColumn("_s", F.signum(F.col("rho") - F.col("_m")))

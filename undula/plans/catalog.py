@@ -190,8 +190,8 @@ def dfc_std(spark: SparkSession, d: str) -> DataFrame:
     return S.dfc_std(hourly_sliding(spark, d)).select("i", "j", r("dfc_std").alias("dfc_std"))
 
 
-@query(f"""WITH {PANEL}, {PAIRS}, {SLIDE}, m AS (SELECT i, j, median(rho) AS m FROM slide GROUP BY 1, 2),
-s AS (SELECT q.i, q.j, q.t, q.rho, sign(q.rho - m.m) AS s FROM slide q JOIN m ON q.i = m.i AND q.j = m.j),
+@query(f"""WITH {PANEL}, {PAIRS}, {SLIDE}, near AS (SELECT i, j, t, round(rho, 9) AS rho FROM slide), m AS (SELECT i, j, median(rho) AS m FROM near GROUP BY 1, 2),
+s AS (SELECT q.i, q.j, q.t, q.rho, sign(q.rho - m.m) AS s FROM near q JOIN m ON q.i = m.i AND q.j = m.j),
 c AS (SELECT *, CASE WHEN s <> lag(s) OVER (PARTITION BY i, j ORDER BY t) THEN 1 ELSE 0 END AS c FROM s),
 u AS (SELECT *, sum(c) OVER (PARTITION BY i, j ORDER BY t) AS run FROM c),
 e AS (SELECT i, j, run, count(*) AS n, max(rho) AS top FROM u GROUP BY 1, 2, 3)
