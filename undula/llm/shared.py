@@ -23,11 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     cluster that would not be shared, so it is refused there.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        if not sc.master.startswith("local"):
+        if sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="undula-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 
