@@ -76,3 +76,21 @@ def test_communities_of_two_blocks():
 @pytest.mark.parametrize("step", [0.024, 0.1])
 def test_response_sums_to_one(step):
     assert dense.hrf(step).sum() == pytest.approx(1)
+
+
+def test_tails_of_distributions():
+    assert dense.student_p(2, 10) == pytest.approx(2 * (1 - 0.9633059826), abs=1e-8)
+    assert dense.fisher_p(3, 2, 10) == pytest.approx(1 - 0.9046325684, abs=1e-8)
+
+
+def test_contrasts_equal_the_long_formulas():
+    rng = np.random.default_rng(0)
+    x = np.column_stack([np.ones(50), rng.standard_normal((50, 2))])
+    y = x @ [1.0, 0.5, 0.0] + rng.standard_normal(50)
+    b = np.linalg.lstsq(x, y, rcond=None)[0]
+    s2, c = ((y - x @ b) ** 2).sum() / 47, np.array([0, 1.0, 0])
+    m = (x.T @ x, x.T @ y, y @ y, 50)
+    t, p, df = dense.contrast_t(*m, c)
+    assert df == 47 and t == pytest.approx(b[1] / np.sqrt(s2 * np.linalg.inv(x.T @ x)[1, 1]))
+    f, pf, df1, df2 = dense.contrast_f(*m, c[:, None])
+    assert (df1, df2) == (1, 47) and f == pytest.approx(t * t) and pf == pytest.approx(p)

@@ -156,3 +156,12 @@ def test_seed_frames_are_the_highest(spark):
     p = spark.range(100).select(F.lit(1).alias("s"), F.lit(1).alias("channel"), F.col("id").alias("t"), F.col("id").cast("double").alias("value"))
     assert sorted(r["t"] for r in patterns.seed_frames(p, [1], ["s"]).collect()) == list(range(85, 100))
     assert patterns.seed_frames(p, [1], ["s"], most=3).count() == 3
+
+
+def test_residuals_and_contrasts(spark):
+    x = spark.range(40).select(F.lit(1.0).alias("one"), F.col("id").cast("double").alias("x"), (3 + 2 * F.col("id") + F.pmod("id", F.lit(2))).cast("double").alias("y"))
+    r = statistics.residualised(x, ["one", "x"], "y").toPandas()
+    assert abs(r["residual"].sum()) < 1e-6 and abs((r["residual"] * r["x"]).sum()) < 1e-5
+    t = statistics.glm_contrast(x, ["one", "x"], "y", [0, 1], 2.0).first()
+    assert t["df"] == 38 and abs(t["t"]) < 1
+    assert statistics.glm_f(x, ["one", "x"], "y", [[0, 1]]).first()["p"] < 1e-20

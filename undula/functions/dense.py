@@ -116,3 +116,51 @@ def leading_communities(weights: np.ndarray) -> np.ndarray:
             number += 1
             out[part] = number
     return out
+
+
+def beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    from math import exp, lgamma, log
+
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) / a
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
+    h = d
+    for m in range(1, 500):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + term * d or 1e-300)
+            c = 1 + term / c or 1e-300
+            h *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * h
+
+
+def student_p(t: float, df: float) -> float:
+    """Two-sided p of a t value."""
+    return float(beta_share(df / (df + t * t), df / 2, 0.5))
+
+
+def fisher_p(f: float, df1: float, df2: float) -> float:
+    """Upper-tail p of an F value."""
+    return float(beta_share(df2 / (df2 + df1 * f), df2 / 2, df1 / 2)) if f > 0 else 1.0
+
+
+def contrast_t(xx: np.ndarray, xy: np.ndarray, yy: float, n: int, c: np.ndarray, d: float = 0.0) -> tuple[float, float, int]:
+    """(t, p, df) of c'b = d in a linear model, from its second moments."""
+    inverse = np.linalg.pinv(xx)
+    b, df = inverse @ xy, n - int(np.linalg.matrix_rank(xx))
+    t = (c @ b - d) / np.sqrt(max(yy - b @ xy, 0) / df * (c @ inverse @ c))
+    return float(t), student_p(t, df), df
+
+
+def contrast_f(xx: np.ndarray, xy: np.ndarray, yy: float, n: int, c: np.ndarray) -> tuple[float, float, int, int]:
+    """(F, p, df1, df2) of C'b = 0: the model against the one reduced to X (I - C C+), from second moments."""
+    keep = np.eye(len(xx)) - c @ np.linalg.pinv(c)
+    rss = lambda m: yy - (m.T @ xy) @ np.linalg.pinv(m.T @ xx @ m) @ (m.T @ xy)
+    p, p2 = int(np.linalg.matrix_rank(xx)), int(np.linalg.matrix_rank(keep.T @ xx @ keep))
+    f = ((rss(keep) - rss(np.eye(len(xx)))) / (p - p2)) / (rss(np.eye(len(xx))) / (n - p))
+    return float(f), fisher_p(f, p - p2, n - p), p - p2, n - p

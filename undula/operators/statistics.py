@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from undula.functions.columns import ci95
+from undula.functions.dense import contrast_f, contrast_t
 
 Keys = Sequence[str]
 
@@ -125,3 +127,31 @@ def midpoint_percentile(rows: DataFrame, value: str, percent: float, keys: Keys
 def exceedance(observed: DataFrame, permuted: DataFrame, keys: Keys, statistic: str = "t", largest: str = "max_t") -> DataFrame:
     """(keys, p): share of permutations whose largest magnitude exceeds the observed magnitude, without adding one."""
     return observed.join(permuted, list(keys)).groupBy(*keys).agg(F.avg((F.col(largest) > F.abs(statistic)).cast("double")).alias("p"))
+
+
+def design_moments(rows: DataFrame, x: list[str], y: str) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """(X'X, X'y, y'y, n) of the rows without nulls: one aggregation, of which the driver sees the sums."""
+    products = [F.sum(F.col(a) * F.col(b)) for a in [*x, y] for b in [*x, y]]
+    known = rows.select(*[F.col(c).cast("double").alias(c) for c in [*x, y]]).dropna()
+    *sums, n = known.agg(*[F.coalesce(p, F.lit(0.0)).alias(f"p{i}") for i, p in enumerate(products)], F.count("*").alias("n")).first()
+    m = np.array(sums).reshape(len(x) + 1, -1)
+    return m[:-1, :-1], m[:-1, -1], float(m[-1, -1]), n
+
+
+def glm_contrast(rows: DataFrame, x: list[str], y: str, contrast: list[float], value: float = 0.0) -> DataFrame:
+    """One row (t, p, df): the contrast of a linear model's coefficients against a value; give a column of ones for an intercept."""
+    t, p, df = contrast_t(*design_moments(rows, x, y), np.array(contrast, float), value)
+    return rows.sparkSession.createDataFrame([(t, p, df)], "t double, p double, df long")
+
+
+def glm_f(rows: DataFrame, x: list[str], y: str, contrasts: list[list[float]]) -> DataFrame:
+    """One row (f, p, df1, df2): all contrasts (one list for each) at once."""
+    f, p, df1, df2 = contrast_f(*design_moments(rows, x, y), np.array(contrasts, float).T)
+    return rows.sparkSession.createDataFrame([(f, p, df1, df2)], "f double, p double, df1 long, df2 long")
+
+
+def residualised(rows: DataFrame, x: list[str], y: str) -> DataFrame:
+    """rows with `residual`: y less its least-squares fit on the columns x; null where a value is missing."""
+    xx, xy, _, _ = design_moments(rows, x, y)
+    b = np.linalg.pinv(xx) @ xy
+    return rows.withColumn("residual", F.col(y) - sum((F.col(c) * float(v) for c, v in zip(x, b, strict=True)), F.lit(0.0)))

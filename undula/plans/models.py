@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from undula.operators import modes as O
 from undula.operators import moments as M
 from undula.operators import patterns as C
+from undula.operators import statistics as T
 from undula.sources.tables import embedding_panel, read
 
 CHANNELS = 64
@@ -136,3 +137,24 @@ def feature_time_course(spark: SparkSession, d: str) -> DataFrame:
 def coactivation_patterns(spark: SparkSession, d: str) -> DataFrame:
     """L-25, B-19."""
     return C.coactivation_patterns(labelled_panel(spark, d), [3, 35], ["label"], k=4, replicates=2)
+
+
+@query
+def glm_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """L-41, L-42: price on quantity and discount; the discount's coefficient."""
+    x = read(spark, d, "lineitem").withColumn("one", F.lit(1.0))
+    return T.glm_contrast(x, ["one", "l_quantity", "l_discount"], "l_extendedprice", [0, 0, 1])
+
+
+@query
+def glm_f_test(spark: SparkSession, d: str) -> DataFrame:
+    """L-43: quantity and discount at once."""
+    x = read(spark, d, "lineitem").withColumn("one", F.lit(1.0))
+    return T.glm_f(x, ["one", "l_quantity", "l_discount"], "l_extendedprice", [[0, 1, 0], [0, 0, 1]])
+
+
+@query
+def covariate_residuals(spark: SparkSession, d: str) -> DataFrame:
+    """L-40: prices less their fit on quantity."""
+    x = read(spark, d, "lineitem").withColumn("one", F.lit(1.0))
+    return T.residualised(x, ["one", "l_quantity"], "l_extendedprice").select("l_orderkey", "l_linenumber", "residual")
