@@ -105,6 +105,24 @@ def test_near_duplicates_are_dropped(spark):
     assert sorted(kept, key=lambda x: (x is None, x)) == [9, 13, 14, None]
 
 
+def test_near_duplicates_equal_brute_force_for_added_cut_and_long_copies(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    words, rows = lambda n: list(rng.choice(vocabulary, n)), []
+    for k in range(12):
+        base = words(300)
+        rows += [(100 * k, base), (100 * k + 1, base + words(55)), (100 * k + 2, base[45:]), (100 * k + 3, base + words(150))]
+    for k in range(12, 16):
+        base = words(8000)
+        rows += [(100 * k, base), (100 * k + 1, [str(rng.choice(vocabulary)) if rng.random() < 0.015 else w for w in base])]
+    family = words(200)
+    rows += [(5000 + i, family + words(int(20 + i % 7))) for i in range(60)] + [(6000 + i, words(40)) for i in range(100)]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, [(d, " ".join(w)) for d, w in rows])).collect()}
+    assert got == plain_components(sorted(sets), alike)
+
+
 def test_secrets_equal_brute_force(spark, sf_dir, given):
     def base(text):
         found = [("assign", *m.span()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
