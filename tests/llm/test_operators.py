@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import pathlib
 import re
 import zlib
 
@@ -300,6 +301,17 @@ def test_licences_by_digest(spark):
     assert got == {1: ("MIT", ["MIT"]), 2: (None, ["MIT"]), 3: (None, []), 4: (None, []), 5: (None, []), 6: (None, [])}
 
 
+@pytest.mark.parametrize("name, licence", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_full_licence_texts(spark, name, licence):
+    path = pathlib.Path("/usr/share/common-licenses", name)
+    if not path.exists():
+        pytest.skip(f"no {path}")
+    text = path.read_text()
+    rows = [(1, text), (2, "\n".join(x.strip() for x in text.upper().splitlines())), (3, text + "one word more")]
+    got = {r["doc_id"]: r["whole"] for r in licences.scan_licences(docs(spark, rows)).collect()}
+    assert got == {1: licence, 2: licence, 3: None}
+
+
 def test_every_known_licence_has_a_marker():
     assert all(any(m in t.lower() for m in licences.MARKERS) for texts in licences.KNOWN.values() for t in texts)
 

@@ -107,3 +107,62 @@ KNOWN = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
 }
+
+#: Canonical digests (licences.digest) of full licence texts: entire, and where they have an appendix on how
+#: to apply them, also up to END OF TERMS AND CONDITIONS, with that line and without.
+KNOWN_DIGESTS = {
+    "Apache-2.0": [
+        "4bc3c949c895ead14c0dc8c6e33fd6ed118359acaad7c084c4d563cd526a878d",
+        "108490d21e2d3edc9128233e48fabc169818d0c7c5f0bbdd58231a367d2d6c87",
+        "6ed232a1aaf66db92997c53c056b853f2a64b9f74585489f71cbae1bb4d6d166",
+    ],
+    "Artistic-1.0-Perl": [
+        "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93",
+    ],
+    "BSD-3-Clause": [
+        "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",
+    ],
+    "CC0-1.0": [
+        "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    ],
+    "GFDL-1.2": [
+        "b6270c129be9b0e0172ebf4f39b974d927f155b0569e6689a4fd15068977ecdd",
+    ],
+    "GFDL-1.3": [
+        "7a546845f0b9175c013adbd275ab046668c2cd62fa85809f866f6d3218d6adcd",
+    ],
+    "GPL-1.0": [
+        "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f",
+        "3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9",
+        "4575f8cf583cfe5694de121df7d28ae3c2043234ee2357a6bc38c20fc1856cf0",
+    ],
+    "GPL-2.0": [
+        "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6",
+        "a76cc6ce70778ba70e43b9b1838f9e3f88b3fc7c5acbb3b8a9847918003b63e0",
+        "611467176757b44c5c63b6b18b9b61a9e3d7bd13d738d6dde1cdce99fb1f12ef",
+    ],
+    "GPL-3.0": [
+        "ee0d2b91860148fdc6916d4fbea5723c7b0c7330d7a45ee71fabe123ce7175f8",
+        "4a9083dfa89bea4f460e373a4c7a4645205d5e3d3be775d544b10357e357f57b",
+        "7ffc4b405b2d22c9a01c3a22db88495dbca721fad42a69191637c049f0108153",
+    ],
+    "LGPL-2.0": [
+        "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e",
+        "7d5246cc24a9d78fffd01a07fbc2e71edd1e94ad8d403f3180a4cf5fef43d389",
+        "3ea7beb964a4396aa5ad75de90dd58ff01913b237f397517e8563b7acf07d87c",
+    ],
+    "LGPL-2.1": [
+        "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692",
+        "65484d3c9f900f96945bd4e6c5397aaa24f93bdc8f720eae06fbd377c62cfe97",
+        "9c2c2afdce244f7835e438f43966f864ce47d82ebd6316bbcb123927f3280e30",
+    ],
+    "LGPL-3.0": [
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    ],
+    "MPL-1.1": [
+        "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61",
+    ],
+    "MPL-2.0": [
+        "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+    ],
+}

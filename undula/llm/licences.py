@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm.licence_texts import KNOWN
+from undula.llm.licence_texts import KNOWN, KNOWN_DIGESTS
 from undula.llm.shared import table
 
 # Spellings that count as one, after case and punctuation are gone.
@@ -53,10 +53,14 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """(digest, licence) of the known texts, a table of fixed size."""
+    """(digest, licence) of the known texts, and by default of full licences (KNOWN_DIGESTS), a table of fixed size."""
     rows = [f"('{name}', {_literal(text)})" for name, texts in (KNOWN if known is None else known).items() for text in texts]
     listed = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS known(licence, text)")
-    return listed.select(digest(F.col("text")).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+    digests = listed.select(digest(F.col("text")).alias("digest"), "licence")
+    if known is None:
+        full = ", ".join(f"('{x}', '{name}')" for name, each in KNOWN_DIGESTS.items() for x in each)
+        digests = digests.unionByName(spark.sql(f"SELECT * FROM VALUES {full} AS known(digest, licence)"))
+    return digests.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def _literal(text: str) -> str:
