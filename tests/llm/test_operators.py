@@ -144,6 +144,15 @@ def test_novel_strings_in_sensitive_context(spark):
     assert got[4] == [("access", 7, 27), ("assign", 28, 53)]
 
 
+def test_repeated_secrets_are_found_at_each_place(spark):
+    word = "aZ3kQ9vT2xLm8RpW5sYd7"
+    gap = " ".join(f"w{i}" for i in range(60))[: 256 - len("\nprivate key ") - 10]  # the surroundings end within the other place
+    rows = [(1, f"private key {word}\nprivate key {word}\n"), (2, f"private key {word} {gap}\nprivate key {word}"), (3, f"private key x{word}\nprivate key user_name_field_1\nprivate key user_name_field_1")]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.find_secrets(docs(spark, rows), b"user_name_field value").collect()}
+    second = len(rows[1][1]) - len(word)
+    assert got == {1: [("novel", 12, 33), ("novel", 46, 67)], 2: [("novel", 12, 33), ("novel", second, second + 21)], 3: [("novel", 12, 34)]}
+
+
 def test_chunks_encode_like_whole_texts():
     import pyarrow as pa
 

@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and strings that zstandard can't predict.
 
 Beside the patterns, every long string in a sensitive context is a candidate. Its
-novelty is what it adds, in compressed bytes, to its surroundings, measured by a
+novelty is what it adds, in compressed bytes, to its surroundings without its other
+occurrences, measured by a
 compressor primed with an identifier dictionary counted over the corpus. Names and
 prose repeat what the dictionary or the surroundings hold and add little; random
 strings add about a byte for each character and are reported.
@@ -71,7 +72,10 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], compressor: zstand
             end, word = m.end(), m[0]
             if any(a < m.end() and m.start() < b for _, a, b in taken) or not re.search("[0-9]", word) or not re.search("[A-Za-z]", word):
                 continue
-            before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
+            # the candidate's other occurrences are blanked out, also those that the ends of the surroundings cut
+            far, blank = AROUND + len(word), " " * len(word)
+            before = text[max(0, m.start() - far) : m.start()].replace(word, blank)[-AROUND:]
+            after = text[m.end() : m.end() + far].replace(word, blank)[:AROUND]
             novelty = (size(after + before + word) - size(after + before)) / len(word)
             if novelty >= least:
                 out.append(("novel", *m.span(), novelty))
