@@ -2,10 +2,10 @@
 
 Beside the patterns, every long string in a sensitive context is a candidate. Its
 novelty is what it adds, in compressed bytes, to its surroundings without its other
-occurrences, measured by a
-compressor primed with an identifier dictionary counted over the corpus. Names and
-prose repeat what the dictionary or the surroundings hold and add little; random
-strings add about a byte for each character and are reported.
+occurrences, measured by a compressor primed with an identifier dictionary counted
+over the corpus. Names and prose repeat what the dictionary or the surroundings hold
+and add little; random strings add about a byte for each character and are reported,
+whatever characters they are made of.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE = (*ASSIGN_WORDS, "passphrase", "credential", "private", "bearer", "authorization", "signature", "access key")
 REACH, AROUND = 64, 256
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Reported from so many marginal bytes a character on.
-NOVELTY = 0.85
-#: Identifiers in the dictionary, most frequent first, and the documents an identifier must be in.
-DICTIONARY_WORDS, DICTIONARY_MIN_DOCS = 3000, 3
+#: Reported from so many marginal bytes a character on, at this level of compression, which codes known words in few bytes.
+NOVELTY, LEVEL = 0.7, 19
+#: Identifiers in the dictionary at most, most frequent first, and the documents an identifier must be in.
+DICTIONARY_WORDS, DICTIONARY_MIN_DOCS = 20_000, 3
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("novelty", T.DoubleType())])
 FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", T.ArrayType(SPAN))])
 
@@ -40,7 +40,8 @@ FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("span
 def identifier_dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> bytes:
     """The identifiers found in most of the documents with sensitive words, the commonest last.
 
-    Counts cover all such documents; the dictionary is a model of bounded size.
+    Counts cover all such documents. The dictionary is a model of bounded size, as a
+    compressor can't look back further; it only lowers what known words add.
     """
     sensitive = docs.where(F.col("text").rlike("(?i)" + "|".join(SENSITIVE)))
     names = sensitive.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_]{3,24}"), F.lit(0)))).alias("w"))
@@ -70,7 +71,7 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], compressor: zstand
         while first := CANDIDATE.search(text, max(at, end), at + REACH + 16):
             m = CANDIDATE.match(text, first.start())
             end, word = m.end(), m[0]
-            if any(a < m.end() and m.start() < b for _, a, b in taken) or not re.search("[0-9]", word) or not re.search("[A-Za-z]", word):
+            if any(a < m.end() and m.start() < b for _, a, b in taken):
                 continue
             # the candidate's other occurrences are blanked out, also those that the ends of the surroundings cut
             far, blank = AROUND + len(word), " " * len(word)
@@ -95,7 +96,7 @@ def find_secrets(docs: DataFrame, dictionary: bytes | None = None, least: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         primed = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        primed.precompute_compress(level=3)
+        primed.precompute_compress(level=LEVEL)
         compressor = zstandard.ZstdCompressor(dict_data=primed, write_content_size=False)
         for batch in batches:
             rows = []
