@@ -2,8 +2,10 @@
 
 Every document becomes whole windows and a remainder. The remainders of a block of
 windows are packed by largest differencing: partial partitions are merged so that
-large sums meet small ones, which leaves near-equal windows; when one exceeds the
-capacity, the block gets a further window and is packed again.
+large sums meet small ones, which leaves near-equal windows; while one exceeds the
+capacity, the block gets further windows and is packed again. Documents are cut only
+where they are longer than a window, at the border of two blocks, and in the last
+block of an input partition.
 """
 
 from __future__ import annotations
@@ -104,70 +106,52 @@ class Packer:
             self.waiting.append(rest)
             self.total += len(rest[2]) // 4
 
+    def _over(self, sizes: list[int], groups: list[list[int]]) -> int:
+        return sum(max(0, sum(sizes[i] for i in g) - self.capacity) for g in groups)
+
     def _pack(self, windows: int) -> Iterator[tuple]:
+        """The waiting pieces, whole, in as few windows from `windows` on as differencing fits them into."""
         pieces, self.waiting, self.total = self.waiting, [], 0
-        sizes, most = [len(p[2]) // 4 for p in pieces], windows + windows // BLOCK_WINDOWS
+        sizes = [len(p[2]) // 4 for p in pieces]
         groups = difference(sizes, windows)
-        while windows < most and max(sum(sizes[i] for i in g) for g in groups) > self.capacity:
-            windows += 1
+        while over := self._over(sizes, groups):
+            windows += -(-over // self.capacity)
             groups = difference(sizes, windows)
-        packed, over = [[pieces[i] for i in g] for g in groups], []
-        # Where a few pieces can't be balanced, what exceeds the capacity is cut off and put where there is room.
-        room = [self.capacity - sum(len(p[2]) // 4 for p in g) for g in packed]
-        for i, g in enumerate(packed):
-            while room[i] < 0:
-                size = len(g[-1][2]) // 4
-                keep, off = self._cut(g.pop(), max(0, size + room[i]))
-                over.append(off)
-                if keep[2]:
-                    g.append(keep)
-                room[i] += len(off[2]) // 4
-        for i in range(len(packed), windows):
-            packed.append([])
-            room.append(self.capacity)
-        at = 0
-        while over:
-            if not room[at]:
-                at += 1
-                continue
-            put, off = self._cut(over.pop(), room[at])
-            packed[at].append(put)
-            room[at] -= len(put[2]) // 4
-            if off[2]:
-                over.append(off)
-        for g in packed:
-            if g:
-                yield from self._emit(g)
+        for g in groups:
+            yield from self._emit([pieces[i] for i in g])
 
-    def close(self) -> Iterator[tuple]:
-        """The last block: whole windows as before, then sequences of a power of two, which need no padding."""
-        windows, tail = divmod(self.total, self.capacity)
-        pieces, kept, left = self.waiting, [], windows * self.capacity
-        rest: list[tuple] = []
-        for p in pieces:
-            n = len(p[2]) // 4
-            if left >= n:
-                kept.append(p)
-                left -= n
-            else:
-                head, off = self._cut(p, left)
-                kept += [head] * bool(head[2])
-                rest.append(off)
-                left = 0
-        if windows:
-            self.waiting = kept
-            yield from self._pack(windows)
-        self.waiting, self.total = [], 0
-        for size in powers(tail):
+    def _fill(self, pieces: list[tuple], sizes: list[int]) -> Iterator[tuple]:
+        """The pieces in their order in sequences of these sizes, cut where one is full."""
+        for size in sizes:
             sequence = []
             while size:
-                n = len(rest[0][2]) // 4
-                head, off = self._cut(rest[0], min(size, n))
+                head, off = self._cut(pieces[0], min(size, len(pieces[0][2]) // 4))
                 sequence.append(head)
                 size -= len(head[2]) // 4
-                rest[0:1] = [off] * bool(off[2])
+                pieces[0:1] = [off] * bool(off[2])
             yield from self._emit(sequence)
 
+    def close(self) -> Iterator[tuple]:
+        """The last block: windows by differencing as before, of as many pieces as fit, then the rest without padding.
+
+        The rest is cut into full windows and sequences of a power of two.
+        """
+        windows, pieces, rest = self.total // self.capacity, self.waiting, []
+        self.waiting, self.total = [], 0
+        sizes = [len(p[2]) // 4 for p in pieces]
+        excess = sum(sizes) - windows * (self.capacity - min(SLACK, self.capacity // 64))
+        while True:
+            while pieces and excess > 0:
+                rest.append(pieces.pop())
+                excess -= sizes.pop()
+            groups = difference(sizes, windows) if pieces else []
+            if not (excess := self._over(sizes, groups)):
+                break
+        for g in groups:
+            yield from self._emit([pieces[i] for i in g])
+        full, tail = divmod(sum(len(p[2]) // 4 for p in rest), self.capacity)
+        yield from self._fill(rest, [self.capacity] * full + powers(tail))
+
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = WORD_BPE, end_id: int = 2) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
