@@ -3,8 +3,9 @@
 Two logistic regressions give a document's evidence of low quality and of toxicity.
 The evidence is summed by host and by path in grouped aggregations; host rates are
 shrunk towards the global rate and path rates towards their host's, sparse ones most,
-with a strength estimated from how far hosts differ. A document's posterior joins its
-own evidence with the prior of its path.
+with strengths estimated from how far hosts differ, and paths within hosts. A
+document's posterior joins its own evidence with what the others of its path and host
+say, so that its own evidence counts once.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ MARKS, SPACE, DIGITS, UPPER_CASE = string.punctuation.encode(), b" \t\n\x0b\x0c\
 NO_MARKS = bytes(c if c > 127 or chr(c) in string.digits + string.ascii_lowercase else 32 for c in range(256))
 #: The classifiers are fitted on at most so many labelled documents, those with the smallest hashes.
 FIT_ROWS = 12_000
-#: Partitions of that bounded table, each round of fitting being a job over them, and rounds.
+#: Partitions of that bounded table, each round of fitting being a job over them, and rounds at most.
 FIT_PARTITIONS, FIT_ROUNDS = 6, 30
-#: Signs in the model, and the labelled documents that a sign must be in.
-VOCABULARY, MIN_DOCS = 20_000, 4
+#: Signs in the model at most, more than the bounded table has in MIN_DOCS documents, and the labelled documents that a sign must be in.
+VOCABULARY, MIN_DOCS = 1 << 18, 4
 #: Hosts and paths up to so many are joined by broadcast, more by a shuffle.
 BROADCAST_SITES = 200_000
 #: The weight of the coefficients' absolute values in fitting, which leaves few signs in the model.
@@ -116,27 +117,48 @@ def evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     return docs.select("doc_id", "text", "_host", "_path").mapInArrow(run, schema)
 
 
-def site_priors(rows: DataFrame) -> DataFrame:
-    """(_host, _path, prior, host_rate, global_rate, n): shrunk rates of bad documents.
+def _strength(within: Column, between: Column) -> Column:
+    """Documents that a beta prior is worth whose variance is `between`; 2 to 1000."""
+    return F.least(F.greatest(within / F.greatest(between, within / 1000, F.lit(1e-12)) - 1, F.lit(2.0)), F.lit(1000.0))
+
+
+def site_sums(rows: DataFrame) -> DataFrame:
+    """(_host, _path, n, s, hn, hs, global_rate, host_strength, path_strength) for rows (_host, _path, bad).
 
-    rows: (_host, _path, bad), bad a probability. Strengths are those of a beta prior
-    whose variance is that between hosts, beyond what sampling explains.
+    n and s are a path's documents and the sum of their probabilities of being bad, hn
+    and hs its host's. Strengths come by the method of moments: that of hosts from the
+    variance between hosts, that of paths from the variance between the paths of a host,
+    each beyond what sampling explains.
     """
-    paths = rows.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("bad").alias("s"))
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
+    paths = checkpointed(rows.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("bad").alias("s")))
+    square = lambda s, n: F.sum(F.col(s) * F.col(s) / F.col(n))
+    hosts = paths.groupBy("_host").agg(
+        F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.count("*").alias("paths"), square("s", "n").alias("q"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n2"),
+    )
     moments = hosts.agg(
-        F.sum("hn").alias("N"), F.sum("hs").alias("S"), F.count("*").alias("H"),
-        F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("Q"), F.sum(F.col("hn") * F.col("hn")).alias("N2"),
+        F.sum("hn").alias("N"), F.sum("hs").alias("S"), F.count("*").alias("H"), square("hs", "hn").alias("Q"), F.sum(F.col("hn") * F.col("hn")).alias("N2"),
+        F.sum("paths").alias("P"), F.sum("q").alias("PQ"), F.sum("n2").alias("PN2"),
     )
     m = F.col("S") / F.col("N")
     within = m * (1 - m)
-    # variance between hosts by the method of moments, at least a small part of the whole
-    between = (F.col("Q") - F.col("N") * m * m - (F.col("H") - 1) * within) / F.greatest(F.col("N") - F.col("N2") / F.col("N"), F.lit(1.0))
-    strength = F.least(F.greatest(within / F.greatest(between, within / 1000, F.lit(1e-12)) - 1, F.lit(2.0)), F.lit(1000.0))
-    overall = moments.select(m.alias("global_rate"), strength.alias("strength"))  # one row
-    hosts = hosts.join(F.broadcast(overall)).withColumn("host_rate", (F.col("hs") + F.col("strength") * F.col("global_rate")) / (F.col("hn") + F.col("strength")))
-    joined = paths.join(hosts, paths["_host"].eqNullSafe(hosts["_host"])).drop(hosts["_host"])
-    return joined.select("_host", "_path", ((F.col("s") + F.col("strength") * F.col("host_rate")) / (F.col("n") + F.col("strength"))).alias("prior"), "host_rate", "global_rate", "n")
+    hosts_vary = (F.col("Q") - F.col("N") * m * m - (F.col("H") - 1) * within) / F.greatest(F.col("N") - F.col("N2") / F.col("N"), F.lit(1.0))
+    paths_vary = (F.col("PQ") - F.col("Q") - (F.col("P") - F.col("H")) * within) / F.greatest(F.col("N") - F.col("PN2"), F.lit(1.0))
+    overall = moments.select(m.alias("global_rate"), _strength(within, hosts_vary).alias("host_strength"), _strength(within, paths_vary).alias("path_strength"))  # one row
+    named = hosts.select(F.col("_host").alias("_h"), "hn", "hs")
+    return paths.join(named, paths["_host"].eqNullSafe(named["_h"])).drop("_h").join(F.broadcast(overall))
+
+
+def prior(own: Column | None = None) -> Column:
+    """The shrunk rate of a path from the columns of site_sums, without one of its documents where `own` is its probability."""
+    less, one = (F.lit(0.0), 0) if own is None else (own, 1)
+    k, j = F.col("host_strength"), F.col("path_strength")
+    host = (F.greatest(F.col("hs") - less, F.lit(0.0)) + k * F.col("global_rate")) / (F.col("hn") - one + k)
+    return (F.greatest(F.col("s") - less, F.lit(0.0)) + j * host) / (F.col("n") - one + j)
+
+
+def site_priors(rows: DataFrame) -> DataFrame:
+    """(_host, _path, prior, global_rate, n): each path's shrunk rate of bad documents; rows: (_host, _path, bad)."""
+    return site_sums(rows).select("_host", "_path", prior().alias("prior"), "global_rate", "n")
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", fit_rows: int = FIT_ROWS, reject: float = REJECT) -> DataFrame:
@@ -146,15 +168,15 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     low) and toxic (1: toxic). Other columns are not read. A null text is an empty one;
     null hosts and paths are sites of their own; labels of other documents count for
     nothing. low and toxic are the classifiers' probabilities, 0 where labels show one
-    class only or are too few. prior is the path's shrunk rate of bad documents, posterior the
-    probability that the document is bad; it is kept below `reject`. Repeated rows are
-    classified each; an empty table gives no rows.
+    class only or are too few. prior is the shrunk rate of bad documents among the others
+    of its path, posterior the probability that the document is bad; it is kept below
+    `reject`. Repeated rows are classified each; an empty table gives no rows.
     """
     named = docs.select("doc_id", "text", F.col(host).alias("_host"), F.col(path).alias("_path"))
     scored = checkpointed(evidence(named, labels, fit_rows).withColumn("bad", F.greatest("_low", "_toxic")))
-    sites = checkpointed(site_priors(scored.select("_host", "_path", "bad")))
+    sites = checkpointed(site_sums(scored.select("_host", "_path", "bad")))
     s = broadcast_if_small(sites.withColumnsRenamed({"_host": "_h", "_path": "_p"}), BROADCAST_SITES)
-    joined = scored.join(s, scored["_host"].eqNullSafe(F.col("_h")) & scored["_path"].eqNullSafe(F.col("_p")))
+    joined = scored.join(s, scored["_host"].eqNullSafe(F.col("_h")) & scored["_path"].eqNullSafe(F.col("_p"))).withColumn("prior", prior(F.col("bad")))
     total = logit(F.col("bad")) + logit(F.col("prior")) - logit(F.col("global_rate"))
     return joined.withColumn("posterior", 1 / (1 + F.exp(-total))).select(
         "doc_id", F.col("_low").alias("low"), F.col("_toxic").alias("toxic"), "prior", "posterior", (F.col("posterior") < reject).alias("keep")
@@ -162,7 +184,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """docs without the rows that classify rejects; rows without a doc_id stay."""
+    """docs without the rows that classify rejects; rows without a doc_id stay.
+
+    Rows of one doc_id go together: all of them where one is rejected.
+    """
     rejected = classify(docs, labels, fit_rows=fit_rows).where("not keep").select("doc_id").distinct()
     return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
 
