@@ -166,3 +166,21 @@ KNOWN_DIGESTS = {
         "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
     ],
 }
+
+#: The lengths of the texts of KNOWN_DIGESTS in canonical words, in the same order.
+KNOWN_LENGTHS = {
+    "Apache-2.0": [1596, 1419, 1414],
+    "Artistic-1.0-Perl": [983],
+    "BSD-3-Clause": [214],
+    "CC0-1.0": [1088],
+    "GFDL-1.2": [3315],
+    "GFDL-1.3": [3732],
+    "GPL-1.0": [2067, 1641, 1636],
+    "GPL-2.0": [2975, 2504, 2499],
+    "GPL-3.0": [5684, 5241, 5236],
+    "LGPL-2.0": [4200, 3865, 3860],
+    "LGPL-2.1": [4401, 4065, 4060],
+    "LGPL-3.0": [1231],
+    "MPL-1.1": [3757],
+    "MPL-2.0": [2414],
+}

@@ -2,16 +2,22 @@
 
 A text and the known licence texts are brought to one canonical form - case,
 punctuation, copyright lines and equivalent spellings do not count - and entire texts
-are joined to the known ones by their digests.
+are joined to the known ones by their digests. An entire text is a whole document, or
+any run of its lines that is as long, in canonical words, as some known text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm.licence_texts import KNOWN, KNOWN_DIGESTS
-from undula.llm.shared import table
+from undula.llm.licence_texts import KNOWN, KNOWN_DIGESTS, KNOWN_LENGTHS
+from undula.llm.shared import broadcast_if_small, checkpointed, table
 
 # Spellings that count as one, after case and punctuation are gone.
 EQUIVALENT = {
@@ -38,64 +44,99 @@ EQUIVALENT = {
 MARKERS = ("licen", "permission", "redistribution", "public domain")
 
 
-def canonical(text: Column) -> Column:
-    """Lower case; no copyright lines; punctuation and white space as single blanks; one spelling for equivalents."""
-    out = F.regexp_replace(F.lower(text), r"(?m)^[^\p{L}\n]*(?:copyright\s*(?:\(c\)|©|\d|(?:by|of)\s)|\(c\)|©).*$", " ")
-    out = F.regexp_replace(out, r"(?m)^[^\p{L}\n]*all rights reserved\W*$", " ")
-    out = F.regexp_replace(F.regexp_replace(out, "[^\\p{L}\\p{N}]+", " "), "^ | $", "")
-    for word, same in EQUIVALENT.items():
-        out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])", same)
-    return out
+#: Known digests up to so many are broadcast.
+BROADCAST_DIGESTS = 100_000
+COPYRIGHT_LINE = regex.compile(r"[^\p{L}\n]*(?:copyright\s*(?:\(c\)|©|\d|(?:by|of)\s)|\(c\)|©)|[^\p{L}\n]*all rights reserved\W*$")
+WORD = regex.compile(r"[\p{L}\p{N}]+")
+#: Equivalent spellings of one word, and of two words that are read as one word or two.
+SINGLE = {k: v for k, v in EQUIVALENT.items() if " " not in k}
+DOUBLE = {tuple(k.split()): v.split() for k, v in EQUIVALENT.items() if " " in k}
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def canonical_lines(text: str) -> list[list[str]]:
+    """The canonical words of each line: lower case, no copyright lines, no punctuation, one spelling for equivalents.
 
+    Two words of one equivalent spelling count where they are in the line of the first.
+    """
+    words = [(n, SINGLE.get(w, w)) for n, line in enumerate(text.lower().split("\n")) if not COPYRIGHT_LINE.match(line) for w in WORD.findall(line)]
+    lines: list[list[str]] = [[] for _ in range(text.count("\n") + 1)]
+    at = 0
+    while at < len(words):
+        n, word = words[at]
+        pair = DOUBLE.get((word, words[at + 1][1])) if at + 1 < len(words) else None
+        lines[n] += pair or [word]
+        at += 2 if pair else 1
+    return lines
 
-def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """(digest, licence) of the known texts, and by default of full licences (KNOWN_DIGESTS), a table of fixed size."""
-    rows = [f"('{name}', {_literal(text)})" for name, texts in (KNOWN if known is None else known).items() for text in texts]
-    listed = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS known(licence, text)")
-    digests = listed.select(digest(F.col("text")).alias("digest"), "licence")
-    if known is None:
-        full = ", ".join(f"('{x}', '{name}')" for name, each in KNOWN_DIGESTS.items() for x in each)
-        digests = digests.unionByName(spark.sql(f"SELECT * FROM VALUES {full} AS known(digest, licence)"))
-    return digests.groupBy("digest").agg(F.min("licence").alias("licence"))
 
+def digest(words: list[str]) -> str:
+    return hashlib.sha256(" ".join(words).encode()).hexdigest()
 
-def _literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
+def canonical_digest(text: str) -> tuple[str, int]:
+    """The digest of an entire text, and its length in canonical words."""
+    words = [w for line in canonical_lines(text) for w in line]
+    return digest(words), len(words)
 
-def units(text: Column) -> Column:
-    """The entire texts looked up: the whole text, its blocks between empty lines, and its lines."""
-    return F.array_distinct(
-        F.concat(
-            F.array(F.struct(F.lit("whole").alias("unit"), text.alias("text"))),
-            F.transform(F.split(text, r"\n[ \t\r]*\n", -1), lambda x: F.struct(F.lit("block").alias("unit"), x.alias("text"))),
-            F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.lit("line").alias("unit"), x.alias("text"))),
-        )
-    )
+
+def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> tuple[DataFrame, list[int]]:
+    """(digest, licence) of the known texts, and by default of full licences (KNOWN_DIGESTS); and the lengths that they have."""
+    each = [(*canonical_digest(text), name) for name, texts in (KNOWN if known is None else known).items() for text in texts]
+    if known is None:
+        each += [(x, n, name) for name, digests in KNOWN_DIGESTS.items() for x, n in zip(digests, KNOWN_LENGTHS[name], strict=True)]
+    rows = [(d, name) for d, n, name in each if n]
+    listed = spark.createDataFrame(rows, "digest string, licence string")
+    return listed.groupBy("digest").agg(F.min("licence").alias("licence")), sorted({n for _, n, _ in each if n})
+
+
+def runs(lines: list[list[str]], lengths: list[int]) -> Iterator[tuple[int, int, str]]:
+    """(first line, last line, digest) of the runs of lines that have one of these lengths, without empty ends."""
+    words, starts, at = [w for line in lines for w in line], [], 0
+    for n, line in enumerate(lines):
+        if line:
+            starts.append((n, at))
+            at += len(line)
+    ends = {at + len(lines[n]): n for n, at in starts}
+    for n, at in starts:
+        for length in lengths:
+            if (last := ends.get(at + length)) is not None:
+                yield n, last, digest(words[at : at + length])
 
 
 def licence_matches(docs: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """(doc_id, unit, licence): the units of each text that are entire known texts, once each."""
-    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    has = lambda t: F.exists(F.array(*[F.lit(m) for m in MARKERS]), lambda m: F.contains(t, m))
-    # a marker in an entire text is one in some unit; only units with one are normalised
-    held = some.where(has(F.lower("text"))).select("doc_id", F.explode(F.filter(units(F.col("text")), lambda u: has(F.lower(u["text"])))).alias("u"))
-    keyed = held.select("doc_id", "u.unit", digest(F.col("u.text")).alias("digest"))
-    return keyed.join(F.broadcast(known_digests(docs.sparkSession, known)), "digest").select("doc_id", "unit", "licence").distinct()
+    """(doc_id, unit, licence, first_line, last_line): the runs of lines that are entire known texts; unit: whole or part.
+
+    Lines count from 0. A run longer than the known texts, or cut within a line, is none.
+    """
+    digests, lengths = known_digests(docs.sparkSession, known)
+    has = F.exists(F.array(*[F.lit(m) for m in MARKERS]), lambda m: F.contains(F.lower("text"), m))
+    held = docs.where(has) if known is None else docs.where("text is not null")
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                lines = canonical_lines(text.as_py())
+                total = sum(map(len, lines))
+                rows += [(doc_id, "whole" if sum(map(len, lines[a : b + 1])) == total else "part", a, b, d) for a, b, d in runs(lines, lengths)]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            types = [batch.column("doc_id").type, pa.string(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "unit", "first_line", "last_line", "digest"])
+
+    keyed = held.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, unit string, first_line int, last_line int, digest string")
+    return keyed.join(broadcast_if_small(checkpointed(digests), BROADCAST_DIGESTS), "digest").select("doc_id", "unit", "licence", "first_line", "last_line").distinct()
 
 
 def scan_licences(docs: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
     """(doc_id, whole, n_matches, licences) for every row of docs.
 
     whole: the licence that the whole text is, else null. licences: all found, sorted.
-    n_matches counts (unit, licence) pairs. Needs doc_id and text; other columns are
-    not read. A null or empty text matches nothing. Rows with one doc_id are taken to
-    be one document: what any of them holds is returned for each. An empty table gives
-    no rows. known: licence names and their texts, a table of bounded size.
+    n_matches counts the places of known texts, each once, also those within another.
+    Needs doc_id and text; other columns are not read. A null or empty text matches
+    nothing. Rows with one doc_id are taken to be one document: what any of them holds is
+    returned for each. An empty table gives no rows. known: licence names and their
+    texts, in the place of the ones that come with this module.
     """
     found = licence_matches(docs, known).groupBy("doc_id").agg(
         F.max(F.when(F.col("unit") == "whole", F.col("licence"))).alias("whole"),
