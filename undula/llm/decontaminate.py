@@ -54,8 +54,10 @@ def phrase_matches(index: DataFrame, windows: DataFrame, vocabulary: DataFrame,
     """(window, doc_id, start, n_found): places where windows occur.
 
     slop 0 and min_share 1: exact phrases. Otherwise a window matches near `start`
-    if at least min_share of its terms stand within slop positions of their places,
-    the rarest one exactly at its place.
+    if at least min_share of its terms stand within slop positions of their places, one
+    of its rarest exactly at its place. Of n terms n - ceil(n * min_share) may be absent,
+    so that many and one more, the rarest, are looked up: a match has one of them, also
+    where some don't occur in any text. Each start is returned once.
     """
     exact = slop == 0 and min_share >= 1
     terms = checkpointed(windows.select("window", "n", F.posexplode("words").alias("at", "term")).join(vocabulary, "term").drop("term"))
@@ -63,14 +65,17 @@ def phrase_matches(index: DataFrame, windows: DataFrame, vocabulary: DataFrame,
     frequency = checkpointed(index.join(broadcast_if_small(asked, BROADCAST_ROWS), "term_id").groupBy("term_id").agg(F.count("*").alias("df")))
     rarest_first = Window.partitionBy("window").orderBy("df", "at")
     ranked = checkpointed(terms.join(frequency, "term_id", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", F.row_number().over(rarest_first)))
-    by_rank = lambda r: broadcast_if_small(ranked.where(F.col("rank") == r).select("window", "n", "at", "term_id"), BROADCAST_ROWS)
+    least = F.ceil(F.col("n") * F.lit(min_share)).cast("int")
+    of_rank = lambda rank: broadcast_if_small(ranked.where(rank).select("window", "n", "at", "term_id"), BROADCAST_ROWS)
     at_start = lambda rows: rows.select("window", "n", "doc_id", (F.col("pos") - F.col("at")).cast("int").alias("start"))
-    found = at_start(index.join(by_rank(1), "term_id"))
-    if exact:
+    found = at_start(index.join(of_rank(F.col("rank") <= F.col("n") - least + 1), "term_id"))
+    if not exact:
+        found = found.distinct()
+    else:
         # most places of the rarest term lack the second rarest: what its list leaves is short
         second = ranked.where("rank = 2")
         lists = index.join(broadcast_if_small(second.select("term_id").distinct(), BROADCAST_ROWS), "term_id", "left_semi")
-        pairs = found.where("n > 1 and start >= 0").join(by_rank(2).drop("n"), "window").withColumn("pos", F.col("start") + F.col("at")).drop("at")
+        pairs = found.where("n > 1 and start >= 0").join(of_rank(F.col("rank") == 2).drop("n"), "window").withColumn("pos", F.col("start") + F.col("at")).drop("at")
         both = pairs.join(lists, ["doc_id", "term_id", "pos"]).select("window", "n", "doc_id", "start")
         found = both.unionByName(found.where("n = 1"))
     first = checkpointed(found)
@@ -80,7 +85,7 @@ def phrase_matches(index: DataFrame, windows: DataFrame, vocabulary: DataFrame,
     if slop:
         wanted = wanted.withColumn("pos", F.explode(F.sequence(F.col("pos") - slop, F.col("pos") + slop)))
     counted = wanted.join(near, ["doc_id", "term_id", "pos"]).groupBy("window", "n", "doc_id", "start").agg(F.count_distinct("at").alias("n_found"))
-    return counted.where(F.col("n_found") >= F.ceil(F.col("n") * F.lit(min_share)))
+    return counted.where(F.col("n_found") >= least)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
@@ -90,7 +95,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     A null or empty text has no words, and an item without words no window. A word is
     hit if any occurrence of a window covers it, and counts once. Rows with one doc_id
     are taken to be copies of one document: hits are found once for each doc_id and
-    returned for each row. Empty tables give no hits, or no rows.
+    returned for each row. A row without a doc_id has no hits. Empty tables give no hits,
+    or no rows. Phrases are exact; for near ones call phrase_matches.
     """
     spark = docs.sparkSession
     windows = checkpointed(phrase_windows(items.select("item_id", "text"), window))
@@ -108,13 +114,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     hits = checkpointed(n_hit.join(item_ids, "doc_id"))
     rows = index.where(F.col("term_id") == LENGTH).select("doc_id", F.col("pos").cast("long").alias("n_words"))
     none = F.array().cast("array<long>")
-    return rows.join(broadcast_if_small(hits, BROADCAST_ROWS), "doc_id", "left").select(
+    return rows.join(broadcast_if_small(hits, BROADCAST_ROWS, F.size("item_ids")), "doc_id", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids")
     )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """docs without the rows whose text holds a benchmark window; columns and null texts stay as they are."""
+    """docs without the documents whose text holds a benchmark window; columns and null texts stay as they are.
+
+    Rows of one doc_id go together, where any of them holds one; rows without a doc_id stay.
+    """
     dirty = contamination(docs, items, window).where("n_hit > 0").select("doc_id").distinct()
     return docs.join(dirty, "doc_id", "left_anti").select(docs.columns)
 
