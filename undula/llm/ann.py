@@ -2,33 +2,47 @@
 
 Every tree writes a vector as a string of 64 hash bits, the sides of random
 hyperplanes, and keeps the strings as a sorted array. A query descends in every tree
-to its longest matching prefix; from the deepest level all trees then ascend together,
+to its longest matching prefix; from the longest on all trees then ascend together,
 taking in the vectors that share ever shorter prefixes, until there are candidates
-enough. The index is cut into shards, each with a forest of its own, that tasks search
-by themselves; queries come in blocks.
+enough. The index is cut into cells, each with a forest of its own, that tasks search
+by themselves. Leading bits of further trees name the cells that a query visits.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from undula.llm.shared import checkpointed, table
+from undula.llm.shared import broadcast_if_small, checkpointed, table
 
-#: Vectors in a shard and queries in a block, about: they bound a task's memory.
-SHARD, QUERY_BLOCK = 8192, 2048
+#: Vectors in a cell and queries in a block, about: they bound a task's memory.
+CELL, QUERY_BLOCK = 8192, 2048
 TREES, DEPTH = 48, 64
-#: Candidates a shard's trees gather for a query before it stops ascending; smaller shards are searched whole.
-CANDIDATES = 4000
+#: The forest is fitted on at most so many vectors, those with the smallest hashes of their ids, and so many queries among them.
+FIT_ROWS, FIT_QUERIES = 2000, 250
+#: The share of neighbours that the cells visited, and the candidates taken in a cell, have to hold in the fit, each.
+TARGET = 0.97
+#: Tables of cells up to so many rows are broadcast.
+BROADCAST_CELLS = 500_000
 SEED = 20
 
 
-def planes(dimensions: int, trees: int = TREES, seed: int = SEED) -> np.ndarray:
-    """The hyperplanes of a forest, alike for every shard and query."""
-    return np.random.default_rng(seed).standard_normal((dimensions, trees * DEPTH))
+def planes(dimensions: int, bits: int, seed: int = SEED) -> np.ndarray:
+    """Hyperplanes, alike for every task."""
+    return np.random.default_rng(seed).standard_normal((dimensions, bits))
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; the largest component is divided out first, so that lengths neither overflow nor vanish."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def hash_strings(unit: np.ndarray, normals: np.ndarray) -> np.ndarray:
@@ -41,10 +55,9 @@ def hash_strings(unit: np.ndarray, normals: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """The sorted hash strings of one shard."""
+    """The sorted hash strings of one cell."""
 
-    def __init__(self, unit: np.ndarray, normals: np.ndarray):
-        strings = hash_strings(unit, normals)
+    def __init__(self, strings: np.ndarray):
         self.order = np.argsort(strings, axis=0, kind="stable")
         self.sorted = np.take_along_axis(strings, self.order, 0)
 
@@ -56,24 +69,63 @@ class Forest:
         high = np.stack([np.searchsorted(self.sorted[:, t], queries[:, t] | rest, "right") for t in range(n_trees)], 1)
         return low, high
 
-    def candidates(self, queries: np.ndarray, wanted: int):
+    def longest(self, queries: np.ndarray) -> int:
+        """The longest prefix that any query shares with a string of its tree: a neighbour of its place holds it."""
+        low, _ = self.ranges(queries, DEPTH)
+        trees = np.arange(self.sorted.shape[1])
+        apart = [queries ^ self.sorted[np.clip(low + d, 0, len(self.order) - 1), trees] for d in (-1, 0)]
+        return DEPTH - int(np.minimum(*apart).min()).bit_length()
+
+    def candidates(self, queries: np.ndarray, wanted: int) -> np.ndarray:
         """For each query, a mask of vectors: those of the longest prefixes that give `wanted` of them, trees ascending together."""
-        n = len(self.order)
-        if n <= wanted:
-            for _ in range(len(queries)):
-                yield np.ones(n, bool)
-            return
-        masks, open_ = np.zeros((len(queries), n), bool), np.arange(len(queries))
-        depth = min(DEPTH, int(np.log2(n)) + 8)  # longer prefixes hold the same few vectors
-        for length in range(depth, -1, -1):
+        masks, open_ = np.zeros((len(queries), len(self.order)), bool), np.arange(len(queries))
+        before = np.zeros((len(queries), self.sorted.shape[1]), np.int64)
+        for length in range(self.longest(queries), -1, -1):
             low, high = self.ranges(queries[open_], length)
-            for i, q in enumerate(open_.tolist()):
-                for t in np.flatnonzero(high[i] > low[i]).tolist():
-                    masks[q, self.order[low[i, t] : high[i, t], t]] = True
+            for i, t in zip(*(x.tolist() for x in np.nonzero(high - low > before[open_]))):
+                masks[open_[i], self.order[low[i, t] : high[i, t], t]] = True
+            before[open_] = high - low
             open_ = open_[masks[open_].sum(1) < wanted]
             if not len(open_):
                 break
-        yield from masks
+        return masks
+
+
+def fit(unit: np.ndarray, k: int) -> tuple[float, float]:
+    """(agreement, share) fitted on a sample of unit vectors.
+
+    agreement: the mean chance that a hyperplane leaves a vector and one of its k nearest
+    on one side. share: the least part of a cell, on a grid, that the trees have to take
+    in as candidates to hold TARGET of the k nearest.
+    """
+    n = len(unit)
+    if n < 2:
+        return 1.0, 1.0
+    asked = np.arange(0, n, max(1, n // FIT_QUERIES))
+    cosine = unit[asked] @ unit.T
+    cosine[np.arange(len(asked)), asked] = -2
+    near = np.argsort(-cosine, 1, kind="stable")[:, : min(k, n - 1)]
+    agreement = 1 - np.arccos(np.clip(np.take_along_axis(cosine, near, 1), -1, 1)).mean() / np.pi
+    strings = hash_strings(unit, planes(unit.shape[1], TREES * DEPTH))
+    forest = Forest(strings)
+    for share in (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9):
+        masks = forest.candidates(strings[asked], math.ceil(share * n))
+        if np.take_along_axis(masks, near, 1).mean() >= TARGET:
+            return float(agreement), share
+    return float(agreement), 1.0
+
+
+def route(n: int, agreement: float) -> tuple[int, int]:
+    """(bits, trees): leading bits that name a cell of about CELL of n vectors, and trees whose cells a query visits.
+
+    A neighbour shares the bits of one tree with chance agreement ** bits; so many trees
+    hold it in one of them with chance TARGET. trees is 0 where that would take as many
+    cells as there are: then one table of cells is visited whole.
+    """
+    bits = max(0, math.ceil(math.log2(max(n, 1) / CELL)))
+    met = min(agreement**bits, 1 - 1e-12)
+    trees = math.ceil(math.log(1 - TARGET) / math.log(1 - met)) if bits and met > 0 else 1 << bits
+    return bits, trees if trees < 1 << bits else 0
 
 
 def usable(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str) -> DataFrame:
@@ -84,53 +136,93 @@ def usable(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str) -
     return rows.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", candidates: int = CANDIDATES) -> DataFrame:
+def _placed(rows: DataFrame, bits: int, trees: int, everywhere: bool) -> DataFrame:
+    """rows (size, id, v) with (tree, cell): the cells of every tree; without trees one by hash, or `everywhere` all."""
+    if not trees:
+        all_ = F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1))) if everywhere else F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << bits)).cast("int")
+        return rows.select("size", F.lit(0).alias("tree"), all_.alias("cell"), "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(bits)
+        for batch in batches:
+            cells = [((unit_rows(v.values.to_numpy()[None]) @ planes(len(v), bits * trees, SEED + 1) > 0).reshape(trees, bits) @ weights).astype(np.int32) for v in batch.column("v")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=["size", "id", "v", "cells"])
+
+    found = rows.select("size", "id", "v").mapInArrow(run, "size int, id long, v array<double>, cells array<int>")
+    return found.select("size", F.posexplode("cells").alias("tree", "cell"), "id", "v")
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the k nearest found for each query row, by cosine.
 
     is_query selects the queries among the rows; candidates are all rows but those of
     the query's id. Vectors that are null, zero, or hold a null or a non-finite
     component take no part; only vectors of the query's length are compared. Score is
-    the cosine of the original vectors in doubles; ties go to the smaller id. Where rows
-    repeat an id, the first vector in order counts. An empty table gives no rows.
-
-    Shards and query blocks meet once each, so rows sent grow with queries times shards
-    and no pair of a query and a candidate leaves its task.
+    the cosine of the original vectors in doubles, summed alike for every row; ties go to
+    the smaller id. Where rows repeat an id, the first vector in order counts. An empty
+    table gives no rows, and a query without candidates none.
+
+    Rows of one vector are one entry of the index with its k + 1 smallest ids, as no query
+    needs more. Candidates and cells are fitted on the commonest vector length in a
+    bounded sample (`fit`, `route`). Cells of many vectors are split, and their queries
+    visit each part; so a task holds about CELL vectors, and no pair of a query and a
+    candidate leaves its task.
     """
     rows = checkpointed(usable(vectors, is_query, id_col, vector_col).withColumn("size", F.size("v")))
-    n, n_queries = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0))).first()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // QUERY_BLOCK))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    place = lambda count, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(count)).cast("int")
-    index = rows.select("size", place(shards, 1).alias("shard"), every(blocks).alias("block"), "id", "v")
-    asked = rows.where("q").select("size", every(shards).alias("shard"), place(blocks, 2).alias("block"), "id", "v")
+    by_vector = Window.partitionBy("v").orderBy("id")
+    smallest = rows.withColumn("_n", F.row_number().over(by_vector)).where(F.col("_n") <= k + 1)
+    index = checkpointed(smallest.groupBy("size", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("id", F.col("ids")[0]))
+    n = index.count()
+    drawn = [np.array(r["v"]) for r in index.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()]
+    sizes = [len(v) for v in drawn]
+    agreement, share = fit(unit_rows(np.stack([v for v in drawn if len(v) == max(set(sizes), key=sizes.count)])), k) if drawn else (1.0, 1.0)
+    bits, trees = route(n, agreement)
+
+    cell = ["size", "tree", "cell"]
+    held, asked = (_placed(x.select("size", "id", "v"), bits, trees, everywhere) for x, everywhere in ((index, False), (rows.where("q"), True)))
+    held, asked = (checkpointed(x) for x in (held, asked))
+    parts = held.groupBy(*cell).agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    blocks = asked.groupBy(*cell).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    cells = broadcast_if_small(checkpointed(parts.join(blocks, cell)), BROADCAST_CELLS)
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    place = lambda count, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(count)).cast("int")
+    group = [*cell, "part", "block"]
+    mine = held.join(cells, cell).withColumn("part", place("parts", 3)).select(*cell, "part", every("blocks").alias("block"), "id", "v")
+    mine = mine.join(index.select("id", "ids"), "id")
+    theirs = asked.join(cells, cell).withColumn("block", place("blocks", 2)).select(*cell, every("parts").alias("part"), "block", "id", "v")
 
     def search(mine: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(queries):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
-        x, q = np.stack(mine["v"]).astype(np.float64), np.stack(queries["v"]).astype(np.float64)
-        ids, out = mine["id"].to_numpy(), []
-        # the largest component is divided out, so that lengths neither overflow nor vanish
-        x, q = x / np.abs(x).max(1, keepdims=True), q / np.abs(q).max(1, keepdims=True)
-        x_norm, q_norm = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-        normals = planes(x.shape[1])
-        forest = Forest(x / x_norm[:, None], normals)
-        strings = hash_strings(q / q_norm[:, None], normals)
-        for i in range(0, len(q), 256):
-            for j, mask in enumerate(forest.candidates(strings[i : i + 256], candidates), i):
-                at = np.flatnonzero(mask & (ids != queries["id"].iat[j]))
-                score = (x[at] @ q[j]) / (x_norm[at] * q_norm[j])
-                if len(at) > k:
-                    least = np.partition(score, len(at) - k)[len(at) - k]
-                    at, score = at[score >= least], score[score >= least]
-                best = np.lexsort((ids[at], -score))[:k]
-                out.append(pd.DataFrame({"query_id": queries["id"].iat[j], "id": ids[at[best]], "score": score[best]}))
-        return pd.concat(out, ignore_index=True)
-
-    found = index.groupBy("size", "shard", "block").cogroup(asked.groupBy("size", "shard", "block")).applyInPandas(search, "query_id long, id long, score double")
+        out = []
+        if len(mine) and len(queries):
+            x, q, ids = unit_rows(np.stack(mine["v"])), unit_rows(np.stack(queries["v"])), mine["ids"].tolist()
+            normals = planes(x.shape[1], TREES * DEPTH)
+            forest, strings = Forest(hash_strings(x, normals)), hash_strings(q, normals)
+            wanted = max(math.ceil(share * len(x)), 2 * k)
+            for i in range(0, len(q), 256):
+                masks = forest.candidates(strings[i : i + 256], wanted)
+                rough = np.where(masks, q[i : i + 256] @ x.T, -2.0)
+                for j in range(len(rough)):
+                    own = queries["id"].iat[i + j]
+                    # the k + 1 best entries hold the k best ids, one entry being the query's own
+                    least = np.partition(rough[j], max(0, len(x) - k - 1))[max(0, len(x) - k - 1)]
+                    at = np.flatnonzero(masks[j] & (rough[j] >= least - 1e-9))
+                    score = _cosines(np.stack(mine["v"].to_numpy()[at]), np.asarray(queries["v"].iat[i + j]))
+                    found = sorted((-s, v) for s, a in zip(score.tolist(), at.tolist()) for v in ids[a] if v != own)[:k]
+                    out += [(own, v, -s) for s, v in found]
+        return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+
+    found = mine.groupBy(*group).cogroup(theirs.groupBy(*group)).applyInPandas(search, "query_id long, id long, score double")
+    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score")) if trees else found
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def _cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The cosine of every row with q; each row is summed in the same order, so equal rows have equal cosines."""
+    x, q = x / np.abs(x).max(1, keepdims=True), q / np.abs(q).max()
+    return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, F.col("vec_id") % 50 == 0).withColumnRenamed("id", "vec_id").select("query_id", "rank", "vec_id", "score")
