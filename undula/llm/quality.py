@@ -29,8 +29,8 @@ NO_MARKS = bytes(c if c > 127 or chr(c) in string.digits + string.ascii_lowercas
 FIT_ROWS = 12_000
 #: Partitions of that bounded table, each round of fitting being a job over them, and rounds at most.
 FIT_PARTITIONS, FIT_ROUNDS = 6, 30
-#: Signs in the model at most, more than the bounded table has in MIN_DOCS documents, and the labelled documents that a sign must be in.
-VOCABULARY, MIN_DOCS = 1 << 18, 4
+#: Signs in the model at most, the commonest of that bounded table, and the labelled documents that a sign must be in.
+VOCABULARY, MIN_DOCS = 20_000, 4
 #: Hosts and paths up to so many are joined by broadcast, more by a shuffle.
 BROADCAST_SITES = 200_000
 #: The weight of the coefficients' absolute values in fitting, which leaves few signs in the model.
