@@ -20,15 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from undula.llm.shared import table
-from undula.llm.tokens import WORD_BPE, encoder
+from undula.llm.tokens import WORD_BPE, encoder, slices
 
 CAPACITY = 4096
 #: Windows packed together; bounds the memory of a task and the work of a merge.
 BLOCK_WINDOWS = 64
 #: Ids left free in each window of a block, so that near-equal windows fit in it.
 SLACK = 4
-#: Documents encoded at a time.
-ROWS = 2000
 PIECE = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("start", T.LongType()),
@@ -178,8 +176,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = WORD_BPE, e
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=PIECE.names)
 
         for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                part = whole.slice(i, ROWS)
+            for part in slices(whole):
                 ids, ends = enc.encode(part.column("text"), end_id)
                 whole_ids, places = ids.astype("<u4", copy=False).tobytes(), [0, *(4 * ends).tolist()]
                 rows = [p for d, a, b in zip(part.column("doc_id").to_pylist(), places, places[1:], strict=False) for p in packer.add(d, whole_ids[a:b])]

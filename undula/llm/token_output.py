@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from undula.llm.shared import fresh_path, table
-from undula.llm.tokens import WORD_BPE, encoder
+from undula.llm.tokens import WORD_BPE, encoder, slices
 
 ORC_OPTIONS = {
     "orc.compress": "zstd",
@@ -34,8 +34,6 @@ SCHEMA = T.StructType([
     T.StructField("n_tokens", T.LongType()),
     T.StructField("ids", T.ArrayType(T.IntegerType())),
 ])
-#: Texts encoded at a time.
-ROWS = 2000
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id: int = 1) -> None:
@@ -50,8 +48,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(i, ROWS)
+            for batch in slices(whole):
                 ids, ends = enc.encode(batch.column("text"), end_id)
                 sizes = np.diff(ends, prepend=0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.view(np.int32)))

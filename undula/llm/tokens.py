@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -17,9 +17,22 @@ CACHED = 300_000
 CACHED_CHARS = 60
 #: A word of Latin letters and the marks after it: one piece each, by the pattern of the tokenizer.
 WORD_AND_MARKS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)$"
+#: Bytes of text encoded at a time, about; a longer text is encoded by itself.
+SLICE_BYTES = 2 << 20
 _encoders: dict[str, ChunkEncoder] = {}
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about `most` bytes of text, so that memory doesn't grow with the texts' lengths."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64) + 64
+    part = (np.cumsum(sizes) - sizes) // most
+    cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk, a chunk being what stands between blanks and line feeds.
 
