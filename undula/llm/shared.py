@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,18 +42,50 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder, with their lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows written as a table to the shared folder and read back, which cuts their lineage.
+
+    Unlike a checkpoint's, the table's size is known to the planner, so that of plans
+    which build on many rounds of joins stays true.
+    """
+    path = fresh_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
+    """Mark a frame for broadcast only where it has at most `most` rows, or sum of weight.
+
+    weight: what a row counts where it holds an array or text, such as its length in
+    units of some tens of bytes. A larger frame is returned as it is, and Spark joins it
+    by a shuffle. Give a frame that is cheap to evaluate twice, such as one read from a
+    checkpoint.
+    """
+    if weight is None:
+        small = df.limit(most + 1).count() <= most
+    else:
+        small = (df.agg(F.sum(weight + 1)).first()[0] or 0) <= most
+    return F.broadcast(df) if small else df
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark a frame for broadcast only where counting shows at most max_rows rows.
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of sorted batches, cut between groups of the integer columns `keys` only.
 
-    A larger frame is returned as it is, and Spark joins it by a shuffle. Give a
-    frame that is cheap to evaluate twice, such as one read from a checkpoint.
+    A table holds a batch's groups; a group that several batches hold comes at once.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        last = int(np.argmax(np.logical_and.reduce([c == c[-1] for c in columns])))
+        ended = bool(held) and (last > 0 or any(held[0].column(k)[0].as_py() != c[0] for k, c in zip(keys, columns)))
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+        elif ended:
+            yield pa.Table.from_batches(held).combine_chunks()
+        held = ([] if last or ended else held) + [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

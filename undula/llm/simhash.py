@@ -9,34 +9,23 @@ r bits agree on all bits of some mask, and meet in that table. None is missed.
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undula.llm.components import connected_components
-from undula.llm.shared import broadcast_if_small, checkpointed, table
+from undula.llm.shared import checkpointed, table, whole_groups
 
 SEED = 42
 #: In a table's bucket up to this size all links are returned, in a larger one those of a spanning forest.
 ALL_LINKS = 16
-#: Seeds of the word-set fingerprints of near_duplicates, and documents of a candidate group in a block.
-SEEDS, COMPARED = (42, 43, 44), 256
-#: Tables of document numbers up to so many rows are broadcast, longer ones joined by shuffles.
-BROADCAST_NODES = 500_000
 #: Fingerprints compared with one another at a time in a large bucket.
 BLOCK = 2048
-#: Documents whose shingles are counted for the order of prefixes, and the commonest of them that are told apart.
-SAMPLED, COMMON = 20_000, 50_000
-#: Keys of up to so many rows give pairs, larger ones chains.
-PAIRED = 1024
-#: Rows of shingles that a task hands on at a time.
-ROWS_OUT = 200_000
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -70,29 +59,26 @@ def fingerprint(features: list[bytes], seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, repeats: bool = True, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """(doc_id, fp0, fp1 ...): one signed 64-bit fingerprint of the whole text for each seed.
-
-    repeats: a shingle counts as often as it occurs, else once.
-    """
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp): the signed 64-bit fingerprint of the whole text, each shingle counted as often as it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                found = shingles(words_of(text.as_py()), shingle)
-                found = found if repeats else list(set(found))
-                rows.append([fingerprint(found, s) for s in seeds])
-            values = np.array(rows, np.uint64).reshape(-1, len(seeds)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(values[:, i].copy()) for i in range(len(seeds)))], names=names)
+            values = np.array([fingerprint(shingles(words_of(t.as_py()), shingle)) for t in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], names=["doc_id", "fp"])
 
-    names = ["doc_id", *(f"fp{i}" for i in range(len(seeds)))]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _forest(fp: np.ndarray, node: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of one bucket; memory is bounded by BLOCK squared."""
-    root = np.arange(len(fp))
+    """Links of a spanning forest of one bucket, which connect what all links within the radius connect.
+
+    A bucket agrees on its mask, so few bits vary. Where the patterns of up to `radius` of
+    them are fewer than the rows, each is looked up in the sorted bucket; else rows are
+    compared block by block, and memory is bounded by BLOCK squared.
+    """
+    order = np.argsort(fp, kind="stable")
+    fp, node, root = fp[order], node[order], np.arange(len(fp)).tolist()
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -100,33 +86,63 @@ def _forest(fp: np.ndarray, node: np.ndarray, radius: int) -> list[tuple[int, in
             i = root[i]
         return i
 
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        varying = int(np.bitwise_or.reduce(fp ^ fp[0]))
+        bits = [1 << i for i in range(64) if varying >> i & 1]
+        patterns, least = [0], len(fp)
+        for n in range(1, radius + 1):
+            patterns += map(sum, itertools.islice(itertools.combinations(bits, n), max(0, least - len(patterns))))
+        if len(patterns) < least:
+            same = np.flatnonzero(fp[1:] == fp[:-1])
+            yield same, same + 1
+            for p in patterns[1:]:
+                wanted = fp ^ np.uint64(p)
+                at = np.minimum(np.searchsorted(fp, wanted), len(fp) - 1)
+                hit = np.flatnonzero((fp[at] == wanted) & (wanted > fp))
+                yield hit, at[hit]
+            return
+        for i in range(0, len(fp), BLOCK):
+            for j in range(i, len(fp), BLOCK):
+                x, y = np.nonzero(np.bitwise_count(fp[i : i + BLOCK, None] ^ fp[None, j : j + BLOCK]) <= radius)
+                later = x + i < y + j
+                yield x[later] + i, y[later] + j
+
     out = []
-    for i in range(0, len(fp), BLOCK):
-        for j in range(i, len(fp), BLOCK):
-            a, b = np.nonzero(np.bitwise_count(fp[i : i + BLOCK, None] ^ fp[None, j : j + BLOCK]) <= radius)
-            for x, y in zip((a + i).tolist(), (b + j).tolist()):
-                if x < y and (p := find(x)) != (q := find(y)):
-                    root[max(p, q)] = min(p, q)
-                    out.append((node[x], node[y]))
+    for a, b in pairs():
+        for x, y in zip(a.tolist(), b.tolist()):
+            if (p := find(x)) != (q := find(y)):
+                root[max(p, q)] = min(p, q)
+                out.append((node[x], node[y]))
     return out
 
 
-def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
+def bucket_links(rows: DataFrame, radius: int, stars: bool = False) -> DataFrame:
     """(a, b): nodes in one bucket whose fingerprints differ in at most radius bits.
 
     rows: (key, node, fp). Buckets are sorted together and read as a stream, so a task
     holds the bucket at hand only. A bucket of up to ALL_LINKS rows gives all its
-    links, a larger one enough of them to connect what all of them connect.
+    links, a larger one enough of them to connect what all of them connect. stars: a
+    bucket's rows are linked to its first row or, where that is too far, to the row
+    before only, which is for candidates that an exact search completes.
     """
 
+    def starred(start: np.ndarray, node: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
+        at = np.arange(len(fp))
+        near = lambda to: (np.bitwise_count(fp ^ fp[to]) <= radius) & (node != node[to])
+        first, before = near(start), np.maximum(at - 1, start)
+        to = np.where(first, start, before)
+        linked = np.flatnonzero(first | near(before))
+        return list(zip(node[linked].tolist(), node[to[linked]].tolist()))
+
     def links(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         size = np.diff(cuts)
+        if stars:
+            return starred(np.repeat(cuts[:-1], size), node, fp)
         for i in np.flatnonzero(size > ALL_LINKS).tolist():
             out += _forest(fp[cuts[i] : cuts[i + 1]], node[cuts[i] : cuts[i + 1]], radius)
-        small = np.repeat(size <= ALL_LINKS, size)
-        at = np.flatnonzero(small)
+        at = np.flatnonzero(np.repeat(size <= ALL_LINKS, size))
         for lag in range(1, ALL_LINKS):
             at = at[at + lag < len(key)]
             at = at[key[at] == key[at + lag]]
@@ -137,42 +153,22 @@ def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            pairs = links(*(np.concatenate(c) for c in zip(*parts)))
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, node, fp = (batch.column(c).to_numpy() for c in ("key", "node", "fp"))
-            fp = fp.view(np.uint64)
-            last = int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
-            if last:
-                yield out([*held, (key[:last], node[:last], fp[:last])])
-                held = []
-            elif held and held[0][0][0] != key[0]:
-                yield out(held)
-                held = []
-            held.append((key[last:], node[last:], fp[last:]))
-        if held:
-            yield out(held)
+        for rows in whole_groups(batches, ["key"]):
+            key, node, fp = (rows.column(c).to_numpy() for c in ("key", "node", "fp"))
+            pairs = links(key, node, fp.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_links(nodes: DataFrame, radius: int, n_fingerprints: int = 1) -> DataFrame:
-    """(a, b) of nodes (node, fp0 ...) of which some fingerprint differs in at most radius bits.
+def near_links(nodes: DataFrame, radius: int, stars: bool = False) -> DataFrame:
+    """(a, b) of nodes (node, fp) whose fingerprints differ in at most radius bits.
 
-    Enough links are returned to connect what all of them connect.
+    Enough links are returned to connect what all of them connect, or with `stars` a few
+    for each node, as bucket_links has it.
     """
-    tables = [
-        F.struct(F.xxhash64(F.lit(i * 1000 + v), F.col(f"fp{i}").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))).alias("key"), F.col(f"fp{i}").alias("fp"))
-        for i in range(n_fingerprints)
-        for v, mask in enumerate(covering_masks(radius))
-    ]
-    return bucket_links(nodes.select("node", F.explode(F.array(*tables)).alias("t")).select("t.key", "node", "t.fp"), radius)
+    tables = [F.xxhash64(F.lit(v), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))) for v, mask in enumerate(covering_masks(radius))]
+    return bucket_links(nodes.select(F.explode(F.array(*tables)).alias("key"), "node", "fp"), radius, stars)
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -185,272 +181,13 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     doc_id names no node: it joins the component of texts with its fingerprint, if any.
     An empty table gives no rows.
     """
-    fps = checkpointed(fingerprints(docs, shingle).withColumnRenamed("fp0", "fp"))
+    fps = checkpointed(fingerprints(docs, shingle))
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    linked = connected_components(near_links(nodes.where("node is not null").withColumnRenamed("fp", "fp0"), radius))
+    linked = connected_components(near_links(nodes.where("node is not null"), radius))
     named = nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _word_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b, fp0 ...): 128 bits of the words in order, and fingerprints of the set of words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                words = words_of(text.as_py())
-                whole, each = xxhash.xxh3_128_intdigest(b" ".join(words)), list(set(words))
-                rows.append([whole >> 64, whole & ((1 << 64) - 1), *(fingerprint(each, s) for s in SEEDS)])
-            values = np.array(rows, np.uint64).reshape(-1, len(names) - 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c.copy()) for c in values.T)], names=names)
-
-    names = ["doc_id", "a", "b", *(f"fp{i}" for i in range(len(SEEDS)))]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
-
-
-def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
-    """The hashes of the runs of `size` words, sorted, once each; fewer words give none."""
-    n = len(words) - size + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
-    h, out = np.fromiter((known[w] for w in words), np.uint64, len(words)), np.zeros(n, np.uint64)
-    for i in range(size):
-        out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
-
-
-def _common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the commonest shingles in a sample of docs (node, text) of bounded size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column("text"):
-                found = shingle_hashes(words_of(text.as_py()), shingle).view(np.int64)
-                for i in range(0, len(found), ROWS_OUT):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[i : i + ROWS_OUT])], names=["key"])
-
-    n = docs.select("node").count()
-    sample = docs.where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(max(1, -(-n // SAMPLED)))) == 0).select("text")
-    counted = sample.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(COMMON)
-    rows = sorted((r["key"] & ((1 << 64) - 1), r["n"]) for r in counted.collect())
-    return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
-
-
-def prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(key, node, n, pos): the first shingles of each text's set in one order for all texts.
-
-    docs: (node, text). Sets of n and m shingles of that Jaccard similarity share
-    similarity * n of them or more, so their first n - ceil(similarity * n) + 1 share
-    one, whatever the order. What is common in a sample comes last; that changes the
-    number of candidates, not which pairs meet.
-    """
-    common, counts = _common_shingles(docs, shingle)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        waiting = 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["key", "node", "n", "pos"])
-
-        for batch in batches:
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text")):
-                found = shingle_hashes(words_of(text.as_py()), shingle)
-                if not (n := len(found)):
-                    continue
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
-                size = n - math.ceil(similarity * n - 1e-9) + 1
-                held.append((found[:size].view(np.int64), np.full(size, node, np.int64), np.full(size, n, np.int32), np.arange(size, dtype=np.int32)))
-                waiting += size
-                if waiting >= ROWS_OUT:
-                    yield out()
-                    held, waiting = [], 0
-        if held:
-            yield out()
-
-    return docs.select("node", "text").mapInArrow(run, "key long, node long, n int, pos int")
-
-
-def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, large) that share a key of rows (key, node, n, pos, label) under different labels.
-
-    A key of up to PAIRED rows gives every pair of nodes whose sizes, and whose shingles
-    left after the shared one, allow the similarity. A larger one (large) gives a chain
-    of labels by size, cut where sizes are too far apart: it connects all pairs that
-    sizes allow.
-    """
-
-    def allowed(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarray:
-        left = np.minimum(x[1] - x[2], y[1] - y[2])
-        return (x[3] != y[3]) & (x[1] >= similarity * y[1] - 1e-9) & (left >= similarity / (1 + similarity) * (x[1] + y[1]) - 1e-9)
-
-    def pairs(key: np.ndarray, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
-        node = rest[0]
-        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        size, found = np.diff(cuts), [np.empty((3, 0), np.int64)]
-        few = np.repeat(size <= ALL_LINKS, size)
-        for lag in range(1, ALL_LINKS):
-            at = np.flatnonzero((key[lag:] == key[:-lag]) & few[lag:])
-            if not len(at):
-                break
-            at = at[allowed(tuple(x[at] for x in rest), tuple(x[at + lag] for x in rest))]
-            found.append(np.stack([node[at], node[at + lag], np.zeros(len(at), np.int64)]))
-        for i in np.flatnonzero(size > ALL_LINKS).tolist():
-            own = tuple(x[cuts[i] : cuts[i + 1]] for x in rest)
-            if size[i] <= PAIRED:
-                x, y = np.nonzero(np.triu(allowed(tuple(c[:, None] for c in own), tuple(c[None] for c in own)), 1))
-                found.append(np.stack([own[0][x], own[0][y], np.zeros(len(x), np.int64)]))
-            else:
-                x = np.flatnonzero((own[3][1:] != own[3][:-1]) & (own[1][:-1] >= similarity * own[1][1:] - 1e-9))
-                found.append(np.stack([own[3][x], own[3][x + 1], np.ones(len(x), np.int64)]))
-        a, b, large = np.concatenate(found, axis=1)
-        each = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), large]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(each[0].copy()), pa.array(each[1].copy()), pa.array(each[2] > 0)], names=["a", "b", "large"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = tuple(batch.column(c).to_numpy() for c in ("key", "node", "n", "pos", "label"))
-            last = int(np.argmax(now[0] == now[0][-1]))
-            if held and (last or held[0][0][0] != now[0][0]):
-                parts = [*held, tuple(x[:last] for x in now)]
-                yield from pairs(*(np.concatenate(c) for c in zip(*parts)))
-                held = []
-            elif last:
-                yield from pairs(*(x[:last] for x in now))
-            held.append(tuple(x[last:] for x in now))
-        if held:
-            yield from pairs(*(np.concatenate(c) for c in zip(*held)))
-
-    return rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, "a long, b long, large boolean").distinct()
-
-
-def similar_in_block(rows: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the rows (node, set) whose sets have that Jaccard similarity.
-
-    Rows of one label, if there is such a column, are taken to be linked already.
-    """
-    rows = rows.drop_duplicates("node").sort_values("node")
-    nodes, sets, root = rows["node"].tolist(), rows["set"].tolist(), list(range(len(rows)))
-    if "label" in rows:
-        first: dict[int, int] = {}
-        root = [first.setdefault(x, i) for i, x in enumerate(rows["label"].tolist())]
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    for i in range(len(nodes)):
-        for j in range(i + 1, len(nodes)):
-            small, large = sorted((len(sets[i]), len(sets[j])))
-            if small < similarity * large or find(i) == find(j):
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= similarity * (small + large - both):
-                root[max(find(i), find(j))] = min(find(i), find(j))
-                out.append((nodes[i], nodes[j]))
-    return out
-
-
-def _sets(docs: DataFrame, shingle: int, kept: dict[str, str]) -> DataFrame:
-    """The columns kept, with their types, and `set`: the sorted hashes of the shingles of `text`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(words_of(t.as_py()), shingle)], np.uint64)).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.list_(pa.int64()))], names=[*kept, "set"])
-
-    return docs.select(*kept, "text").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kept.items()) + ", set array<long>")
-
-
-def _group_links(texts: DataFrame, near: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b) of similar nodes within each group of near (node, component, label), compared exactly.
-
-    Groups are cut into blocks of rows, and each two blocks of one group are compared in
-    a task of their own, so no task holds a whole group.
-    """
-    near = near.join(near.groupBy("component").agg(F.count("*").alias("n")), "component")
-    blocks = F.ceil(F.col("n") / COMPARED).cast("int")
-    near = checkpointed(near.select("node", "component", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
-    held = _sets(texts.join(broadcast_if_small(near, BROADCAST_NODES), "node"), shingle, {"node": "long", "component": "long", "label": "long", "blocks": "int", "block": "int"})
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = held.select("component", "node", "label", "set", "block", other.alias("other")).select(
-        "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "label", "set"
-    )
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(similar_in_block(rows, similarity), columns=["a", "b"]).astype("int64")
-
-    return checkpointed(met.groupBy("component", "x", "y").applyInPandas(compare, "a long, b long"))
-
-
-def _pair_links(texts: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The rows of pairs (a, b) whose texts are similar, compared exactly."""
-    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = checkpointed(_sets(texts.join(broadcast_if_small(wanted, BROADCAST_NODES), "node"), shingle, {"node": "long"}))
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
-    both = F.size(F.array_intersect("s", "t"))
-    return met.where(both >= similarity * (F.size("s") + F.size("t") - both)).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4) -> DataFrame:
-    """(doc_id, component_id) for every row of docs: groups of texts of that Jaccard similarity.
-
-    Candidates are found twice. Covering tables over three fingerprints of a text's set
-    of words, any of which may differ in at most `radius` bits, find most copies with
-    scattered edits; what such candidates reach together is compared and linked. They
-    miss others, such as added passages, so texts that are not linked by then also meet
-    by the first shingles of their sets (`prefixes`), which misses no pair. All candidates
-    are compared exactly, by the sets of `shingle`-word shingles, and only pairs of
-    `similarity` or more are linked. Texts of the same words in order are one node.
-    component_id is the smallest doc_id that links reach. Nulls, repeats, blank texts
-    and empty tables: as simhash_components has it; blank texts are copies of one another.
-    """
-    keyed = checkpointed(_word_sets(docs))
-    nodes = checkpointed(keyed.groupBy("a", "b").agg(F.min("doc_id").alias("node"), *[F.first(f"fp{i}").alias(f"fp{i}") for i in range(len(SEEDS))]))
-    named = nodes.where("node is not null")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    near = connected_components(near_links(named, radius, len(SEEDS)))
-    links = _group_links(texts, near.select("node", "component", F.col("node").alias("label")), similarity, shingle)
-    linked = connected_components(links)
-
-    own = checkpointed(named.select("node").distinct())
-    labels = checkpointed(own.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("label")))
-    rows = prefixes(texts.join(broadcast_if_small(own, BROADCAST_NODES), "node", "left_semi"), similarity, shingle)
-    met = checkpointed(prefix_pairs(rows.join(broadcast_if_small(labels, BROADCAST_NODES), "node"), similarity))
-    pairs = _pair_links(texts, met.where("not large").select("a", "b"), similarity, shingle)
-    groups = connected_components(met.where("large").select("a", "b"))
-    hot = labels.join(groups.withColumnRenamed("node", "label"), "label").select("node", "component", "label")
-    linked = connected_components(checkpointed(links.unionByName(pairs).unionByName(_group_links(texts, hot, similarity, shingle))))
-
-    groups = nodes.join(linked, "node", "left").select("a", "b", F.coalesce("component", "node").alias("component_id"))
-    return keyed.join(groups, ["a", "b"]).select("doc_id", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4) -> DataFrame:
-    """docs with one document of each group of near duplicates, that of the smallest doc_id.
-
-    Of repeated rows with one doc_id one stays; rows without a doc_id all stay.
-    """
-    groups = checkpointed(near_duplicates(docs, similarity, shingle, radius))
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(broadcast_if_small(checkpointed(dropped), BROADCAST_NODES), "doc_id", "left_anti").select(docs.columns)
-    named = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    if named.where("n > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
