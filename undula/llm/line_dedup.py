@@ -37,13 +37,14 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> D
 
     Rows per hash are counted first with map-side sums. Only hashes that reach the
     threshold so can reach it in distinct documents, so that exact count runs over
-    few rows even where rows repeat.
+    few rows even where rows repeat. Both lists of keys are counted before they are
+    broadcast, so the documents of a common key stay in the tasks that they are in.
     """
     rows = line_hashes(docs, min_chars)
     often = checkpointed(rows.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
     held = checkpointed(rows.join(broadcast_if_small(often, BROADCAST_KEYS), ["a", "b"]).distinct())
-    enough = held.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("a", "b")
-    return held.join(enough, ["a", "b"])
+    enough = checkpointed(held.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
+    return held.join(broadcast_if_small(enough, BROADCAST_KEYS), ["a", "b"])
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -52,16 +53,18 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1)
     Needs doc_id and text; other columns pass through, except that own columns named
     n_lines or n_dropped are replaced. A null text is one empty line and becomes an
     empty text. Empty keys (below min_chars) are never dropped. Rows with one doc_id
-    are one document in the count, and each of them is returned. An empty table gives
-    an empty table. A line keeps its own spelling: only its key is normalised.
+    are one document in the count, as are all rows without a doc_id, and each of them is
+    returned without its frequent lines. An empty table gives an empty table. A line
+    keeps its own spelling: only its key is normalised.
     """
-    per_doc = frequent_lines(docs, min_docs, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("_frequent"))
+    per_doc = frequent_lines(docs, min_docs, min_chars).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("a", "b")).alias("_frequent"))
     lines, keys = F.split(F.coalesce("text", F.lit("")), "\n", -1), line_keys(F.col("text"))
     kept = F.transform(
         F.filter(F.arrays_zip(lines.alias("line"), keys.alias("key")), lambda x: ~F.array_contains(F.col("_frequent"), key_hash(x["key"]))),
         lambda x: x["line"],
     )
-    clean = docs.drop("n_lines", "n_dropped", "_frequent").join(per_doc, "doc_id", "left")
+    clean = docs.drop("n_lines", "n_dropped", "_frequent", "_id")
+    clean = clean.join(per_doc, clean["doc_id"].eqNullSafe(per_doc["_id"]), "left").drop("_id")
     touched = F.col("_frequent").isNotNull()
     return (
         clean.withColumn("n_lines", F.size(lines).cast("long"))
