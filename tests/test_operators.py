@@ -147,7 +147,10 @@ def test_empty_panels(spark):
 
 
 def test_q_values():
-    assert np.allclose(patterns.storey_q([0.01, 0.02, 0.03, 0.04]), np.full(4, 0.04) * 0.25 / 1, atol=0.04)
+    # no p above 0.05, so the share of true nulls is the least allowed, 1 / 4; q of all is 0.25 * 0.04 * 4 / 4
+    assert np.allclose(patterns.storey_q([0.01, 0.02, 0.03, 0.04]), 0.01, atol=1e-12)
+    # half of them above every point of the grid up to 0.9: nulls 0.5 / 0.95 at 0.05 is the least
+    assert np.allclose(patterns.storey_q([0.01, 0.95]), [0.5 / 0.95 * 0.02, 0.5 / 0.95 * 0.95], atol=1e-12)
     p = np.random.default_rng(0).uniform(size=400)
     assert (patterns.storey_q(p) >= p * 0.5).all()
 
@@ -165,3 +168,26 @@ def test_residuals_and_contrasts(spark):
     t = statistics.glm_contrast(x, ["one", "x"], "y", [0, 1], 2.0).first()
     assert t["df"] == 38 and abs(t["t"]) < 1
     assert statistics.glm_f(x, ["one", "x"], "y", [[0, 1]]).first()["p"] < 1e-20
+
+
+def test_following_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(panel, "TIME_CHUNK", 4)
+    rows = [(k, t, float(10 * k + t)) for k in (1, 2) for t in (0, 1, 3, 4, 9, 10, 30)]
+    got = {(r["k"], r["t"]): r["x"] for r in panel.following(table(spark, rows, "k int, t int, value double"), "value", ["k"]).collect()}
+    want = {(k, a): 10.0 * k + b for k in (1, 2) for a, b in zip((0, 1, 3, 4, 9, 10), (1, 3, 4, 9, 10, 30))}
+    assert got == {**want, (1, 30): None, (2, 30): None}
+
+
+def test_dense_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(panel, "TIME_CHUNK", 3)
+    cells = table(spark, [("a", 0, 1.0), ("b", 7, 2.0)], "channel string, t int, value double")
+    got = panel.dense(cells, cells.select("channel").distinct())
+    assert {(r["channel"], r["t"]): r["value"] for r in got.collect()} == {**{(c, t): 0.0 for c in "ab" for t in range(8)}, ("a", 0): 1.0, ("b", 7): 2.0}
+
+
+def test_pair_sums_count_only_what_both_know(spark):
+    rows = [("u", c, t, v) for t in range(40) for c, v in ((1, t * 1.5), (2, None if t % 3 else t - 5.0), (3, float(t * t)))] + [("v", 1, 0, 2.0), ("v", 3, 0, 4.0), ("v", 3, 1, 1.0)]
+    got = {(r["k"], r["i"], r["j"]): (r["n"], r["lr"], r["l"]) for r in moments.pair_sums(table(spark, rows, "k string, channel int, t int, value double"), "value", "value", ["k"]).collect()}
+    known = [(t * 1.5, t - 5.0) for t in range(0, 40, 3)]
+    assert got["u", 1, 2] == pytest.approx((14, sum(a * b for a, b in known), sum(a for a, _ in known)))
+    assert got["v", 1, 3] == pytest.approx((1, 8.0, 2.0)) and ("v", 1, 2) not in got and got["v", 3, 3] == pytest.approx((2, 17.0, 5.0))

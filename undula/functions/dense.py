@@ -63,6 +63,35 @@ def spline_matrix(t: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out + ((s**3 / (6 * w) - s * w / 6) + 0)[:, None] * bend[i + 1] + (-(s**3) / (6 * w) + s**2 / 2 - s * w / 3)[:, None] * bend[i]
 
 
+def spline(step: float, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The not-a-knot cubic spline through y at step, 2 step, ..., evaluated at `at`; four samples or more.
+
+    On an even grid the end conditions give the second derivatives next to the ends at
+    once, and those between follow from one pass down and one up.
+    """
+    n = len(y)
+    bend = np.zeros(n)
+    d = (y[2:] - 2 * y[1:-1] + y[:-2]) / (step * step)
+    bend[1], bend[n - 2] = d[0], d[-1]
+    if n > 4:
+        right = 6 * d[1:-1]
+        right[0] -= bend[1]
+        right[-1] -= bend[n - 2]
+        c, g = np.empty(len(right)), np.empty(len(right))
+        c[0], g[0] = 1 / 4, right[0] / 4
+        for i in range(1, len(right)):
+            c[i] = 1 / (4 - c[i - 1])
+            g[i] = (right[i] - g[i - 1]) * c[i]
+        for i in range(len(right) - 2, -1, -1):
+            g[i] -= c[i] * g[i + 1]
+        bend[2 : n - 2] = g
+    bend[0], bend[-1] = 2 * bend[1] - bend[2], 2 * bend[n - 2] - bend[n - 3]
+    i = np.clip(np.floor(at / step - 1).astype(int), 0, n - 2)
+    u = at - step * (i + 1)
+    slope = (y[i + 1] - y[i]) / step - step * (2 * bend[i] + bend[i + 1]) / 6
+    return y[i] + u * (slope + u * (bend[i] / 2 + u * (bend[i + 1] - bend[i]) / (6 * step)))
+
+
 def band_pass(x: np.ndarray, rate: float, low: float, high: float) -> np.ndarray:
     """Rows without what lies outside low..high Hz: zero phase, in the Fourier domain, mirrored at both ends, raised-cosine edges."""
     n = x.shape[-1]

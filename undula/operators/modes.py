@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from undula.functions.columns import safe_corr, wrap_phase
-from undula.functions.dense import band_pass, forward_backward, lasso, modes, refit, spline_matrix
+from undula.functions.dense import band_pass, forward_backward, lasso, modes, refit, spline
+from undula.operators.moments import HELD_KEYS
+from undula.operators.panel import folds, following
 
 Keys = Sequence[str]
 SAMPLES = "t long, channel int, value double"
@@ -33,27 +37,31 @@ def _schema(panel: DataFrame, keys: Keys, rest: str) -> str:
 
 
 def filtered(panel: DataFrame, keys: Keys, rate: float, low: float, high: float) -> DataFrame:
-    """The panel band-passed, each session in a task of its own."""
+    """The panel band-passed, each channel of a session, its samples in order of t, in a task of its own."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        channels, times, x = _matrix(rows)
-        return _long(keys, rows, channels, times, band_pass(x, rate, low, high))[[*keys, "channel", "t", "value"]]
+        rows = rows.sort_values("t")
+        return rows.assign(value=band_pass(rows[["value"]].to_numpy(float).T, rate, low, high)[0])[[*keys, "channel", "t", "value"]]
 
-    return panel.groupBy(*keys).applyInPandas(run, _schema(panel, keys, "channel int, t long, value double"))
+    return panel.groupBy(*keys, "channel").applyInPandas(run, _schema(panel, keys, "channel int, t long, value double"))
 
 
 def resampled(panel: DataFrame, keys: Keys, step: float, new_step: float) -> DataFrame:
-    """The panel on another grid, by not-a-knot cubic splines; sample i of a session is at (i + 1) steps."""
+    """The panel on another grid, by not-a-knot cubic splines; sample i of a channel is at (i + 1) steps.
+
+    Each channel of a session is solved in a task of its own, in time and memory that
+    grow with its samples.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        channels, times, x = _matrix(rows)
-        end = step * len(times)
+        y = rows.sort_values("t")["value"].to_numpy(float)
+        end = step * len(y)
         at = np.arange(1, int(np.floor(end / new_step + 1e-9)) + 1) * new_step
         at = at[(at >= step) & (at <= end + 1e-9)]
-        y = x @ spline_matrix(step * np.arange(1, len(times) + 1), at).T if len(times) > 3 and step != new_step else x
-        return _long(keys, rows, channels, np.arange(y.shape[1]), y)[[*keys, "channel", "t", "value"]]
+        y = spline(step, y, at) if len(y) > 3 and step != new_step else y
+        return pd.DataFrame({**{k: rows[k].iat[0] for k in keys}, "channel": rows["channel"].iat[0], "t": np.arange(len(y)), "value": y})
 
-    return panel.groupBy(*keys).applyInPandas(run, _schema(panel, keys, "channel int, t long, value double"))
+    return panel.groupBy(*keys, "channel").applyInPandas(run, _schema(panel, keys, "channel int, t long, value double"))
 
 
 def nuisance_residual(panel: DataFrame, regressors: DataFrame, keys: Keys) -> DataFrame:
@@ -71,20 +79,62 @@ def nuisance_residual(panel: DataFrame, regressors: DataFrame, keys: Keys) -> Da
     return panel.groupBy(*keys).cogroup(regressors.groupBy(*keys)).applyInPandas(run, _schema(panel, keys, "channel int, t long, value double"))
 
 
+def time_sums(panel: DataFrame, keys: Keys, n_channels: int, part: Callable[[np.ndarray, np.ndarray | None], np.ndarray], paired: bool) -> DataFrame:
+    """(keys, place, value): sums over the samples of each key of what `part` gives for some of them.
+
+    part takes samples by channels 1..n_channels, absent ones 0, and with `paired` each
+    one's next sample, the last of a key having none; it returns a flat array of sums.
+    Channels of a t are gathered into one row, tasks sum the rows they have, and the
+    tasks' sums are added place by place: a session may be spread over any number of tasks.
+    """
+    frames = panel.groupBy(*keys, "t").agg(F.collect_list(F.struct(F.col("channel").cast("int").alias("c"), F.col("value").cast("double").alias("v"))).alias("now"))
+    sides = ["now", "next"] if paired else ["now"]
+    frames = following(frames, "now", keys, "next").where("next is not null") if paired else frames
+    flat = frames.select(*keys, *[F.col(f"{side}.{f}").alias(f"{side}_{f}") for side in sides for f in "cv"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, value in sums.items():
+                yield pa.RecordBatch.from_arrays([*(pa.array([k], t) for k, t in zip(key, types)), pa.array([value], pa.list_(pa.float64()))], names=[*keys, "sums"])
+            sums.clear()
+
+        for batch in batches:
+            types = [batch.column(k).type for k in keys]
+            wide = []
+            for side in sides:
+                channel, value = batch.column(f"{side}_c"), batch.column(f"{side}_v")
+                x = np.zeros((batch.num_rows, n_channels))
+                x[np.repeat(np.arange(batch.num_rows), np.diff(channel.offsets.to_numpy())), channel.flatten().to_numpy() - 1] = np.nan_to_num(value.flatten().to_numpy(zero_copy_only=False))
+                wide.append(x)
+            key_of = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
+            for key in dict.fromkeys(key_of):
+                of = np.array([k == key for k in key_of])
+                value = part(wide[0][of], wide[1][of] if paired else None)
+                sums[key] = sums[key] + value if key in sums else value
+            if len(sums) > HELD_KEYS:
+                yield from out()
+        yield from out()
+
+    parts = flat.mapInArrow(run, _schema(panel, keys, "sums array<double>"))
+    return parts.select(*keys, F.posexplode("sums").alias("place", "x")).groupBy(*keys, "place").agg(F.sum("x").alias("value"))
+
+
 def session_moments(panel: DataFrame, keys: Keys, n_channels: int) -> DataFrame:
     """(keys, tau, yy, xy, xx): pairs of a session and their second moments, flat arrays over channels 1..n_channels.
 
     One row for each session, the only size that later steps see.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        channels, times, values = _matrix(rows)
-        x = np.zeros((n_channels, len(times)))
-        x[channels - 1] = values
-        y, z = x[:, :-1], x[:, 1:]
-        return pd.DataFrame({**{k: [rows[k].iat[0]] for k in keys}, "tau": [len(times) - 1], "yy": [(y @ y.T).ravel()], "xy": [(z @ y.T).ravel()], "xx": [(z @ z.T).ravel()]})
+    def part(y: np.ndarray, x: np.ndarray | None) -> np.ndarray:
+        return np.concatenate([[len(y)], (y.T @ y).ravel(), (x.T @ y).ravel(), (x.T @ x).ravel()])
 
-    return panel.groupBy(*keys).applyInPandas(run, _schema(panel, keys, "tau long, yy array<double>, xy array<double>, xx array<double>"))
+    sums, size = time_sums(panel, keys, n_channels, part, True), n_channels * n_channels
+    whole = sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("_sums"))
+    cut = lambda i, name: F.slice("_sums", 2 + i * size, size).alias(name)
+    return whole.select(*keys, F.col("_sums")[0].cast("long").alias("tau"), cut(0, "yy"), cut(1, "xy"), cut(2, "xx"))
 
 
 def summed(moments: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -141,23 +191,48 @@ def subject_metrics(moments: DataFrame, keys: Keys, vectors: np.ndarray, n_chann
 
 
 def engagement(panel: DataFrame, keys: Keys, vectors: np.ndarray, n_channels: int) -> DataFrame:
-    """(keys, mode_idx, b_mean, b_var): mean and variance over samples of the magnitude of each mode's projection."""
-    v = np.linalg.pinv(vectors)
+    """(keys, mode_idx, b_mean, b_var): mean and variance over samples, but the last, of the magnitude of each mode's projection."""
+    v, k = np.linalg.pinv(vectors), vectors.shape[1]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        channels, times, values = _matrix(rows)
-        x = np.zeros((n_channels, len(times)))
-        x[channels - 1] = values
-        b = np.abs(v @ x[:, :-1])
-        return pd.DataFrame({**{k: rows[k].iat[0] for k in keys}, "mode_idx": np.arange(1, len(b) + 1), "b_mean": b.mean(1), "b_var": b.var(1, ddof=1) if b.shape[1] > 1 else 0.0})
+    def part(y: np.ndarray, x: np.ndarray | None) -> np.ndarray:
+        b = np.abs(y @ v.T)
+        return np.concatenate([np.full(k, len(b), float), b.sum(0), (b * b).sum(0)])
+
+    s = _by_mode(time_sums(panel, keys, n_channels, part, True), keys, k, ("_n", "_s", "_q"))
+    mean = F.col("_s") / F.col("_n")
+    var = F.when(F.col("_n") > 1, F.greatest(F.col("_q") - F.col("_s") * mean, F.lit(0.0)) / (F.col("_n") - 1)).otherwise(0.0)
+    return s.select(*keys, "mode_idx", mean.alias("b_mean"), var.alias("b_var"))
+
+
+def _by_mode(sums: DataFrame, keys: Keys, k: int, names: tuple[str, ...]) -> DataFrame:
+    """(keys, mode_idx, names): sums of k modes after one another, a row for each mode."""
+    mode = (F.col("place") % k + 1).cast("int").alias("mode_idx")
+    return sums.groupBy(*keys, mode).agg(*[F.sum(F.when(F.floor(F.col("place") / k) == i, F.col("value"))).alias(n) for i, n in enumerate(names)])
 
-    return panel.groupBy(*keys).applyInPandas(run, _schema(panel, keys, "mode_idx int, b_mean double, b_var double"))
 
+def fold_modes(moments: DataFrame, unit: str, n_channels: int, low: float, high: float, n_folds: int = 5) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """((unit, fold), vectors by fold): modes fitted on the units outside each fold.
 
-def forecasts(panel: DataFrame, keys: Keys, vectors: np.ndarray, n_channels: int, pairs: Sequence[int], sparse: float | None = None, kernel: float | None = None) -> DataFrame:
+    The moments of the units of a fold are summed once; the driver sees a matrix of
+    sums for each fold, and takes each from the sum of all.
+    """
+    dealt = folds(moments, unit, n_folds)
+    m = summed(moments.join(dealt, unit), ["fold"]).toPandas()
+    each = {f: {c: g.sort_values("place")[c].to_numpy().reshape(n_channels, n_channels) for c in ("yy", "xy", "xx")} for f, g in m.groupby("fold")}
+    found = {}
+    for f in each:
+        if rest := [x for g, x in each.items() if g != f]:
+            yy, xy, xx = (sum(x[c] for x in rest) for c in ("yy", "xy", "xx"))
+            found[int(f)] = modes(forward_backward(xy, yy, xy.T, xx)[0], low, high)[0]
+    return dealt, found
+
+
+def forecasts(panel: DataFrame, keys: Keys, vectors: np.ndarray | dict[int, np.ndarray], n_channels: int, pairs: Sequence[int], sparse: float | None = None, kernel: float | None = None) -> DataFrame:
     """(keys, model, n_modes, r2, loss): one-step forecasts of a session's last fifth, fitted on what is before.
 
-    model: modes (with each number of conjugate pairs), null (one coefficient),
+    vectors: the modes, or those of each `fold`, which then is one of the keys. A session
+    is forecast by one task, which needs its samples together; sessions are of bounded
+    length. model: modes (with each number of conjugate pairs), null (one coefficient),
     persistence, sparse (null plus row-wise lasso of its residual) where a weight is
     given, and kernel (null plus the residual averaged by Gaussian weights of the
     distance, the median distance times kernel / 50 wide) where a width is given. r2: mean over channels of 1 - SSE / SST about the held-out mean. loss: mean
@@ -176,7 +251,10 @@ def forecasts(panel: DataFrame, keys: Keys, vectors: np.ndarray, n_channels: int
         sst = ((xt - xt.mean(1, keepdims=True)) ** 2).sum(1)
         sse = {("null", 0): ((xt - a * yt) ** 2).sum(1), ("persistence", 0): ((xt - yt) ** 2).sum(1)}
         for k in pairs:
-            u = vectors[:, : 2 * k]
+            own = vectors.get(int(rows["fold"].iat[0])) if isinstance(vectors, dict) else vectors
+            if own is None or own.shape[1] < 2 * k:
+                continue
+            u = own[:, : 2 * k]
             d, v = refit(u, y @ y.T, x @ y.T), np.linalg.pinv(u)
             step = (d[0] * (np.eye(n_channels) - u @ v) + u @ np.diag(d[1:]) @ v).real
             sse["modes", k] = ((xt - step @ yt) ** 2).sum(1)
@@ -217,18 +295,19 @@ def phase_coupling(modes_: DataFrame) -> DataFrame:
 
 def global_coupling(panel: DataFrame, keys: Keys, vectors: np.ndarray, n_channels: int) -> DataFrame:
     """(keys, mode_idx, r, share): correlation of the mean over channels with each mode's part of it, and |r| as a share of all modes'."""
-    v, mean = np.linalg.pinv(vectors), vectors.mean(0)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        channels, times, values = _matrix(rows)
-        x = np.zeros((n_channels, len(times)))
-        x[channels - 1] = values
-        signal, parts = x.mean(0), ((v @ x) * mean[:, None]).real
-        sd = signal.std() * parts.std(1)
-        r = np.divide(((parts - parts.mean(1, keepdims=True)) * (signal - signal.mean())).mean(1), sd, out=np.zeros(len(parts)), where=sd > 0)
-        return pd.DataFrame({**{k: rows[k].iat[0] for k in keys}, "mode_idx": np.arange(1, len(r) + 1), "r": r, "share": np.abs(r) / max(np.abs(r).sum(), 1e-300)})
-
-    return panel.groupBy(*keys).applyInPandas(run, _schema(panel, keys, "mode_idx int, r double, share double"))
+    v, mean, k = np.linalg.pinv(vectors), vectors.mean(0), vectors.shape[1]
+
+    def part(x: np.ndarray, _: np.ndarray | None) -> np.ndarray:
+        signal, parts = x.mean(1), ((x @ v.T) * mean).real
+        ones = np.ones(k)
+        return np.concatenate([ones * len(x), ones * signal.sum(), ones * (signal * signal).sum(), parts.sum(0), (parts * parts).sum(0), signal @ parts])
+
+    s = _by_mode(time_sums(panel, keys, n_channels, part, False), keys, k, ("_n", "_s", "_ss", "_p", "_pp", "_sp"))
+    n = F.col("_n")
+    vs, vp, c = F.col("_ss") - F.col("_s") * F.col("_s") / n, F.col("_pp") - F.col("_p") * F.col("_p") / n, F.col("_sp") - F.col("_s") * F.col("_p") / n
+    r = F.when((vs > 0) & (vp > 0), c / F.sqrt(vs * vp)).otherwise(0.0)
+    total = F.sum(F.abs("r")).over(Window.partitionBy(*keys))
+    return s.select(*keys, "mode_idx", r.alias("r")).withColumn("share", F.abs("r") / F.greatest(total, F.lit(1e-300)))
 
 
 def lag_projection(modes_: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,19 +33,82 @@ def channel_pairs(panel: DataFrame, keys: Keys = (), with_self: bool = False) ->
     )
 
 
+#: Keys whose sums a task holds at a time, each of channels by channels.
+HELD_KEYS = 16
+
+
+def pair_sums(samples: DataFrame, left: str, right: str, keys: Keys = (), half: bool = False) -> DataFrame:
+    """(keys, i, j, n, l, r, ll, rr, lr): sums over t of left of channel i and right of channel j, and of their products.
+
+    samples: (keys, channel, t, left, right). A pair counts the t at which both are
+    known. The channels of a t are gathered into one row, and tasks sum matrix products
+    of their rows, so that shuffles carry a row for each sample, and then one for each
+    task, key and pair, never one for each sample and pair. half: only i < j.
+    """
+    kinds = {**dict(samples.dtypes), "i": dict(samples.dtypes)["channel"], "j": dict(samples.dtypes)["channel"]}
+    cells = F.array_sort(F.collect_list(F.struct("channel", F.col(left).cast("double").alias("l"), F.col(right).cast("double").alias("r"))))
+    gathered = samples.groupBy(*keys, "t").agg(cells.alias("c")).select(*keys, *[F.col(f"c.{n}").alias(n) for n in ("channel", "l", "r")])
+    names = ["n", "l", "r", "ll", "rr", "lr"]
+    schema = ", ".join([f"{k} {kinds[k]}" for k in [*keys, "i", "j"]] + [f"{n} double" for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (key, channels), m in sums.items():
+                i, j = np.triu_indices(len(channels), 1) if half else (x.ravel() for x in np.indices((len(channels),) * 2))
+                known = m[0][i, j] > 0
+                i, j = i[known], j[known]
+                each = pa.array(channels, types[-1])
+                columns = [*(pa.array([k] * len(i), t) for k, t in zip(key, types)), each.take(pa.array(i)), each.take(pa.array(j)), *(pa.array(x[i, j]) for x in m)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "i", "j", *names])
+            sums.clear()
+
+        for batch in batches:
+            types = [*(batch.column(k).type for k in keys), batch.column("channel").type.value_type]
+            coded = batch.column("channel").flatten().dictionary_encode()
+            channels = tuple(coded.dictionary.to_pylist())
+            offsets = batch.column("channel").offsets.to_numpy()
+            row, at = np.repeat(np.arange(batch.num_rows), np.diff(offsets)), coded.indices.to_numpy()
+            x = []
+            for name in ("l", "r"):
+                wide = np.full((batch.num_rows, len(channels)), np.nan)
+                wide[row, at] = batch.column(name).flatten().to_numpy(zero_copy_only=False)
+                x += [np.nan_to_num(wide), (~np.isnan(wide)).astype(float)]
+            key_of = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
+            for key in dict.fromkeys(key_of):
+                of = np.array([k == key for k in key_of]) if keys else slice(None)
+                lv, lk, rv, rk = (c[of] for c in x)
+                m = np.stack([lk.T @ rk, lv.T @ rk, lk.T @ rv, (lv * lv).T @ rk, lk.T @ (rv * rv), lv.T @ rv])
+                sums[key, channels] = sums[key, channels] + m if (key, channels) in sums else m
+            if len(sums) > HELD_KEYS:
+                yield from out()
+        yield from out()
+
+    parts = gathered.mapInArrow(run, schema)
+    return parts.groupBy(*keys, "i", "j").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def gram(pairs: DataFrame, left: str, right: str, keys: Keys = ()) -> DataFrame:
     """(keys, i, j, value): sums over t of left of channel i times right of channel j.
 
-    pairs: (keys, channel, t, left, right). Partial sums are made before the shuffle.
+    pairs: (keys, channel, t, left, right).
     """
-    cells = pairs.groupBy(*keys, "t").agg(F.collect_list(F.struct("channel", F.col(left).alias("l"), F.col(right).alias("r"))).alias("cells"))
-    each = cells.select(*keys, "cells", F.explode("cells").alias("a")).select(*keys, "a", F.explode("cells").alias("b"))
-    return each.groupBy(*keys, F.col("a.channel").alias("i"), F.col("b.channel").alias("j")).agg(F.sum(F.col("a.l") * F.col("b.r")).alias("value"))
+    return pair_sums(pairs, left, right, keys).select(*keys, "i", "j", F.col("lr").alias("value"))
 
 
 def correlation_matrix(panel: DataFrame, keys: Keys = ()) -> DataFrame:
-    """(keys, i, j, r) for i < j; null where a channel is constant."""
-    return channel_pairs(panel, keys).groupBy(*keys, "i", "j").agg(safe_corr(F.col("vi"), F.col("vj")).alias("r"))
+    """(keys, i, j, r) for i < j over the t at which both have samples; null where a channel is constant.
+
+    Channels are centred on their means over all keys first, so that sums lose no digits.
+    """
+    means = panel.groupBy("channel").agg(F.avg("value").alias("_m"))  # one row for each channel
+    centred = panel.join(means, "channel").select(*keys, "channel", "t", (F.col("value") - F.col("_m")).alias("value"))
+    s = pair_sums(centred, "value", "value", keys, half=True)
+    n = F.col("n")
+    vl, vr, c = F.col("ll") - F.col("l") * F.col("l") / n, F.col("rr") - F.col("r") * F.col("r") / n, F.col("lr") - F.col("l") * F.col("r") / n
+    return s.select(*keys, "i", "j", F.when((vl > 1e-20 * n) & (vr > 1e-20 * n), c / F.sqrt(vl * vr)).alias("r"))
 
 
 def mean_correlation(correlations: DataFrame) -> DataFrame:

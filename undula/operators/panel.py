@@ -15,9 +15,15 @@ Keys = Sequence[str]
 
 
 def dense(cells: DataFrame, channels: DataFrame, fill: float = 0.0) -> DataFrame:
-    """Every channel at every t from 0 to the last, absent cells filled. channels: (channel)."""
-    last = cells.agg(F.max("t").alias("last"))
-    grid = channels.join(F.broadcast(last)).where("last is not null").select("channel", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("t"))
+    """Every channel at every t from 0 to the last, absent cells filled. channels: (channel).
+
+    Times are dealt out in chunks, so no row or task holds all of them.
+    """
+    last = cells.agg(F.max("t").alias("last")).where("last is not null")
+    chunks = last.select("last", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / TIME_CHUNK))).alias("chunk"))
+    low = F.col("chunk") * TIME_CHUNK
+    times = chunks.select(F.explode(F.sequence(low, F.least(low + TIME_CHUNK - 1, F.col("last").cast("long")))).alias("t")).withColumn("t", F.col("t").cast(dict(cells.dtypes)["t"]))
+    grid = times.join(F.broadcast(channels.select("channel")))  # a row for each channel
     return grid.join(cells, ["channel", "t"], "left").select("channel", "t", F.coalesce("value", F.lit(fill)).alias("value"))
 
 
@@ -62,10 +68,28 @@ def zscored(panel: DataFrame, keys: Keys = ()) -> DataFrame:
     return panel.withColumn("value", (F.col("value") - F.avg("value").over(w)) / F.when((sd == 0) | sd.isNull(), F.lit(1.0)).otherwise(sd))
 
 
+#: Values of t that one task orders at a time.
+TIME_CHUNK = 4096
+
+
+def following(rows: DataFrame, value: str, keys: Keys = (), name: str = "x") -> DataFrame:
+    """rows (keys, t, value) with the next value of the same keys as `name`; null for the last.
+
+    Rows are ordered within chunks of time, and chunks meet by their first rows, of which
+    there is one for each: no task orders a whole series.
+    """
+    chunk = rows.withColumn("_chunk", F.floor(F.col("t") / TIME_CHUNK))
+    first = chunk.groupBy(*keys, "_chunk").agg(F.min_by(value, "t").alias("_first"))
+    after = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_chunk"))
+    joined = chunk.join(first.select(*keys, "_chunk", after.alias("_after")), [*keys, "_chunk"])
+    within = F.lead(value).over(Window.partitionBy(*keys, "_chunk").orderBy("t"))
+    return joined.withColumn(name, F.coalesce(within, F.col("_after"))).drop("_chunk", "_after")
+
+
 def lag1_pairs(panel: DataFrame, keys: Keys = ()) -> DataFrame:
-    """(keys, channel, t, y, x): each sample and the next of its session; the last has none."""
-    following = F.lead("value").over(Window.partitionBy(*keys, "channel").orderBy("t"))
-    return panel.select(*keys, "channel", "t", F.col("value").alias("y"), following.alias("x")).where("x is not null")
+    """(keys, channel, t, y, x): each sample and the next of its session; the last has none. Null samples don't count."""
+    each = following(panel.where("value is not null"), "value", [*keys, "channel"])
+    return each.select(*keys, "channel", "t", F.col("value").alias("y"), "x").where("x is not null")
 
 
 def regress_global_signal(panel: DataFrame, keys: Keys = ()) -> DataFrame:

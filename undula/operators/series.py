@@ -117,3 +117,15 @@ def boxcar(samples: DataFrame, events: DataFrame, keys: Keys, bin_width: float)
     hit = samples.withColumn("_bin", F.floor(F.col("t") / bin_width)).join(binned, [*keys, "_bin"]).where(F.col("t").between(F.col("onset"), F.col("onset") + F.col("duration")))
     on = hit.select(*keys, "t").distinct().withColumn("on", F.lit(1))
     return samples.join(on, [*keys, "t"], "left").withColumn("on", F.coalesce("on", F.lit(0)))
+
+
+def convolved(samples: DataFrame, value: str, response: Sequence[float], keys: Keys = ()) -> DataFrame:
+    """samples (keys, t, value) with `response`: the sum over lags of the response at a lag times the value so many t before.
+
+    The response is short; samples that are zero send nothing, and none is sent beyond
+    the samples that there are.
+    """
+    weights = F.array(*[F.lit(float(w)) for w in response])
+    sent = samples.where(F.col(value) != 0).select(*keys, F.col("t").alias("_at"), F.col(value).alias("_v"), F.posexplode(weights).alias("_lag", "_w"))
+    sums = sent.groupBy(*keys, (F.col("_at") + F.col("_lag")).alias("t")).agg(F.sum(F.col("_v") * F.col("_w")).alias("response"))
+    return samples.join(sums, [*keys, "t"], "left").withColumn("response", F.coalesce("response", F.lit(0.0)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undula.functions.columns import bucketise, predicted_dfc, safe_corr, swap_hemisphere, wrap_phase
+from undula.functions.dense import hrf
 from undula.operators import moments as M
 from undula.operators import panel as P
 from undula.operators import series as S
@@ -66,7 +67,7 @@ def painted_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SESS}, n AS (SELECT subject, session, channel, count(*) AS n FROM sess GROUP BY 1, 2, 3), ok AS (SELECT subject, session FROM n GROUP BY 1, 2 HAVING min(n) >= 3), both_ AS (SELECT subject FROM ok GROUP BY 1 HAVING count(*) >= 2) SELECT o.subject, o.session FROM ok o JOIN both_ b ON o.subject = b.subject")
 def complete_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """B-02, B-03: sessions with enough samples in each channel, of subjects with two or more."""
+    """B-03: sessions with enough samples in each channel, of subjects with two or more."""
     counted = user_sessions(spark, d).groupBy("subject", "session", "channel").agg(F.count("*").alias("n"))
     ok = counted.groupBy("subject", "session").agg(F.min("n").alias("n")).where("n >= 3").drop("n")
     return U.complete(P.complete_subjects(ok, "subject"), ["subject"])
@@ -76,7 +77,7 @@ def complete_sessions(spark: SparkSession, d: str) -> DataFrame:
 f AS (SELECT c_custkey, c_nationkey, c_acctbal <= 0 AS low, coalesce(m.top > 400000, true) AS moved FROM customer LEFT JOIN m ON m.k = c_custkey)
 SELECT c_custkey, low AS low_score, moved FROM f WHERE NOT moved AND NOT low AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3)""")
 def qc_exclusion(spark: SparkSession, d: str) -> DataFrame:
-    """B-04 to B-08: flags, a threshold with missing values excluded, and a deny list."""
+    """B-04 to B-07: flags, a threshold with missing values excluded, and a deny list."""
     c = read(spark, d, "customer").withColumn("done", F.lit(True)).withColumn("score", F.when(F.col("c_acctbal") <= 0, 0).otherwise(30))
     flagged = U.cognitive_flags(c, "done", "score")
     motion = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
@@ -147,10 +148,10 @@ def fc_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 def state_correlations(spark: SparkSession, d: str) -> DataFrame:
     labels = read(spark, d, "embeddings").select(F.col("vec_id").alias("t"), "label")
-    return M.correlation_matrix(embedding_panel(spark, d).where("channel <= 16").join(labels, "t"), ["label"])
+    return M.correlation_matrix(embedding_panel(spark, d).join(labels, "t"), ["label"])
 
 
-@query(f"WITH {EMB}, x AS (SELECT e.*, b.label FROM emb e JOIN embeddings b ON b.vec_id = e.t WHERE channel <= 16), s AS (SELECT a.label, a.channel AS i, b.channel AS j, covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0) AS r FROM x a JOIN x b ON a.t = b.t AND a.channel < b.channel GROUP BY 1, 2, 3) SELECT i, j, round(tanh(avg(atanh(r))), 6) + 0.0 AS r FROM s WHERE r IS NOT NULL GROUP BY 1, 2")
+@query(f"WITH {EMB}, x AS (SELECT e.*, b.label FROM emb e JOIN embeddings b ON b.vec_id = e.t), s AS (SELECT a.label, a.channel AS i, b.channel AS j, covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0) AS r FROM x a JOIN x b ON a.t = b.t AND a.channel < b.channel GROUP BY 1, 2, 3) SELECT i, j, round(tanh(avg(atanh(r))), 6) + 0.0 AS r FROM s WHERE r IS NOT NULL GROUP BY 1, 2")
 def fisher_mean_fc(spark: SparkSession, d: str) -> DataFrame:
     """D-07, D-08: mean over states of per-state correlations."""
     return M.mean_correlation(state_correlations(spark, d)).select("i", "j", r("r").alias("r"))
@@ -201,17 +202,17 @@ def dfc_excursion(spark: SparkSession, d: str) -> DataFrame:
     return S.excursion(hourly_sliding(spark, d)).select("i", "j", r("excursion", 4).alias("excursion"))
 
 
-@query(f"""WITH {EMB}, p AS (SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY t) - 1 AS t, value FROM emb WHERE channel <= 16),
-g AS (SELECT t, avg(CASE WHEN channel <= 8 THEN value END) AS l, avg(CASE WHEN channel > 8 THEN value END) AS rr FROM p GROUP BY 1),
+@query(f"""WITH {EMB}, p AS (SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY t) - 1 AS t, value FROM emb),
+g AS (SELECT t, avg(CASE WHEN channel <= 32 THEN value END) AS l, avg(CASE WHEN channel > 32 THEN value END) AS rr FROM p GROUP BY 1),
 k AS (SELECT unnest(range(0, CAST(floor((m - 42) / 14.0) AS BIGINT) + 1)) AS w FROM (SELECT max(t) AS m FROM p) z),
 x AS (SELECT p.channel, k.w, corr(p.value, g.l) - corr(p.value, g.rr) AS d FROM p JOIN g ON p.t = g.t JOIN k ON p.t >= k.w * 14 AND p.t < k.w * 14 + 43 GROUP BY 1, 2)
 SELECT channel, round(avg(d), 6) + 0.0 AS "index" FROM x GROUP BY 1""")
 def lateralization(spark: SparkSession, d: str) -> DataFrame:
-    """E-05, L-23, D-09."""
+    """E-05, L-23."""
     from pyspark.sql.window import Window
 
-    panel = embedding_panel(spark, d).where("channel <= 16").withColumn("t", F.row_number().over(Window.partitionBy("channel").orderBy("t")) - 1)
-    return S.lateralisation(panel, F.col("channel") <= 8, 43, 14).select("channel", r("index").alias("index"))
+    panel = embedding_panel(spark, d).withColumn("t", F.row_number().over(Window.partitionBy("channel").orderBy("t")) - 1)
+    return S.lateralisation(panel, F.col("channel") <= 32, 43, 14).select("channel", r("index").alias("index"))
 
 
 _LAG = f"""{PANEL}, dm AS (SELECT channel, t, value - avg(value) OVER (PARTITION BY channel) AS value FROM panel),
@@ -269,7 +270,7 @@ def global_signal(spark: SparkSession, d: str) -> DataFrame:
 on_ AS (SELECT user_id, t AS onset FROM e WHERE event_type = (SELECT min(event_type) FROM events)), s AS (SELECT DISTINCT user_id, t FROM e)
 SELECT s.user_id, s.t, CAST(max(CASE WHEN o.onset IS NULL THEN 0 ELSE 1 END) AS INTEGER) AS "on" FROM s LEFT JOIN on_ o ON o.user_id = s.user_id AND s.t >= o.onset AND s.t <= o.onset + 6 GROUP BY 1, 2""")
 def event_boxcar(spark: SparkSession, d: str) -> DataFrame:
-    """C-10, L-38: hours of a user within six hours of an event of the first type."""
+    """C-10: hours of a user within six hours of an event of the first type."""
     e = read(spark, d, "events").select("user_id", hour_of().alias("t"), "event_type")
     first = e.agg(F.min("event_type").alias("event_type"))
     on = e.join(F.broadcast(first), "event_type").select("user_id", F.col("t").alias("onset"), F.lit(6).alias("duration"))
@@ -472,3 +473,125 @@ def community_sizes(spark: SparkSession, d: str) -> DataFrame:
     x = read(spark, d, "embeddings").groupBy(F.col("label").alias("k")).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.orderBy("k"))  # one row for each label
     return x.select("k", "n", upto.alias("upto"), r(upto / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("share"))
+
+
+@query("SELECT o_orderstatus, round(avg(m), 1) + 0.0 AS o_totalprice FROM (SELECT o_orderstatus, o_custkey, avg(o_totalprice) AS m FROM orders GROUP BY 1, 2) q GROUP BY 1")
+def mean_of_customer_means(spark: SparkSession, d: str) -> DataFrame:
+    """D-09: customers count alike, however many orders they have."""
+    out = M.mean_of_means(read(spark, d, "orders"), "o_totalprice", ["o_custkey"], ["o_orderstatus"])
+    return out.select("o_orderstatus", r("o_totalprice", 1).alias("o_totalprice"))
+
+
+@query("SELECT k FROM (SELECT l_orderkey AS k, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) q GROUP BY 1 HAVING bool_and(n = 2)")
+def conforming_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """B-02, D-25: orders as sessions, flags as channels, two samples in each."""
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("channel"))
+    return P.conforming(lines, 2, ["k"]).select("k").distinct()
+
+
+@query(f"""WITH {PANEL}, q AS (SELECT * FROM (SELECT channel, t, value AS y, lead(value) OVER (PARTITION BY channel ORDER BY t) AS x FROM panel) z WHERE x IS NOT NULL),
+a AS (SELECT sum(x * y) / sum(y * y) AS a FROM q)
+SELECT round(sum((x - y) * (x - y)) / sum((x - a * y) * (x - a * y)), 6) + 0.0 AS loss FROM q CROSS JOIN a""")
+def loss_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """D-24: squared error of persistence over that of the null model."""
+    pairs = P.lag1_pairs(hourly_panel(spark, d))
+    null = pairs.join(F.broadcast(M.ar1(pairs)))
+    each = M.forecast_scores(pairs, F.col("y")).select(F.col("sse").alias("p")).join(F.broadcast(M.forecast_scores(null, F.col("a") * F.col("y")).select("sse")))
+    return each.select(r(F.col("p") / F.col("sse")).alias("loss"))
+
+
+@query("""WITH m AS (SELECT o_custkey, max(o_totalprice) AS top FROM orders WHERE o_totalprice > 300000 GROUP BY 1)
+SELECT c_custkey, coalesce(CASE WHEN top > 400000 THEN 'high' END, 'none') AS band, top IS NOT NULL AND c_acctbal IS NOT NULL AS known FROM customer LEFT JOIN m ON o_custkey = c_custkey""")
+def known_covariates(spark: SparkSession, d: str) -> DataFrame:
+    """B-11, B-12: a missing category, and rows whose covariates are all known."""
+    top = read(spark, d, "orders").where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("top"))
+    people_ = read(spark, d, "customer").join(top, "c_custkey", "left")
+    whole = U.complete(people_.select("c_custkey", "c_acctbal", "top"), ["c_acctbal", "top"]).select("c_custkey", F.lit(True).alias("known"))
+    banded = people_.withColumn("band", F.coalesce(F.when(F.col("top") > 400000, "high"), F.lit("none")))
+    return banded.join(whole, "c_custkey", "left").select("c_custkey", "band", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query("""WITH n AS (SELECT r_name, c_mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)
+SELECT r_name, c_mktsegment, n, round(n / sum(n) OVER (PARTITION BY r_name), 6) + 0.0 AS share FROM n""")
+def parent_frequency(spark: SparkSession, d: str) -> DataFrame:
+    """D-17: how often each segment occurs under each region."""
+    named = people(spark, d).join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    counted = named.groupBy("r_name", "c_mktsegment").agg(F.count("*").alias("n"))
+    return M.share_of_total(counted, "n", ["r_name"]).select("r_name", "c_mktsegment", "n", r("share").alias("share"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) ORDER BY 1 LIMIT 100")
+def first_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """F-06: the first hundred subjects that have data."""
+    with_data = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, d, "customer").join(with_data, "c_custkey", "left_semi").select("c_custkey").orderBy("c_custkey").limit(100)
+
+
+@query("SELECT o_custkey AS subject, o_orderkey AS folder, CAST(2 * (dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS BIGINT) AS session FROM orders")
+def session_slots(spark: SparkSession, d: str) -> DataFrame:
+    """C-15: slots by order of arrival, two to a folder."""
+    folders = read(spark, d, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderkey").alias("folder"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).alias("direction"))
+    return U.session_slots(folders, "subject", by_run=False).select("subject", "folder", F.col("session").cast("long").alias("session"))
+
+
+@query("SELECT n_nationkey AS i, CASE n_regionkey WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' END AS name FROM nation")
+def cluster_names(spark: SparkSession, d: str) -> DataFrame:
+    """C-16: names by a fixed assignment; clusters without one have null."""
+    clusters = read(spark, d, "nation").select(F.col("n_nationkey").alias("i"), F.col("n_regionkey").alias("cluster"))
+    return U.relabelled(clusters, {0: "a", 1: "b", 2: "c"}).select("i", "name")
+
+
+@query(f"""WITH {EMB}, m AS (SELECT b.label, e.channel, avg(e.value) AS v FROM emb e JOIN embeddings b ON b.vec_id = e.t GROUP BY 1, 2),
+c AS (SELECT a.label AS i, b.label AS j, sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v))) AS cosine FROM m a JOIN m b ON a.channel = b.channel AND a.label <> b.label GROUP BY 1, 2)
+SELECT i, round(avg(cosine), 6) + 0.0 AS mean, round(max(cosine), 6) + 0.0 AS "max", count(*) AS n FROM c GROUP BY 1""")
+def similarity_summary(spark: SparkSession, d: str) -> DataFrame:
+    """D-20, L-57: each state's mean and largest cosine with the other states."""
+    labels = read(spark, d, "embeddings").select(F.col("vec_id").alias("t"), "label")
+    means = embedding_panel(spark, d).join(labels, "t").groupBy("label", F.col("channel").alias("t")).agg(F.avg("value").alias("value"))
+    each = M.cosine_by(M.channel_pairs(means.withColumnRenamed("label", "channel")), "vi", "vj", ["i", "j"])
+    return M.symmetric(each, "cosine").groupBy("i").agg(r(F.avg("cosine")).alias("mean"), r(F.max("cosine")).alias("max"), F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT o_custkey AS u, o_orderpriority AS s, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2),
+x AS (SELECT a.s AS first, b.s AS second, a.v - b.v AS d FROM m a JOIN m b ON a.u = b.u AND a.s < b.s)
+SELECT first, second, count(*) AS n, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 5) + 0.0 AS t, round(avg(d) / stddev_samp(d), 6) + 0.0 AS d FROM x GROUP BY 1, 2""")
+def paired_t_grid(spark: SparkSession, d: str) -> DataFrame:
+    """L-49: every two states against one another, over the subjects that have both."""
+    means = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("t"), F.col("o_orderpriority").alias("channel")).agg(F.avg("o_totalprice").alias("value"))
+    both = M.channel_pairs(means).select(F.col("i").alias("first"), F.col("j").alias("second"), (F.col("vi") - F.col("vj")).alias("_d"))
+    return T.one_sample_t(both, "_d", ["first", "second"]).select("first", "second", "n", r("t", 5).alias("t"), r("d").alias("d"))
+
+
+_RESPONSE = [float(x) for x in hrf(1.0)]
+
+
+@query(f"""WITH e AS (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + hour(ts) AS t, event_type FROM events),
+on_ AS (SELECT user_id, t AS onset FROM e WHERE event_type = (SELECT min(event_type) FROM events)), s AS (SELECT DISTINCT user_id, t FROM e),
+b AS (SELECT s.user_id, s.t, max(CASE WHEN o.onset IS NULL THEN 0 ELSE 1 END) AS v FROM s LEFT JOIN on_ o ON o.user_id = s.user_id AND s.t >= o.onset AND s.t <= o.onset + 6 GROUP BY 1, 2),
+h AS (SELECT unnest(range({len(_RESPONSE)})) AS lag, unnest({_RESPONSE!r}) AS w),
+c AS (SELECT b.user_id, b.t + h.lag AS t, sum(b.v * h.w) AS x FROM b CROSS JOIN h WHERE b.v <> 0 GROUP BY 1, 2)
+SELECT b.user_id, b.t, round(coalesce(c.x, 0.0), 6) + 0.0 AS response FROM b LEFT JOIN c ON c.user_id = b.user_id AND c.t = b.t""")
+def task_response(spark: SparkSession, d: str) -> DataFrame:
+    """L-38: the boxcar of event_boxcar under a double-gamma response, an hour being a second."""
+    return S.convolved(event_boxcar(spark, d), "on", _RESPONSE, ["user_id"]).select("user_id", "t", r("response").alias("response"))
+
+
+@query(f"""WITH {EMB}, {FC}, s AS (SELECT i, j, r FROM fc UNION ALL SELECT j, i, r FROM fc), n AS (SELECT channel, row_number() OVER (ORDER BY channel % 7, channel) AS k FROM (SELECT DISTINCT channel FROM emb) z)
+SELECT a.k AS i, b.k AS j, round(s.r, 6) + 0.0 AS r FROM s JOIN n a ON a.channel = s.i JOIN n b ON b.channel = s.j""")
+def reordered_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """C-04, F-04: a matrix with its channels in the order of their communities."""
+    from pyspark.sql.window import Window
+
+    matrix = M.symmetric(M.correlation_matrix(embedding_panel(spark, d)))
+    # one row for each channel
+    place = matrix.select(F.col("i").alias("channel")).distinct().withColumn("k", F.row_number().over(Window.orderBy(F.col("channel") % 7, "channel")))
+    rows_, columns = (place.select(F.col("channel").alias(c), F.col("k").cast("long").alias(f"_{c}")) for c in ("i", "j"))
+    moved = matrix.join(F.broadcast(rows_), "i").join(F.broadcast(columns), "j")
+    return moved.select(F.col("_i").alias("i"), F.col("_j").alias("j"), r("r").alias("r"))
+
+
+@query("SELECT label, count(*) - 1 AS tau FROM embeddings GROUP BY 1 HAVING count(*) - 1 >= 40")
+def usable_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """B-10: sessions with forty pairs of samples or more."""
+    vectors = read(spark, d, "embeddings").groupBy("label").agg((F.count("*") - 1).alias("tau"))
+    return vectors.where("tau >= 40")

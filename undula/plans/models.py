@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from undula.functions.columns import period_seconds
 from undula.operators import modes as O
 from undula.operators import moments as M
 from undula.operators import patterns as C
@@ -60,10 +61,56 @@ def mode_engagement(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def forecast_cv(spark: SparkSession, d: str) -> DataFrame:
-    """L-10 to L-14: forecasts of each label's last fifth by modes, the null, persistence, a sparse and a kernel model."""
+    """L-10 to L-14, E-17: labels in five folds; each label's last fifth is forecast by modes of the other folds.
+
+    1 to 12 pairs of modes, as far as a fold has them, the null, persistence, a sparse
+    and a kernel model.
+    """
     panel = labelled_panel(spark, d)
-    vectors, _, _ = O.fit_group(O.session_moments(panel, ["label"], CHANNELS), CHANNELS, LOW, HIGH)
-    return O.forecasts(panel, ["label"], vectors, CHANNELS, [k for k in (1, 2, 4) if 2 * k <= vectors.shape[1]], sparse=0.01, kernel=20.0)
+    dealt, vectors = O.fold_modes(O.session_moments(panel, ["label"], CHANNELS), "label", CHANNELS, LOW, HIGH)
+    return O.forecasts(panel.join(dealt, "label"), ["fold", "label"], vectors, CHANNELS, range(1, 13), sparse=0.01, kernel=20.0)
+
+
+@query
+def forecast_grid(spark: SparkSession, d: str) -> DataFrame:
+    """L-15: mean loss of the sparse model by weight and of the kernel model by width."""
+    panel = labelled_panel(spark, d)
+    none = {}
+    each = [O.forecasts(panel, ["label"], none, CHANNELS, (), sparse=w, kernel=h).where("model in ('sparse', 'kernel')").withColumn("parameter", F.when(F.col("model") == "sparse", w).otherwise(h)) for w, h in ((0.005, 5.0), (0.01, 20.0), (0.02, 50.0), (0.05, 100.0))]
+    every = each[0]
+    for x in each[1:]:
+        every = every.unionByName(x)
+    return every.groupBy("model", "parameter").agg(F.avg("loss").alias("loss"), F.avg("r2").alias("r2"))
+
+
+@query
+def forecast_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """L-16: signed ranks, over labels, of the loss of each model less that of the null."""
+    f = forecast_cv(spark, d).select("label", "model", "n_modes", (F.col("loss") - 1).alias("difference"))
+    return T.signed_rank(f.where("model <> 'null'"), "difference", ["model", "n_modes"])
+
+
+@query
+def mode_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """L-17: magnitude of the cosine between the first mode of every two folds."""
+    _, vectors = O.fold_modes(_moments(spark, d), "label", CHANNELS, LOW, HIGH)
+    first = [(f, i + 1, float(x.real), float(x.imag)) for f, v in vectors.items() if v.shape[1] for i, x in enumerate(v[:, 0] / math.sqrt((abs(v[:, 0]) ** 2).sum()))]
+    m = spark.createDataFrame(first, "fold int, channel int, re double, im double")
+    other = m.select(F.col("fold").alias("other"), "channel", F.col("re").alias("ore"), F.col("im").alias("oim"))
+    both = m.join(other, "channel").where("fold < other")
+    return both.groupBy("fold", "other").agg(F.hypot(F.sum(F.expr("re * ore + im * oim")), F.sum(F.expr("im * ore - re * oim"))).alias("cosine"))
+
+
+@query
+def test_retest(spark: SparkSession, d: str) -> DataFrame:
+    """L-53: agreement of a metric between two halves of each label's time: ICC (3,1) by mode."""
+    from undula.operators.panel import split_in_time
+
+    halves = split_in_time(labelled_panel(spark, d), ["label"], 0.5).withColumn("half", F.col("is_fit").cast("int")).drop("is_fit")
+    vectors, _, _ = O.fit_group(_moments(spark, d), CHANNELS, LOW, HIGH)
+    metrics = O.engagement(halves, ["label", "half"], vectors[:, :4], CHANNELS)
+    each = [T.icc(metrics.where(F.col("mode_idx") == k), "label", "half", "b_mean").select(F.lit(k).alias("mode_idx"), "n", "icc") for k in (1, 3)]
+    return each[0].unionByName(each[1])
 
 
 @query
@@ -97,7 +144,28 @@ def _full_fc(spark: SparkSession, d: str) -> DataFrame:
 @query
 def network_clusters(spark: SparkSession, d: str) -> DataFrame:
     """L-21: seven networks of channels by their rows of correlations."""
-    return C.clusters(C.row_vectors(_full_fc(spark, d)), 7, replicates=3).select("i", "cluster")
+    return C.clusters(C.row_vectors(_full_fc(spark, d)), 7).select("i", "cluster")
+
+
+@query
+def network_clusters_17(spark: SparkSession, d: str) -> DataFrame:
+    """L-21: seventeen networks of channels."""
+    return C.clusters(C.row_vectors(_full_fc(spark, d)), 17).select("i", "cluster")
+
+
+@query
+def mode_periods(spark: SparkSession, d: str) -> DataFrame:
+    """L-36, L-09: seconds for a turn of each mode, a step being 1.5 s, and its persistence."""
+    m = group_modes(spark, d).select("mode_idx", "lambda_re", "lambda_im").distinct()
+    return m.select("mode_idx", period_seconds(F.abs(F.atan2("lambda_im", "lambda_re")), 1.5).alias("period"), F.hypot("lambda_re", "lambda_im").alias("persistence"))
+
+
+@query
+def nuisance_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """L-39: each label's channels less their fit on the global signal, an intercept and a quadratic trend."""
+    panel = labelled_panel(spark, d)
+    signal = panel.groupBy(F.col("label").alias("label"), F.col("t").alias("t")).agg(F.avg("value").alias("value")).withColumn("name", F.lit("global"))
+    return O.nuisance_residual(panel, signal, ["label"])
 
 
 @query
@@ -153,8 +221,12 @@ def glm_f_test(spark: SparkSession, d: str) -> DataFrame:
     return T.glm_f(x, ["one", "l_quantity", "l_discount"], "l_extendedprice", [[0, 1, 0], [0, 0, 1]])
 
 
-@query
 def covariate_residuals(spark: SparkSession, d: str) -> DataFrame:
     """L-40: prices less their fit on quantity."""
     x = read(spark, d, "lineitem").withColumn("one", F.lit(1.0))
-    return T.residualised(x, ["one", "l_quantity"], "l_extendedprice").select("l_orderkey", "l_linenumber", "residual")
+    return T.residualised(x, ["one", "l_quantity"], "l_extendedprice").select("l_orderkey", "l_linenumber", F.round("residual", 2).alias("residual"))
+
+
+QUERIES["covariate_residuals"] = covariate_residuals
+ORACLE["covariate_residuals"] = """WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(l_extendedprice - a - b * l_quantity, 2) + 0.0 AS residual FROM lineitem CROSS JOIN f"""
