@@ -1,10 +1,111 @@
-"""The corpus pipeline: its stages take effect and hand on the columns of documents."""
+"""The corpus pipeline: its stages take effect, hand on the columns of documents, and equal brute force."""
+
+import collections
+import itertools
+import math
+import re
+import zlib
+
+import numpy as np
 
 import corpus_pipeline
-from undula.llm import decontaminate, line_dedup
+from undula.llm import decontaminate, line_dedup, quality, tokens
 from undula.llm.shared import fresh_path
 
 
+def texts_of(df):
+    return {r["doc_id"]: r["text"] or "" for r in df.collect()}
+
+
+def logit(p):
+    p = min(max(p, 1e-9), 1 - 1e-9)
+    return math.log(p / (1 - p))
+
+
+def test_quality_stage_equals_plain_formulas(spark, sf_dir):
+    """Posteriors from the classifiers' evidence, document by document."""
+    d, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.classify(d, labels).join(d.select("doc_id", "source", "lang"), "doc_id").collect()
+    bad = {r["doc_id"]: max(r["low"], r["toxic"]) for r in rows}
+    rate = sum(bad.values()) / len(bad)
+    for r in rows:
+        own = bad[r["doc_id"]]
+        want = 1 / (1 + math.exp(-(logit(own) + logit(r["prior"]) - logit(rate))))
+        assert abs(r["posterior"] - want) < 1e-9 and r["keep"] == (r["posterior"] < 0.5)
+    kept = {r["doc_id"] for r in corpus_pipeline.quality_classifier(spark, d, sf_dir).collect()}
+    assert kept == {r["doc_id"] for r in rows if r["keep"]}
+
+
+def test_line_stage_equals_brute_force(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts, found = texts_of(d), collections.defaultdict(set)
+    key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+    for i, t in texts.items():
+        for line in t.split("\n"):
+            found[key(line)].add(i)
+    want = {i: "\n".join(x for x in t.split("\n") if not key(x) or len(found[key(x)]) < 10) for i, t in texts.items()}
+    got = corpus_pipeline.line_dedup(spark, d, sf_dir)
+    assert texts_of(got) == want and all(r["n_chars"] == len(want[r["doc_id"]]) for r in got.collect())
+
+
+def test_near_stage_equals_brute_force(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = texts_of(d)
+    words = {i: re.sub("[A-Z]", lambda m: m[0].lower(), t).split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        x, y = sets[a], sets[b]
+        if words[a] == words[b] or (x and y and 0.8 * max(len(x), len(y)) <= min(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y)):
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    assert set(texts_of(corpus_pipeline.near_dedup(spark, d, sf_dir))) == {find(i) for i in texts}
+
+
+def test_decontamination_stage_equals_brute_force(spark, sf_dir):
+    d, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[k : k + 10]) for w in (words(r["text"]) for r in items.collect()) for k in range(max(1, len(w) - 9)) if w}
+    sizes = {len(w) for w in windows}
+    clean = {i for i, t in texts_of(d).items() if not any(tuple(w[k : k + n]) in windows for w in [words(t)] for n in sizes for k in range(len(w) - n + 1))}
+    assert set(texts_of(corpus_pipeline.decontamination(spark, d, sf_dir))) == clean
+
+
+def test_packing_stage_covers_every_id_once(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tokenizer, pieces = Tokenizer.from_file(tokens.WORD_BPE), collections.defaultdict(list)
+    for r in corpus_pipeline.packing(spark, d, sf_dir).collect():
+        pieces[r["doc_id"]].append(r)
+    for i, t in texts_of(d).items():
+        ids, at = tokenizer.encode(t, add_special_tokens=False).ids + [2], 0
+        for r in sorted(pieces[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    rows = [(1, None, "en", "s", 0), (2, "", None, "s", 0), (3, " \n\t", "en", None, None), (4, "a b c d e", "en", "s", 9), (4, "a b c d e", "en", "s", 9), (5, "x " * 9000, "en", "s", 9), (None, "no id", "en", "s", 5)]
+    odd = spark.createDataFrame(rows, schema)
+    for extra in ("n_lines", "component_id", "_host", "posterior", "node"):
+        odd = odd.withColumn(extra, odd["lang"])
+    for d in (odd, odd.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, d, sf_dir)
+            assert out.columns == d.columns, name
+            n, before = out.count(), d.count()
+            assert n <= before and (n > 0) == (before > 0), name
+        packed = corpus_pipeline.packing(spark, d, sf_dir)
+        assert packed.count() >= d.count()
+
+
 def test_stages_in_order(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, ids = d.columns, {r["doc_id"] for r in d.select("doc_id").collect()}
