@@ -38,3 +38,11 @@ def test_streamed_panel_equals_batch(spark, sf_dir, tmp_path):
     q.stop()
     assert spark.table("panel").exceptAll(panels.windowed_panel(batch, "event_type", "value")).count() == 0
     assert spark.table("panel").count() > 0
+
+
+def test_noise_is_the_same_however_it_is_dealt(spark):
+    a = files.noise(spark, 3, 4, 500, seed=7)
+    b = files.noise(spark, 3, 4, 500, seed=7).repartition(7)
+    assert a.exceptAll(b).count() == 0
+    x = a.toPandas()["value"]
+    assert abs(x.mean()) < 0.05 and abs(x.std() - 1) < 0.05
