@@ -184,6 +184,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = WORD_BPE, e
                     yield batch(rows)
         if rows := list(packer.close()):
             yield batch(rows)
+        enc.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
 

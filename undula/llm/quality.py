@@ -20,7 +20,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm.shared import broadcast_if_small, checkpointed, table
+from undula.llm.shared import broadcast_if_small, checkpointed, release_memory, table
 
 MARKS, SPACE, DIGITS, UPPER_CASE = string.punctuation.encode(), b" \t\n\x0b\x0c\r", string.digits.encode(), string.ascii_uppercase.encode()
 #: All of ASCII but digits and lower-case letters becomes a blank.
@@ -31,6 +31,8 @@ FIT_ROWS = 12_000
 FIT_PARTITIONS, FIT_ROUNDS = 6, 30
 #: Signs in the model at most, the commonest of that bounded table, and the labelled documents that a sign must be in.
 VOCABULARY, MIN_DOCS = 20_000, 4
+#: Texts whose signs are handed on at a time.
+SIGNED_ROWS = 256
 #: Hosts and paths up to so many are joined by broadcast, more by a shuffle.
 BROADCAST_SITES = 200_000
 #: The weight of the coefficients' absolute values in fitting, which leaves few signs in the model.
@@ -55,8 +57,10 @@ def _signed(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([[x.decode(errors="replace") for x in sorted(signs(t.as_py()))] for t in batch.column("text")], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([found, batch.column("low"), batch.column("toxic")], names=["_signs", "low", "toxic"])
+            for part in (batch.slice(i, SIGNED_ROWS) for i in range(0, batch.num_rows, SIGNED_ROWS)):
+                found = pa.array([[x.decode(errors="replace") for x in sorted(signs(t.as_py()))] for t in part.column("text")], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([found, part.column("low"), part.column("toxic")], names=["_signs", "low", "toxic"])
+        release_memory()
 
     return rows.select("text", "low", "toxic").mapInArrow(run, "_signs array<string>, low double, toxic double")
 
@@ -110,6 +114,7 @@ def evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
                         column.append(0.0)
             kept = [batch.column(c) for c in names[:3]]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(out[k], pa.float64()) for k in out)], names=names)
+        release_memory()
 
     names = ["doc_id", "_host", "_path", "_low", "_toxic"]
     kinds = dict(docs.dtypes)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,6 +68,14 @@ def broadcast_if_small(df: DataFrame, most: int, weight: Column | None = None) -
     return F.broadcast(df) if small else df
 
 
+def release_memory() -> None:
+    """Give back what a worker has freed: workers live on between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of sorted batches, cut between groups of the integer columns `keys` only.
 

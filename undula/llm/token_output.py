@@ -56,6 +56,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id:
                     [batch.column("doc_id"), pa.array(np.full(len(ends), part, np.int32)), pa.array(start + ends - sizes), pa.array(sizes), lists], names=SCHEMA.names
                 )
                 start += int(ends[-1])
+        enc.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(encode, SCHEMA).write.options(**ORC_OPTIONS).orc(path)

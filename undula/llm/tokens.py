@@ -10,15 +10,17 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from undula.llm.shared import release_memory
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: A worker keeps the ids of at most so many pieces seen repeatedly, and of as many recent ones; results don't depend on it.
-CACHED = 300_000
+CACHED = 200_000
 #: Pieces above this length are not kept.
 CACHED_CHARS = 60
 #: A word of Latin letters and the marks after it: one piece each, by the pattern of the tokenizer.
 WORD_AND_MARKS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)$"
 #: Bytes of text encoded at a time, about; a longer text is encoded by itself.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -55,6 +57,12 @@ class ChunkEncoder:
         self.known: dict[str, bytes] = {}
         self.recent: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop the kept ids, at the end of a task; the tokenizer stays."""
+        self.known.clear()
+        self.recent.clear()
+        release_memory()
+
     def _each(self, pieces: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(pieces), 2000):
