@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.shared import checkpointed
+from undula.llm.shared import checkpointed, settled
 
 
 def _roots(parents: DataFrame, max_rounds: int) -> DataFrame:
@@ -20,6 +20,7 @@ def _roots(parents: DataFrame, max_rounds: int) -> DataFrame:
     raise RuntimeError(f"trees are still deep after {max_rounds} rounds")
 
 
+@settled
 def connected_components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) for every node of links (a, b): the smallest node reachable.
 

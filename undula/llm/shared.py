@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folder for the tables of the step at hand, if it has one.
+STEP_FOLDER: ContextVar[str | None] = ContextVar("STEP_FOLDER", default=None)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,8 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder, or in that of the step at hand, that no other run uses."""
+    return f"{(STEP_FOLDER.get() or shared_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -53,6 +57,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function from frames, the first argument one, to a frame, whose rows are written as a table at once.
+
+    The tables that the step wrote on its way lie in a folder of its own, which is
+    removed then, or when it fails. So what a long job holds on disk is that of the
+    steps at hand. What comes out depends on the written table alone.
+    """
+
+    @functools.wraps(step)
+    def run(first: DataFrame, *args, **kwargs) -> DataFrame:
+        spark = first.sparkSession
+        path, folder = fresh_path(spark, "table"), fresh_path(spark, "step")
+        outer = STEP_FOLDER.set(folder)
+        try:
+            found = step(first, *args, **kwargs)
+            found.write.parquet(path)
+        finally:
+            STEP_FOLDER.reset(outer)
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        return spark.read.schema(found.schema).parquet(path)
+
+    return run
+
+
 def broadcast_if_small(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
     """Mark a frame for broadcast only where it has at most `most` rows, or sum of weight.
 
