@@ -255,4 +255,11 @@ def op12_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+ORACLE = {
+    "op12_embedding_dups": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v AS x JOIN v AS y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.other = links.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT reach.vec_id, coalesce(max(n.n), 0) AS n_links, min(other) AS component_id, reach.vec_id = min(other) AS kept FROM reach LEFT JOIN n ON n.a = reach.vec_id GROUP BY reach.vec_id""",
+}
 QUERIES = {"op12_embedding_dups": op12_embedding_dups}
