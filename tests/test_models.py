@@ -42,6 +42,28 @@ def test_group_modes(spark, sf_dir, group):
     assert np.allclose(cosines, 1, atol=1e-6)
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_group_modes_hold_no_rounding_noise(spark, sf_dir, group, partitions):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = models.group_modes(spark, sf_dir).toPandas()
+        report = models.group_fit(spark, sf_dir).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert len(got) == group[0].size and np.hypot(got["lambda_re"], got["lambda_im"]).min() > 1e-6
+    assert report["in_band"] == group[0].shape[1] and report["in_band"] + report["outside"] + report["noise"] == N
+
+
+def test_noise_of_rounding_changes_no_mode(series):
+    yy, xy, xx = (sum(m) for m in zip(*map(pair_sums, series.values())))
+    rng, want = np.random.default_rng(0), fitted(series.values())[1]
+    for _ in range(20):
+        shaken = [m * (1 + 1e-15 * rng.standard_normal(m.shape)) for m in (xy, yy, xx)]
+        got = dense.modes(dense.forward_backward(shaken[0], shaken[1], shaken[0].T, shaken[2])[0], models.LOW, models.HIGH)[1]
+        assert np.allclose(got, want, atol=1e-8)
+
+
 def test_subject_metrics(spark, sf_dir, series, group):
     got = models.subject_metrics(spark, sf_dir).toPandas()
     for label, x in series.items():

@@ -16,15 +16,29 @@ def forward_backward(xy: np.ndarray, yy: np.ndarray, yx: np.ndarray, xx: np.ndar
     return root.real, float(np.linalg.norm(root.imag) / max(np.linalg.norm(root.real), 1e-300))
 
 
+#: Eigenvalues below this share of the largest are rounding noise, of random phase.
+NOISE_SHARE = 1e-10
+
+
+def is_noise(values: np.ndarray) -> np.ndarray:
+    """Which eigenvalues are zero but for rounding.
+
+    The operator is the real part of a matrix root. Where the matrix has a negative real
+    eigenvalue, the root's is imaginary, and its real part leaves a zero: it is computed
+    as some 1e-14 of random phase, which would come and go with the order of sums.
+    """
+    return np.abs(values) <= NOISE_SHARE * np.abs(values).max(initial=0)
+
+
 def modes(operator: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors, values) with low <= |phase| <= high, by modulus then phase, both descending.
+    """(vectors, values) with low <= |phase| <= high, by modulus then phase, both descending; noise is left out.
 
     Moduli are compared to 12 digits, so that a mode stands before its conjugate.
     Vectors have length 1 and a real, positive largest entry.
     """
     values, vectors = np.linalg.eig(operator)
     phase = np.angle(values)
-    kept = np.flatnonzero((np.abs(phase) >= low) & (np.abs(phase) <= high))
+    kept = np.flatnonzero((np.abs(phase) >= low) & (np.abs(phase) <= high) & ~is_noise(values))
     order = kept[np.lexsort((-phase[kept], -np.round(np.abs(values[kept]), 12)))]
     out = vectors[:, order]
     if out.size:

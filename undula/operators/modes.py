@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from undula.functions.columns import safe_corr, wrap_phase
-from undula.functions.dense import band_pass, forward_backward, lasso, modes, refit, spline
+from undula.functions.dense import band_pass, forward_backward, is_noise, lasso, modes, refit, spline
 from undula.operators.moments import HELD_KEYS
 from undula.operators.panel import folds, following
 
@@ -159,14 +159,28 @@ def summed(moments: DataFrame, keys: Keys = ()) -> DataFrame:
     return each.groupBy(*keys, "place").agg(*[F.sum(f"m.{c}").alias(c) for c in ("yy", "xy", "xx")])
 
 
-def fit_group(moments: DataFrame, n_channels: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """(vectors, values, imaginary share) of the group's modes. The driver sees n_channels^2 sums, whatever the data."""
+def group_operator(moments: DataFrame, n_channels: int) -> tuple[np.ndarray, float]:
+    """(one-step operator, imaginary share of its root). The driver sees n_channels^2 sums, whatever the data."""
     m = summed(moments).orderBy("place").toPandas()
     yy, xy, xx = (m[c].to_numpy().reshape(n_channels, n_channels) for c in ("yy", "xy", "xx"))
-    operator, imaginary = forward_backward(xy, yy, xy.T, xx)
+    return forward_backward(xy, yy, xy.T, xx)
+
+
+def fit_group(moments: DataFrame, n_channels: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(vectors, values, imaginary share) of the group's modes."""
+    operator, imaginary = group_operator(moments, n_channels)
     return *modes(operator, low, high), imaginary
 
 
+def fit_report(moments: DataFrame, n_channels: int, low: float, high: float) -> DataFrame:
+    """One row: eigenvalues of the group's operator in the band, outside of it, and left out as rounding noise; the imaginary share of its root."""
+    operator, imaginary = group_operator(moments, n_channels)
+    noise = int(is_noise(np.linalg.eigvals(operator)).sum())
+    kept = modes(operator, low, high)[1]
+    row = (len(kept), n_channels - len(kept) - noise, noise, imaginary)
+    return moments.sparkSession.createDataFrame([row], "in_band long, outside long, noise long, imaginary_share double")
+
+
 def mode_table(spark, vectors: np.ndarray, values: np.ndarray) -> DataFrame:
     """(mode_idx, channel, re, im, lambda_re, lambda_im), numbered from 1; odd ones stand before their conjugates."""
     k, n = vectors.shape[1], vectors.shape[0]

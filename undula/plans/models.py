@@ -43,6 +43,12 @@ def group_modes(spark: SparkSession, d: str) -> DataFrame:
     return O.mode_table(spark, vectors, values)
 
 
+@query
+def group_fit(spark: SparkSession, d: str) -> DataFrame:
+    """L-05, L-06: how many eigenvalues the band keeps, and how many are rounding noise."""
+    return O.fit_report(_moments(spark, d), CHANNELS, LOW, HIGH)
+
+
 @query
 def subject_metrics(spark: SparkSession, d: str) -> DataFrame:
     """L-07, L-09: eigenvalues refitted for each label."""
