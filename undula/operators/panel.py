@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from undula.operators.ordering import TIME_CHUNK, following, numbered
+
 Keys = Sequence[str]
 
 
@@ -56,34 +58,22 @@ def global_signal(panel: DataFrame, keys: Keys = ()) -> DataFrame:
     return panel.groupBy(*keys, "t").agg(F.avg("value").alias("value"))
 
 
+def _with_channel_sums(panel: DataFrame, keys: Keys, **sums: Column) -> DataFrame:
+    """The panel with aggregates of each channel of a session, joined back to its samples."""
+    by = [*keys, "channel"]
+    return panel.join(panel.groupBy(*by).agg(*[v.alias(k) for k, v in sums.items()]), by)
+
+
 def demeaned(panel: DataFrame, keys: Keys = ()) -> DataFrame:
-    w = Window.partitionBy(*keys, "channel")
-    return panel.withColumn("value", F.col("value") - F.avg("value").over(w))
+    centred = _with_channel_sums(panel, keys, _m=F.avg("value")).withColumn("value", F.col("value") - F.col("_m"))
+    return centred.select(panel.columns)
 
 
 def zscored(panel: DataFrame, keys: Keys = ()) -> DataFrame:
     """Standard scores by the sample deviation; a constant channel scores 0."""
-    w = Window.partitionBy(*keys, "channel")
-    sd = F.stddev_samp("value").over(w)
-    return panel.withColumn("value", (F.col("value") - F.avg("value").over(w)) / F.when((sd == 0) | sd.isNull(), F.lit(1.0)).otherwise(sd))
-
-
-#: Values of t that one task orders at a time.
-TIME_CHUNK = 4096
-
-
-def following(rows: DataFrame, value: str, keys: Keys = (), name: str = "x") -> DataFrame:
-    """rows (keys, t, value) with the next value of the same keys as `name`; null for the last.
-
-    Rows are ordered within chunks of time, and chunks meet by their first rows, of which
-    there is one for each: no task orders a whole series.
-    """
-    chunk = rows.withColumn("_chunk", F.floor(F.col("t") / TIME_CHUNK))
-    first = chunk.groupBy(*keys, "_chunk").agg(F.min_by(value, "t").alias("_first"))
-    after = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_chunk"))
-    joined = chunk.join(first.select(*keys, "_chunk", after.alias("_after")), [*keys, "_chunk"])
-    within = F.lead(value).over(Window.partitionBy(*keys, "_chunk").orderBy("t"))
-    return joined.withColumn(name, F.coalesce(within, F.col("_after"))).drop("_chunk", "_after")
+    sd = F.when((F.col("_sd") == 0) | F.col("_sd").isNull(), F.lit(1.0)).otherwise(F.col("_sd"))
+    scored = _with_channel_sums(panel, keys, _m=F.avg("value"), _sd=F.stddev_samp("value"))
+    return scored.withColumn("value", (F.col("value") - F.col("_m")) / sd).select(panel.columns)
 
 
 def lag1_pairs(panel: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -94,19 +84,18 @@ def lag1_pairs(panel: DataFrame, keys: Keys = ()) -> DataFrame:
 
 def regress_global_signal(panel: DataFrame, keys: Keys = ()) -> DataFrame:
     """Residual of each channel on an intercept and the mean over channels."""
-    signal = F.avg("value").over(Window.partitionBy(*keys, "t"))
-    with_signal = panel.withColumn("_g", signal)
-    w = Window.partitionBy(*keys, "channel")
-    slope = F.try_divide(F.covar_pop("value", "_g").over(w), F.var_pop("_g").over(w))
-    fitted = F.avg("value").over(w) + F.coalesce(slope, F.lit(0.0)) * (F.col("_g") - F.avg("_g").over(w))
-    return with_signal.withColumn("value", F.col("value") - fitted).drop("_g")
+    with_signal = panel.withColumn("_g", F.avg("value").over(Window.partitionBy(*keys, "t")))  # the channels of a t
+    slope = F.try_divide(F.covar_pop("value", "_g"), F.var_pop("_g"))
+    fitted = _with_channel_sums(with_signal, keys, _m=F.avg("value"), _b=F.coalesce(slope, F.lit(0.0)), _mg=F.avg("_g"))
+    return fitted.withColumn("value", F.col("value") - (F.col("_m") + F.col("_b") * (F.col("_g") - F.col("_mg")))).select(panel.columns)
 
 
 def split_in_time(panel: DataFrame, keys: Keys = (), share: float = 0.8) -> DataFrame:
-    """The panel with `is_fit`: whether a sample is among the first `share` of its session, its rank from 1."""
-    w = Window.partitionBy(*keys, "channel")
-    rank = F.row_number().over(w.orderBy("t"))
-    return panel.withColumn("is_fit", rank <= F.round(F.lit(share) * F.count("*").over(w)))
+    """The panel with `is_fit`: whether a sample is among the first `share` of its channel's, its rank from 1."""
+    by = [*keys, "channel"]
+    sizes = panel.groupBy(*by).agg(F.count("*").alias("_all"))
+    ranked = numbered(panel, by, "_n").join(sizes, by)
+    return ranked.withColumn("is_fit", F.col("_n") + 1 <= F.round(F.lit(share) * F.col("_all"))).select(*panel.columns, "is_fit")
 
 
 def folds(ids: DataFrame, id_col: str, n_folds: int = 5, seed: int = 111) -> DataFrame:

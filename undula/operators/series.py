@@ -10,17 +10,23 @@ from pyspark.sql.window import Window
 
 from undula.functions.columns import safe_corr
 from undula.operators.moments import channel_pairs
+from undula.operators.ordering import at_positions, beside, numbered, sign_runs, tiled, value_ranks
 
 Keys = Sequence[str]
 
 
 def sliding_correlation(pairs: DataFrame, length: int, keys: Keys = ()) -> DataFrame:
-    """(keys, i, j, t, rho): correlation over the `length` samples that end at t, full windows only; 0 where a side is constant."""
-    by = Window.partitionBy(*keys, "i", "j").orderBy("t")
-    w = by.rowsBetween(-(length - 1), 0)
+    """(keys, i, j, t, rho): correlation over the `length` samples that end at t, full windows only; 0 where a side is constant.
+
+    Samples are numbered and dealt to tiles, each with the samples before it that its
+    windows need.
+    """
+    group = [*keys, "i", "j"]
+    w = Window.partitionBy(*group, "_tile").orderBy("_n").rowsBetween(-(length - 1), 0)
     spread = F.stddev_pop("vi").over(w) * F.stddev_pop("vj").over(w)
     rho = F.when(spread > 1e-12, F.covar_pop("vi", "vj").over(w) / spread).otherwise(F.lit(0.0))
-    return pairs.select(*keys, "i", "j", "t", rho.alias("rho"), F.row_number().over(by).alias("_n")).where(F.col("_n") >= length).drop("_n")
+    tiles = tiled(numbered(pairs, group, "_n"), before=length - 1, n="_n")
+    return tiles.select(*group, "t", "_n", "_own", rho.alias("rho")).where(F.col("_own") & (F.col("_n") >= length - 1)).select(*group, "t", "rho")
 
 
 def dfc_std(sliding: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -35,26 +41,25 @@ def excursion(sliding: DataFrame, keys: Keys = (), alpha: float = 0.9, beta: flo
     """
     group = [*keys, "i", "j"]
     sliding = sliding.withColumn("rho", F.round("rho", 9))
-    mid = sliding.groupBy(*group).agg(F.median("rho").alias("_m"))
-    by = Window.partitionBy(*group).orderBy("t")
-    signed = sliding.join(mid, group).withColumn("_s", F.signum(F.col("rho") - F.col("_m")))
-    turned = signed.withColumn("_c", (F.col("_s") != F.lag("_s").over(by)).cast("int"))
-    runs = turned.withColumn("_run", F.sum(F.coalesce("_c", F.lit(0))).over(by))
-    each = runs.groupBy(*group, "_run").agg(F.count("*").alias("n"), F.max("rho").alias("top"))
-    return each.groupBy(*group).agg(F.sum(F.pow(F.col("n"), F.lit(alpha)) * F.pow(F.col("top"), F.lit(beta))).alias("excursion"))
+    mid = at_positions(value_ranks(sliding, "rho", group), "rho", (F.col("total") + 1) / 2, group, "_m")
+    signed = sliding.join(mid, group).withColumn("_s", F.signum(F.round(F.col("rho") - F.col("_m"), 10)))
+    runs = sign_runs(signed, "_s", "rho", group)
+    return runs.groupBy(*group).agg(F.sum(F.pow(F.col("length"), F.lit(alpha)) * F.pow(F.col("top"), F.lit(beta))).alias("excursion"))
 
 
 def lagged_covariance(panel: DataFrame, lags: int, keys: Keys = ()) -> DataFrame:
     """(keys, i, j, lag, value) for i < j: mean over t of vi(t) times vj(t + lag), over n - |lag| terms; demean first.
 
-    The lagged partners of a sample are carried in its row by lead and lag, one sort for all lags.
+    Lags count samples that both channels have. The lagged partners of a sample are
+    carried in its row by lead and lag, one sort for all lags, tile by tile.
     """
-    by = Window.partitionBy(*keys, "i", "j").orderBy("t")
-    pairs = channel_pairs(panel, keys)
+    group = [*keys, "i", "j"]
+    by = Window.partitionBy(*group, "_tile").orderBy("_n")
+    tiles = tiled(numbered(channel_pairs(panel, keys), group, "_n"), before=lags, after=lags, n="_n")
     moved = {f"_v{k + lags}": (F.lead("vj", k) if k >= 0 else F.lag("vj", -k)).over(by) for k in range(-lags, lags + 1)}
     shifted = F.array(*[F.struct(F.lit(k - lags).alias("lag"), F.col(f"_v{k}").alias("v")) for k in range(2 * lags + 1)])
-    each = pairs.withColumns(moved).select(*keys, "i", "j", "vi", F.explode(shifted).alias("s")).where("s.v is not null")
-    return each.groupBy(*keys, "i", "j", F.col("s.lag").alias("lag")).agg(F.avg(F.col("vi") * F.col("s.v")).alias("value"))
+    each = tiles.withColumns(moved).where("_own").select(*group, "vi", F.explode(shifted).alias("_s")).where("_s.v is not null")
+    return each.groupBy(*group, F.col("_s.lag").alias("lag")).agg(F.avg(F.col("vi") * F.col("_s.v")).alias("value"))
 
 
 def peak_lag(lagged: DataFrame, keys: Keys = (), step: float = 1.0, longest: float | None = None) -> DataFrame:
@@ -74,9 +79,9 @@ def peak_lag(lagged: DataFrame, keys: Keys = (), step: float = 1.0, longest: flo
 
 def local_maxima(series: DataFrame, value: str, keys: Keys = (), least: float | None = None) -> DataFrame:
     """Samples above both neighbours, a plateau counting at its first sample; ends are none."""
-    by = Window.partitionBy(*keys).orderBy("t")
-    moved = series.withColumn("_d", F.col(value) - F.lag(value).over(by)).where("_d is null or _d <> 0")
-    out = moved.withColumn("_next", F.lead("_d").over(by)).where("_d > 0 and _next < 0").drop("_d", "_next")
+    steps = beside(series, value, keys, "_before", back=True).withColumn("_d", F.col(value) - F.col("_before"))
+    moved = beside(steps.where("_d is null or _d <> 0"), "_d", keys, "_next")
+    out = moved.where("_d > 0 and _next < 0").select(series.columns)
     return out if least is None else out.where(F.col(value) >= least)
 
 
@@ -101,10 +106,10 @@ def lateralisation(panel: DataFrame, is_left: Column, length: int, stride: int,
 
 def framewise_displacement(motion: DataFrame, shifts: list[str], degrees: list[str], keys: Keys, radius: float = 50.0) -> DataFrame:
     """(keys, fd): mean over frames of summed absolute changes, rotations as arcs on a sphere of that radius."""
-    by = Window.partitionBy(*keys).orderBy("t")
-    change = lambda c: F.abs(c - F.lag(c).over(by))
-    moved = sum([change(F.col(c)) for c in shifts] + [change(F.radians(F.col(c)) * radius) for c in degrees], F.lit(0.0))
-    return motion.select(*keys, moved.alias("_fd")).groupBy(*keys).agg(F.avg("_fd").alias("fd"))
+    parameters = [F.col(c) for c in shifts] + [F.radians(F.col(c)) * radius for c in degrees]
+    placed = motion.select(*keys, "t", F.array(*[p.cast("double") for p in parameters]).alias("_p"))
+    moved = F.aggregate(F.zip_with("_p", "_q", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
+    return beside(placed, "_p", keys, "_q", back=True).select(*keys, moved.alias("_fd")).groupBy(*keys).agg(F.avg("_fd").alias("fd"))
 
 
 def boxcar(samples: DataFrame, events: DataFrame, keys: Keys, bin_width: float) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from undula.functions.columns import ci95
 from undula.functions.dense import contrast_f, contrast_t
+from undula.operators.ordering import at_positions, joined, least_from, value_ranks
 
 Keys = Sequence[str]
 
@@ -67,19 +68,40 @@ def bh_adjusted(tests: DataFrame, p: str, keys: Keys = (), q: float = 0.05, depe
     """tests with `adjusted`: Benjamini-Hochberg (or Yekutieli, for dependent tests) p-values within keys.
 
     published_scale divides by q too, a scaling that a published script of this analysis
-    has and that makes adjusted values 1/q times too large. Ties share the largest rank.
+    has and that makes adjusted values 1/q times too large. Ties share the largest rank. A
+    null p counts as no test.
     """
-    by = Window.partitionBy(*keys)
-    m = F.count("*").over(by)
+    m = F.col("total")
     factor = F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda a, i: a + 1 / i) if dependent else F.lit(1.0)
-    ranked = tests.withColumn("_rank", F.row_number().over(by.orderBy(p))).withColumn("_m", m)
-    scaled = F.col(p) * F.col("_m") * factor / F.col("_rank") / (q if published_scale else 1.0)
-    least = F.min(scaled).over(by.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing))
-    return ranked.withColumn("adjusted", F.least(least, F.lit(1.0))).drop("_rank", "_m")
+    return _step_up(tests, p, keys, m * factor / (q if published_scale else 1.0), "adjusted")
+
+
+def _step_up(tests: DataFrame, p: str, keys: Keys, factor: Column, name: str, ranks: DataFrame | None = None) -> DataFrame:
+    """tests with `name`: the least of p times factor / rank over the p-values from its own on, 1 at most; null where p is."""
+    ranks = value_ranks(tests, p, keys) if ranks is None else ranks
+    scaled = F.col(p) * factor / (F.col("below") + F.col("count"))
+    found = least_from(ranks, p, scaled, keys, "_least").select(*keys, p, F.least("_least", F.lit(1.0)).alias(name))
+    return tests.join(found, [*keys, p], "left").select(*tests.columns, name)
+
+
+def q_values(tests: DataFrame, p: str, keys: Keys = ()) -> DataFrame:
+    """tests with `q`: Storey's q-values within keys; null where p is.
+
+    The share of true nulls is the least over the grid 0.05 .. 0.9 of mean(p > l) / (1 - l),
+    1 at most and one test at least; the counts of the grid are one aggregation.
+    """
+    grid = [g / 20 for g in range(1, 19)]
+    x = F.col(p)
+    shares = [F.avg((x > g).cast("double")) / (1 - g) for g in grid]
+    nulls = tests.where(x.isNotNull()).groupBy(*keys).agg(F.least(F.lit(1.0), F.greatest(F.least(*shares), 1 / F.count(p))).alias("_nulls"))
+    ranks = joined(value_ranks(tests, p, keys), nulls, keys)
+    return _step_up(tests, p, keys, F.col("_nulls") * F.col("total"), "q", ranks)
 
 
 def bonferroni(tests: DataFrame, p: str, keys: Keys = ()) -> DataFrame:
-    return tests.withColumn("adjusted", F.least(F.col(p) * F.count("*").over(Window.partitionBy(*keys)), F.lit(1.0)))
+    """tests with `adjusted`: p times the number of tests of its keys, 1 at most."""
+    sizes = tests.groupBy(*keys).agg(F.count("*").alias("_m"))
+    return joined(tests, sizes, keys).withColumn("adjusted", F.least(F.col(p) * F.col("_m"), F.lit(1.0))).select(*tests.columns, "adjusted")
 
 
 def signed_rank(rows: DataFrame, difference: str, keys: Keys = ()) -> DataFrame:
@@ -117,11 +139,9 @@ def trend(rows: DataFrame, x: str, y: str, keys: Keys = ()) -> DataFrame:
 
 def midpoint_percentile(rows: DataFrame, value: str, percent: float, keys: Keys = ()) -> DataFrame:
     """(keys, percentile) with sorted value i of n at 100 (i - 0.5) / n, linear between, clamped at the ends."""
-    by = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.row_number().over(by).alias("_i"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
-    place = F.least(F.greatest(F.lit(percent / 100) * F.col("_n") + 0.5, F.lit(1.0)), F.col("_n").cast("double"))
-    share = F.when(F.abs(F.col("_i") - place) < 1, 1 - F.abs(F.col("_i") - place)).otherwise(0.0)
-    return ranked.groupBy(*keys).agg(F.sum(F.col("_v") * share).alias("percentile"))
+    n = F.col("total")
+    place = F.least(F.greatest(F.lit(percent / 100) * n + 0.5, F.lit(1.0)), n.cast("double"))
+    return at_positions(value_ranks(rows, value, keys), value, place, keys, "percentile")
 
 
 def exceedance(observed: DataFrame, permuted: DataFrame, keys: Keys, statistic: str = "t", largest: str = "max_t") -> DataFrame:

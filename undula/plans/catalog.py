@@ -12,6 +12,7 @@ from undula.operators import panel as P
 from undula.operators import series as S
 from undula.operators import statistics as T
 from undula.operators import subjects as U
+from undula.operators.ordering import numbered
 from undula.sources.tables import embedding_panel, hour_of, hourly_panel, people, read, user_sessions
 
 QUERIES: dict = {}
@@ -209,9 +210,7 @@ x AS (SELECT p.channel, k.w, corr(p.value, g.l) - corr(p.value, g.rr) AS d FROM
 SELECT channel, round(avg(d), 6) + 0.0 AS "index" FROM x GROUP BY 1""")
 def lateralization(spark: SparkSession, d: str) -> DataFrame:
     """E-05, L-23."""
-    from pyspark.sql.window import Window
-
-    panel = embedding_panel(spark, d).withColumn("t", F.row_number().over(Window.partitionBy("channel").orderBy("t")) - 1)
+    panel = numbered(embedding_panel(spark, d), ["channel"], "n").select("channel", F.col("n").alias("t"), "value")
     return S.lateralisation(panel, F.col("channel") <= 32, 43, 14).select("channel", r("index").alias("index"))
 
 
