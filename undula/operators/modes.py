@@ -288,14 +288,14 @@ def forecasts(panel: DataFrame, keys: Keys, vectors: np.ndarray | dict[int, np.n
     return panel.groupBy(*keys).applyInPandas(run, _schema(panel, keys, "model string, n_modes int, r2 double, loss double"))
 
 
-def reconstructed(modes_: DataFrame, frames: int, steps_per_frame: float = 1.0, unit: bool = False) -> DataFrame:
-    """(channel, t, value): summed over modes Re(lambda^(t steps) phi), conjugates included; unit: lambda / |lambda|."""
+def reconstructed(modes_: DataFrame, frames: int, steps_per_frame: float = 1.0, unit: bool = False, keys: Keys = ()) -> DataFrame:
+    """(keys, channel, t, value): summed over modes of the keys Re(lambda^(t steps) phi), conjugates included; unit: lambda / |lambda|."""
     m = F.hypot("lambda_re", "lambda_im")
     size, angle = (F.lit(1.0) if unit else m), F.atan2("lambda_im", "lambda_re")
-    each = modes_.select("channel", "re", "im", size.alias("m"), angle.alias("a"), F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("t"))
+    each = modes_.select(*keys, "channel", "re", "im", size.alias("m"), angle.alias("a"), F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("t"))
     p = F.col("t") * steps_per_frame
     value = F.pow("m", p) * (F.col("re") * F.cos(F.col("a") * p) - F.col("im") * F.sin(F.col("a") * p))
-    return each.groupBy("channel", "t").agg(F.sum(value).alias("value"))
+    return each.groupBy(*keys, "channel", "t").agg(F.sum(value).alias("value"))
 
 
 def phase_coupling(modes_: DataFrame) -> DataFrame:

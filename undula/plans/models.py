@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from undula.operators import modes as O
 from undula.operators import moments as M
 from undula.operators import patterns as C
 from undula.operators import statistics as T
+from undula.operators import templates as Q
+from undula.operators.panel import regress_global_signal
 from undula.sources.tables import embedding_panel, read
 
 CHANNELS = 64
@@ -236,3 +239,54 @@ def covariate_residuals(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["covariate_residuals"] = covariate_residuals
 ORACLE["covariate_residuals"] = """WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(l_extendedprice - a - b * l_quantity, 2) + 0.0 AS residual FROM lineitem CROSS JOIN f"""
+
+
+#: Frames of a template.
+WINDOW = 30
+
+
+def _pattern_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """The embedding panel without its global signal, in tiles."""
+    return Q.frame_tiles(regress_global_signal(embedding_panel(spark, d)), CHANNELS, WINDOW)
+
+
+@query
+def qpp_runs(spark: SparkSession, d: str) -> DataFrame:
+    """L-26: rounds, peaks and mean correlation of ten runs."""
+    reports, _ = Q.quasi_periodic(_pattern_tiles(spark, d), CHANNELS, WINDOW)
+    return spark.createDataFrame(reports, "run int, rounds int, converged boolean, peaks long, mean_r double")
+
+
+@query
+def qpp_template(spark: SparkSession, d: str) -> DataFrame:
+    """L-26: the template of the run with the largest mean correlation."""
+    reports, found = Q.quasi_periodic(_pattern_tiles(spark, d), CHANNELS, WINDOW)
+    return Q.template_table(spark, found[Q.best_run(reports)]) if reports else spark.createDataFrame([], "frame int, channel int, value double")
+
+
+@query
+def template_course(spark: SparkSession, d: str) -> DataFrame:
+    """C-11, E-07: the panel's first thirty frames against every window."""
+    tiles = Q.frame_tiles(embedding_panel(spark, d), CHANNELS, WINDOW)
+    first = tiles.where("tile = 0").select(F.slice("x", 1, WINDOW * CHANNELS)).first()[0]
+    course = Q.template_course(tiles, {1: np.array(first).reshape(WINDOW, CHANNELS)})
+    return course.select("t", (F.round("r", 6) + F.lit(0.0)).alias("r"))
+
+
+ORACLE["template_course"] = """WITH f AS (SELECT vec_id AS t, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM embeddings),
+x AS (SELECT t, n, unnest(range(1, len(embedding) + 1)) AS c, CAST(unnest(embedding) AS DOUBLE) AS v FROM f)
+SELECT w.t, round(corr(a.v, b.v), 6) + 0.0 AS r FROM f AS w JOIN x AS b ON b.n BETWEEN w.n AND w.n + 29 JOIN x AS a ON a.n = b.n - w.n AND a.c = b.c
+WHERE w.n <= (SELECT max(n) - 29 FROM f) GROUP BY w.t"""
+
+
+@query
+def template_match(spark: SparkSession, d: str) -> DataFrame:
+    """L-33: when the course of each pair of modes, of moduli 1, is most like the template, and how much.
+
+    Courses of 3,000 frames of 0.72 s; modes are per step of 1.5 s.
+    """
+    reports, found = Q.quasi_periodic(_pattern_tiles(spark, d), CHANNELS, WINDOW)
+    course = O.reconstructed(group_modes(spark, d).withColumn("pair", F.floor((F.col("mode_idx") + 1) / 2).cast("int")), 3001, 0.72 / 1.5, unit=True, keys=["pair"])
+    tiles = Q.frame_tiles(course, CHANNELS, WINDOW, ["pair"])
+    met = Q.template_course(tiles, {1: found[Q.best_run(reports)]}).where(f"t < {3000 - WINDOW}")
+    return met.groupBy("pair").agg(F.max_by("t", F.struct("r", -F.col("t"))).alias("frame"), F.max("r").alias("r"))
