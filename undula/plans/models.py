@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from undula.functions.columns import period_seconds
 from undula.operators import modes as O
+from undula.operators import families as A
 from undula.operators import moments as M
 from undula.operators import patterns as C
 from undula.operators import statistics as T
 from undula.operators import templates as Q
 from undula.operators.panel import regress_global_signal
+from undula.sources.staging import written
 from undula.sources.tables import embedding_panel, read
 
 CHANNELS = 64
@@ -290,3 +292,47 @@ def template_match(spark: SparkSession, d: str) -> DataFrame:
     tiles = Q.frame_tiles(course, CHANNELS, WINDOW, ["pair"])
     met = Q.template_course(tiles, {1: found[Q.best_run(reports)]}).where(f"t < {3000 - WINDOW}")
     return met.groupBy("pair").agg(F.max_by("t", F.struct("r", -F.col("t"))).alias("frame"), F.max("r").alias("r"))
+
+
+METRICS, FACTORS = ("engagement", "persistence", "progression"), ("quantity", "discount", "tax", "price")
+
+
+def behaviour(spark: SparkSession, d: str) -> tuple[DataFrame, list[A.Metric]]:
+    """(customers with covariates, metrics and factors, the metrics): order priorities stand for modes, means over lines for factors."""
+    orders = read(spark, d, "orders").withColumn("mode", F.substring("o_orderpriority", 1, 1))
+    metrics = [(metric, str(mode), f"{metric}_{mode}") for mode in range(1, 6) for metric in METRICS]
+    here = lambda mode, c: F.when(F.col("mode") == str(mode), c)
+    made = {"engagement": lambda m: F.avg(here(m, F.col("o_totalprice"))), "persistence": lambda m: F.count(here(m, F.lit(1))).cast("double"), "progression": lambda m: F.avg(here(m, F.dayofyear("o_orderdate").cast("double")))}
+    each = orders.groupBy("o_custkey").agg(*[made[metric](mode).alias(c) for metric, mode, c in metrics])
+    lines = read(spark, d, "lineitem").join(read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    means = lines.groupBy("o_custkey").agg(*[F.avg(c).alias(name) for name, c in zip(FACTORS, ("l_quantity", "l_discount", "l_tax", "l_extendedprice"))])
+    customers = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit(1.0).alias("one"), F.col("c_acctbal").alias("balance"))
+    return customers.join(each, "o_custkey").join(means, "o_custkey"), metrics
+
+
+@query
+def factor_grid(spark: SparkSession, d: str) -> DataFrame:
+    """C-13, L-41, L-44: t and partial-type r of every mode's metrics for every factor, beside intercept and balance."""
+    rows, metrics = behaviour(spark, d)
+    g = A.factor_grid(rows, ["one", "balance"], metrics, list(FACTORS))
+    return g.select("metric", "mode", "factor", "n", "df", (F.round("r", 6) + F.lit(0.0)).alias("r"), (F.round("t", 4) + F.lit(0.0)).alias("t"))
+
+
+ORACLE["factor_grid"] = """WITH o AS (SELECT o_custkey AS k, substring(o_orderpriority, 1, 1) AS mode, avg(o_totalprice) AS e, CAST(count(*) AS DOUBLE) AS p, avg(dayofyear(o_orderdate)) AS g FROM orders GROUP BY 1, 2),
+l AS (SELECT o_custkey AS k, avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t, avg(l_extendedprice) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+s AS (SELECT c_custkey AS k, c_acctbal AS z FROM customer JOIN l ON l.k = c_custkey WHERE c_custkey IN (SELECT k FROM o GROUP BY 1 HAVING count(*) = 5)),
+m AS (SELECT k, mode, 'engagement' AS metric, e AS v FROM o UNION ALL SELECT k, mode, 'persistence', p FROM o UNION ALL SELECT k, mode, 'progression', g FROM o),
+f AS (SELECT k, 'quantity' AS factor, q AS v FROM l UNION ALL SELECT k, 'discount', d FROM l UNION ALL SELECT k, 'tax', t FROM l UNION ALL SELECT k, 'price', x FROM l),
+mr AS (SELECT m.*, v - regr_intercept(v, z) OVER w - regr_slope(v, z) OVER w * z AS u FROM m JOIN s USING (k) WINDOW w AS (PARTITION BY mode, metric)),
+fr AS (SELECT f.*, v - regr_intercept(v, z) OVER w - regr_slope(v, z) OVER w * z AS u FROM f JOIN s USING (k) WINDOW w AS (PARTITION BY factor)),
+c AS (SELECT metric, mode, factor, count(*) AS n, sum(mr.u * fr.u) AS mf, sum(mr.u * mr.u) AS mm, sum(fr.u * fr.u) AS ff, corr(fr.u, mr.v) AS r FROM mr JOIN fr USING (k) GROUP BY 1, 2, 3)
+SELECT metric, mode, factor, n, n - 3 AS df, round(r, 6) + 0.0 AS r, round(mf / mm / sqrt((ff - mf * mf / mm) / (n - 3) / mm), 4) + 0.0 AS t FROM c"""
+
+
+@query
+def factor_tests(spark: SparkSession, d: str) -> DataFrame:
+    """L-45, L-46, D-22, D-27: p, q-value and family-wise p by 1,000 max-T permutations of every test of the grid."""
+    rows, metrics = behaviour(spark, d)
+    rows = written(rows)
+    g = T.q_values(A.factor_grid(rows, ["one", "balance"], metrics, list(FACTORS)), "p")
+    return A.exceedance_p(g, A.max_t(rows, "o_custkey", ["one", "balance"], metrics, list(FACTORS), permutations=1000)).select("metric", "mode", "factor", "t", "p", "q", "p_fwe")
