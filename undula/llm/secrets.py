@@ -11,6 +11,7 @@ whatever characters they are made of.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +29,9 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that make what follows within REACH characters sensitive.
 SENSITIVE = (*ASSIGN_WORDS, "passphrase", "credential", "private", "bearer", "authorization", "signature", "access key")
 REACH, AROUND = 64, 256
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A candidate has so many characters at least, and what a base span leaves of one too.
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 #: Reported from so many marginal bytes a character on, at this level of compression, which codes known words in few bytes.
 NOVELTY, LEVEL = 0.7, 19
 #: Identifiers in the dictionary at most, most frequent first, and the documents an identifier must be in.
@@ -59,27 +62,54 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, in order, overlapping ones together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def clear_parts(start: int, end: int, starts: list[int], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """The parts of a range that what is covered (starts, ends) leaves."""
+    i = bisect_right(ends, start)
+    while i < len(starts) and starts[i] < end:
+        if start < starts[i]:
+            yield start, starts[i]
+        start = ends[i]
+        i += 1
+    if start < end:
+        yield start, end
+
+
 def novel_spans(text: str, taken: list[tuple[str, int, int]], compressor: zstandard.ZstdCompressor, least: float) -> list[tuple[str, int, int, float]]:
-    """("novel", start, end, novelty) of candidates clear of the spans taken."""
+    """("novel", start, end, novelty) of the parts of candidates that the spans taken leave, as far as they are long enough themselves."""
     low, size, out, end = text.lower(), lambda s: len(compressor.compress(s.encode())), [], 0
     if not any(w in low for w in SENSITIVE):
         return out
     if len(low) != len(text):
         low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    starts, ends = merged(taken)
     places = sorted(m.end() for w in SENSITIVE if w in low for m in re.finditer(re.escape(w), low))
     for at in places:
-        while first := CANDIDATE.search(text, max(at, end), at + REACH + 16):
-            m = CANDIDATE.match(text, first.start())
-            end, word = m.end(), m[0]
-            if any(a < m.end() and m.start() < b for _, a, b in taken):
-                continue
-            # the candidate's other occurrences are blanked out, also those that the ends of the surroundings cut
-            far, blank = AROUND + len(word), " " * len(word)
-            before = text[max(0, m.start() - far) : m.start()].replace(word, blank)[-AROUND:]
-            after = text[m.end() : m.end() + far].replace(word, blank)[:AROUND]
-            novelty = (size(after + before + word) - size(after + before)) / len(word)
-            if novelty >= least:
-                out.append(("novel", *m.span(), novelty))
+        while first := CANDIDATE.search(text, max(at, end), at + REACH + SHORTEST):
+            begin, end = CANDIDATE.match(text, first.start()).span()
+            for a, b in clear_parts(begin, end, starts, ends):
+                if b - a < SHORTEST:
+                    continue
+                word = text[a:b]
+                # its other occurrences are blanked out, also those that the ends of the surroundings cut
+                far, blank = AROUND + len(word), " " * len(word)
+                before = text[max(0, a - far) : a].replace(word, blank)[-AROUND:]
+                after = text[b : b + far].replace(word, blank)[:AROUND]
+                novelty = (size(after + before + word) - size(after + before)) / len(word)
+                if novelty >= least:
+                    out.append(("novel", a, b, novelty))
     return out
 
 
@@ -87,8 +117,9 @@ def find_secrets(docs: DataFrame, dictionary: bytes | None = None, least: float
     """(doc_id, spans): for every row, kind, start, end (exclusive, in code points) and novelty.
 
     Needs doc_id and text; other columns are not read. A null text is an empty one and
-    has no spans. Spans of one kind don't overlap, those of different kinds may; they
-    come by start, then kind. novelty is null for the fixed patterns. Rows are scanned
+    has no spans. Spans of one kind don't overlap, those of different base kinds may; a
+    novel span is clear of base spans: of a candidate that one covers in part, what is
+    left is measured, if it is long enough. They come by start, then kind. novelty is null for the fixed patterns. Rows are scanned
     one by one: repeated rows give repeated results, an empty table none.
     dictionary: what identifier_dictionary gives, computed from docs where it is None.
     """
