@@ -9,10 +9,12 @@ any run of its lines that is as long, in canonical words, as some known text.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,29 +105,45 @@ def runs(lines: list[list[str]], lengths: list[int]) -> Iterator[tuple[int, int,
                 yield n, last, digest(words[at : at + length])
 
 
-def licence_matches(docs: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """(doc_id, unit, licence, first_line, last_line): the runs of lines that are entire known texts; unit: whole or part.
+SCANNED = "row long, doc_id {kind}, runs array<struct<unit:string,first_line:int,last_line:int,digest:string>>"
 
-    Lines count from 0. A run longer than the known texts, or cut within a line, is none.
+
+def scanned(docs: DataFrame, lengths: list[int], known: bool) -> DataFrame:
+    """(row, doc_id, runs) for every row of docs, written at once: a number of its own, and its runs of lines as long as a known text.
+
+    known: texts without any of the MARKERS can't hold a known text and are not read.
     """
-    digests, lengths = known_digests(docs.sparkSession, known)
-    has = F.exists(F.array(*[F.lit(m) for m in MARKERS]), lambda m: F.contains(F.lower("text"), m))
-    held = docs.where(has) if known is None else docs.where("text is not null")
-    kind = dict(docs.dtypes)["doc_id"]
+    has = F.exists(F.array(*[F.lit(m) for m in MARKERS]), lambda m: F.contains(F.lower("text"), m)) if known else F.col("text").isNotNull()
+    fields = pa.struct([("unit", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("digest", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = itertools.count(TaskContext.get().partitionId() << 33)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                lines = canonical_lines(text.as_py())
+            rows: list[list[tuple]] = []
+            for text in batch.column("text"):
+                lines = canonical_lines(text.as_py() or "")
                 total = sum(map(len, lines))
-                rows += [(doc_id, "whole" if sum(map(len, lines[a : b + 1])) == total else "part", a, b, d) for a, b, d in runs(lines, lengths)]
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            types = [batch.column("doc_id").type, pa.string(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "unit", "first_line", "last_line", "digest"])
+                rows.append([("whole" if sum(map(len, lines[a : b + 1])) == total else "part", a, b, d) for a, b, d in runs(lines, lengths)])
+            held = [[dict(zip(("unit", "first_line", "last_line", "digest"), r)) for r in found] for found in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([next(number) for _ in rows], pa.int64()), batch.column("doc_id"), pa.array(held, pa.list_(fields))], names=["row", "doc_id", "runs"])
+
+    return checkpointed(docs.select("doc_id", F.when(has, F.col("text")).alias("text")).mapInArrow(run, SCANNED.format(kind=dict(docs.dtypes)["doc_id"])))
 
-    keyed = held.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, unit string, first_line int, last_line int, digest string")
-    return keyed.join(broadcast_if_small(checkpointed(digests), BROADCAST_DIGESTS), "digest").select("doc_id", "unit", "licence", "first_line", "last_line").distinct()
+
+def _matched(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """(row, doc_id, unit, licence, first_line, last_line): the runs that are known texts."""
+    each = rows.select("row", "doc_id", F.explode("runs").alias("r")).select("row", "doc_id", "r.*")
+    return each.join(broadcast_if_small(checkpointed(digests), BROADCAST_DIGESTS), "digest").select("row", "doc_id", "unit", "licence", "first_line", "last_line").distinct()
+
+
+def licence_matches(docs: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
+    """(doc_id, unit, licence, first_line, last_line): the runs of lines that are entire known texts; unit: whole or part.
+
+    Lines count from 0. A run longer than the known texts, or cut within a line, is none.
+    Each row of docs is a document by itself, also where ids repeat or are null.
+    """
+    digests, lengths = known_digests(docs.sparkSession, known)
+    return _matched(scanned(docs, lengths, known is None), digests).drop("row")
 
 
 def scan_licences(docs: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
@@ -134,16 +152,18 @@ def scan_licences(docs: DataFrame, known: dict[str, list[str]] | None = None) ->
     whole: the licence that the whole text is, else null. licences: all found, sorted.
     n_matches counts the places of known texts, each once, also those within another.
     Needs doc_id and text; other columns are not read. A null or empty text matches
-    nothing. Rows with one doc_id are taken to be one document: what any of them holds is
-    returned for each. An empty table gives no rows. known: licence names and their
-    texts, in the place of the ones that come with this module.
+    nothing. Each row is a document by itself, also where ids repeat or are null. An
+    empty table gives no rows. known: licence names and their texts, in the place of the
+    ones that come with this module.
     """
-    found = licence_matches(docs, known).groupBy("doc_id").agg(
+    digests, lengths = known_digests(docs.sparkSession, known)
+    rows = scanned(docs, lengths, known is None)
+    found = _matched(rows, digests).groupBy("row").agg(
         F.max(F.when(F.col("unit") == "whole", F.col("licence"))).alias("whole"),
         F.count("*").alias("n_matches"),
         F.array_sort(F.collect_set("licence")).alias("licences"),
     )
-    return docs.select("doc_id").join(found, "doc_id", "left").select(
+    return rows.select("row", "doc_id").join(found, "row", "left").select(
         "doc_id", "whole", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("licences", F.array().cast("array<string>")).alias("licences")
     )
 
