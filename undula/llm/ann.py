@@ -5,7 +5,9 @@ hyperplanes, and keeps the strings as a sorted array. A query descends in every
 to its longest matching prefix; from the longest on all trees then ascend together,
 taking in the vectors that share ever shorter prefixes, until there are candidates
 enough. The index is cut into cells, each with a forest of its own, that tasks search
-by themselves. Leading bits of further trees name the cells that a query visits.
+by themselves. The first bits of one further tree name a vector's cell, in which it
+stands once; a query visits its own cell and those whose bits differ where it is close
+to the hyperplane.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from pyspark.sql.window import Window
 from undula.llm.shared import broadcast_if_small, checkpointed, table
 
 #: Vectors in a cell and queries in a block, about: they bound a task's memory.
-CELL, QUERY_BLOCK = 8192, 2048
+CELL, QUERY_BLOCK = 8192, 8192
 TREES, DEPTH = 48, 64
 #: The forest is fitted on at most so many vectors, those with the smallest hashes of their ids, and so many queries among them.
 FIT_ROWS, FIT_QUERIES = 2000, 250
 #: The share of neighbours that the cells visited, and the candidates taken in a cell, have to hold in the fit, each.
 TARGET = 0.97
+#: The most bits that name a cell; cells that get too large are searched in parts.
+MOST_BITS = 18
 #: Tables of cells up to so many rows are broadcast.
 BROADCAST_CELLS = 500_000
 SEED = 20
@@ -79,53 +83,74 @@ class Forest:
     def candidates(self, queries: np.ndarray, wanted: int) -> np.ndarray:
         """For each query, a mask of vectors: those of the longest prefixes that give `wanted` of them, trees ascending together."""
         masks, open_ = np.zeros((len(queries), len(self.order)), bool), np.arange(len(queries))
-        before = np.zeros((len(queries), self.sorted.shape[1]), np.int64)
+        trees = np.arange(self.sorted.shape[1])
+        low, high = self.ranges(queries, DEPTH)
+        high = low.copy()  # nothing is taken in yet
         for length in range(self.longest(queries), -1, -1):
-            low, high = self.ranges(queries[open_], length)
-            for i, t in zip(*(x.tolist() for x in np.nonzero(high - low > before[open_]))):
-                masks[open_[i], self.order[low[i, t] : high[i, t], t]] = True
-            before[open_] = high - low
+            first, last = self.ranges(queries[open_], length)
+            # what the shorter prefixes add on either side of what is in, of all queries and trees at once
+            starts, stops = np.stack([first, high[open_]]), np.stack([low[open_], last])
+            size = (stops - starts).ravel()
+            at = np.repeat(starts.ravel() - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            of = np.broadcast_to(open_[None, :, None], starts.shape).ravel()
+            tree = np.broadcast_to(trees, starts.shape).ravel()
+            masks[np.repeat(of, size), self.order[at, np.repeat(tree, size)]] = True
+            low[open_], high[open_] = first, last
             open_ = open_[masks[open_].sum(1) < wanted]
             if not len(open_):
                 break
         return masks
 
 
-def fit(unit: np.ndarray, k: int) -> tuple[float, float]:
-    """(agreement, share) fitted on a sample of unit vectors.
+def cell_bits(n: int) -> int:
+    """Bits that name cells of about CELL of n vectors."""
+    return min(MOST_BITS, max(0, math.ceil(math.log2(max(n, 1) / CELL))))
+
+
+def _patterns(bits: int) -> np.ndarray:
+    """All patterns of so many bits, as numbers from 0 on, by bits."""
+    return (np.arange(1 << bits)[:, None] >> np.arange(bits) & 1).astype(float)
+
+
+def cells_of(unit: np.ndarray, bits: int, probes: int = 1) -> np.ndarray:
+    """Rows by probes: a vector's own cell, then those that its distances to the hyperplanes make likeliest for a neighbour."""
+    sides = unit @ planes(unit.shape[1], bits, SEED + 1)
+    own = (sides > 0) @ (1 << np.arange(bits))
+    if probes == 1 or not bits:
+        return own[:, None].astype(np.int32)
+    if probes >= 1 << bits:
+        return np.broadcast_to(np.arange(1 << bits, dtype=np.int32), (len(unit), 1 << bits))
+    out, step, patterns = np.empty((len(unit), probes), np.int32), max(1, (1 << 22) >> bits), _patterns(bits)
+    for i in range(0, len(unit), step):
+        cost = sides[i : i + step] ** 2 @ patterns.T
+        out[i : i + step] = np.argpartition(cost, probes - 1, 1)[:, :probes] ^ own[i : i + step, None]
+    return out
+
+
+def fit(unit: np.ndarray, k: int, bits: int = 0) -> tuple[float, int]:
+    """(share, probes) fitted on a sample of unit vectors: each holds TARGET of the k nearest of a vector.
 
-    agreement: the mean chance that a hyperplane leaves a vector and one of its k nearest
-    on one side. share: the least part of a cell, on a grid, that the trees have to take
-    in as candidates to hold TARGET of the k nearest.
+    share: the least part of a cell that the trees have to take in as candidates. probes:
+    the least number of cells to visit, of those that `bits` hyperplanes make.
     """
     n = len(unit)
     if n < 2:
-        return 1.0, 1.0
+        return 1.0, 1 << bits
     asked = np.arange(0, n, max(1, n // FIT_QUERIES))
     cosine = unit[asked] @ unit.T
     cosine[np.arange(len(asked)), asked] = -2
     near = np.argsort(-cosine, 1, kind="stable")[:, : min(k, n - 1)]
-    agreement = 1 - np.arccos(np.clip(np.take_along_axis(cosine, near, 1), -1, 1)).mean() / np.pi
     strings = hash_strings(unit, planes(unit.shape[1], TREES * DEPTH))
-    forest = Forest(strings)
-    for share in (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9):
-        masks = forest.candidates(strings[asked], math.ceil(share * n))
-        if np.take_along_axis(masks, near, 1).mean() >= TARGET:
-            return float(agreement), share
-    return float(agreement), 1.0
-
-
-def route(n: int, agreement: float) -> tuple[int, int]:
-    """(bits, trees): leading bits that name a cell of about CELL of n vectors, and trees whose cells a query visits.
-
-    A neighbour shares the bits of one tree with chance agreement ** bits; so many trees
-    hold it in one of them with chance TARGET. trees is 0 where that would take as many
-    cells as there are: then one table of cells is visited whole.
-    """
-    bits = max(0, math.ceil(math.log2(max(n, 1) / CELL)))
-    met = min(agreement**bits, 1 - 1e-12)
-    trees = math.ceil(math.log(1 - TARGET) / math.log(1 - met)) if bits and met > 0 else 1 << bits
-    return bits, trees if trees < 1 << bits else 0
+    sides = unit @ planes(unit.shape[1], bits, SEED + 1)
+    shares, ranks, patterns = [], [], _patterns(bits)
+    for q, own in zip(asked.tolist(), near):
+        # the smallest difference of a vector's strings tells its longest prefix; a neighbour needs those of longer ones to be too few
+        apart = (strings ^ strings[q]).min(1)
+        shares += [int((apart < np.uint64((1 << int(d).bit_length()) >> 1)).sum()) + 1 for d in apart[own]]
+        cost = patterns @ sides[q] ** 2
+        ranks += [int((cost < cost[d]).sum()) + 1 for d in ((sides[own] > 0) ^ (sides[q] > 0)) @ (1 << np.arange(bits))]
+    reach = lambda x: np.quantile(x, TARGET, method="higher")
+    return float(min(1.0, reach(shares) / n)), int(reach(ranks))
 
 
 def usable(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str) -> DataFrame:
@@ -136,20 +161,22 @@ def usable(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str) -
     return rows.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
 
 
-def _placed(rows: DataFrame, bits: int, trees: int, everywhere: bool) -> DataFrame:
-    """rows (size, id, v) with (tree, cell): the cells of every tree; without trees one by hash, or `everywhere` all."""
-    if not trees:
-        all_ = F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1))) if everywhere else F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << bits)).cast("int")
-        return rows.select("size", F.lit(0).alias("tree"), all_.alias("cell"), "id", "v")
+def _placed(rows: DataFrame, bits: int, probes: int) -> DataFrame:
+    """rows (size, id, v, ...) with `cells`: a vector's own cell first, then others to visit."""
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", cells array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(bits)
         for batch in batches:
-            cells = [((unit_rows(v.values.to_numpy()[None]) @ planes(len(v), bits * trees, SEED + 1) > 0).reshape(trees, bits) @ weights).astype(np.int32) for v in batch.column("v")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=["size", "id", "v", "cells"])
+            size, cells = batch.column("size").to_numpy(), [None] * batch.num_rows
+            for d in np.unique(size).tolist():
+                at = np.flatnonzero(size == d)
+                found = cells_of(unit_rows(batch.column("v").take(pa.array(at)).flatten().to_numpy().reshape(-1, d)), bits, probes)
+                for i, c in zip(at.tolist(), found):
+                    cells[i] = c
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
 
-    found = rows.select("size", "id", "v").mapInArrow(run, "size int, id long, v array<double>, cells array<int>")
-    return found.select("size", F.posexplode("cells").alias("tree", "cell"), "id", "v")
+    return rows.mapInArrow(run, schema)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -163,33 +190,32 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     table gives no rows, and a query without candidates none.
 
     Rows of one vector are one entry of the index with its k + 1 smallest ids, as no query
-    needs more. Candidates and cells are fitted on the commonest vector length in a
-    bounded sample (`fit`, `route`). Cells of many vectors are split, and their queries
-    visit each part; so a task holds about CELL vectors, and no pair of a query and a
-    candidate leaves its task.
+    needs more. An entry stands in one cell. How much of a cell is taken in, and how many
+    cells a query visits, are fitted on the commonest vector length in a bounded sample
+    (`fit`). Cells of many vectors are split, and their queries visit each part; so a
+    task holds about CELL vectors, and no pair of a query and a candidate leaves its task.
     """
     rows = checkpointed(usable(vectors, is_query, id_col, vector_col).withColumn("size", F.size("v")))
     by_vector = Window.partitionBy("v").orderBy("id")
     smallest = rows.withColumn("_n", F.row_number().over(by_vector)).where(F.col("_n") <= k + 1)
     index = checkpointed(smallest.groupBy("size", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("id", F.col("ids")[0]))
-    n = index.count()
+    bits = cell_bits(index.count())
     drawn = [np.array(r["v"]) for r in index.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()]
     sizes = [len(v) for v in drawn]
-    agreement, share = fit(unit_rows(np.stack([v for v in drawn if len(v) == max(set(sizes), key=sizes.count)])), k) if drawn else (1.0, 1.0)
-    bits, trees = route(n, agreement)
+    share, probes = fit(unit_rows(np.stack([v for v in drawn if len(v) == max(set(sizes), key=sizes.count)])), k, bits) if drawn else (1.0, 1)
 
-    cell = ["size", "tree", "cell"]
-    held, asked = (_placed(x.select("size", "id", "v"), bits, trees, everywhere) for x, everywhere in ((index, False), (rows.where("q"), True)))
-    held, asked = (checkpointed(x) for x in (held, asked))
+    cell = ["size", "cell"]
+    held = checkpointed(_placed(index, bits, 1).select("size", F.col("cells")[0].alias("cell"), "id", "v", "ids"))
+    asked = checkpointed(_placed(rows.where("q").select("size", "id", "v"), bits, probes))
+    visits = asked.select("size", F.explode("cells").alias("cell"), "id", "v")
     parts = held.groupBy(*cell).agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
-    blocks = asked.groupBy(*cell).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    blocks = visits.groupBy(*cell).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
     cells = broadcast_if_small(checkpointed(parts.join(blocks, cell)), BROADCAST_CELLS)
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     place = lambda count, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(count)).cast("int")
     group = [*cell, "part", "block"]
-    mine = held.join(cells, cell).withColumn("part", place("parts", 3)).select(*cell, "part", every("blocks").alias("block"), "id", "v")
-    mine = mine.join(index.select("id", "ids"), "id")
-    theirs = asked.join(cells, cell).withColumn("block", place("blocks", 2)).select(*cell, every("parts").alias("part"), "block", "id", "v")
+    mine = held.join(cells, cell).withColumn("part", place("parts", 3)).select(*cell, "part", every("blocks").alias("block"), "id", "v", "ids")
+    theirs = visits.join(cells, cell).withColumn("block", place("blocks", 2)).select(*cell, every("parts").alias("part"), "block", "id", "v")
 
     def search(mine: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -212,7 +238,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
 
     found = mine.groupBy(*group).cogroup(theirs.groupBy(*group)).applyInPandas(search, "query_id long, id long, score double")
-    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score")) if trees else found
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
