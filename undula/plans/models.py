@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from undula.functions.columns import period_seconds
 from undula.operators import modes as O
 from undula.operators import families as A
+from undula.operators import heritability as H
 from undula.operators import moments as M
 from undula.operators import patterns as C
 from undula.operators import statistics as T
@@ -336,3 +337,13 @@ def factor_tests(spark: SparkSession, d: str) -> DataFrame:
     rows = written(rows)
     g = T.q_values(A.factor_grid(rows, ["one", "balance"], metrics, list(FACTORS)), "p")
     return A.exceedance_p(g, A.max_t(rows, "o_custkey", ["one", "balance"], metrics, list(FACTORS), permutations=1000)).select("metric", "mode", "factor", "t", "p", "q", "p_fwe")
+
+
+@query
+def heritability(spark: SparkSession, d: str) -> DataFrame:
+    """L-54: customers as people, parents from nation and number, as in kinship_pairs; three measures beside a covariate."""
+    k = F.col("c_custkey")
+    family = (F.col("c_nationkey") * 200 + F.floor(k / 20)).cast("long")
+    people = read(spark, d, "customer").select(k.alias("id"), family.alias("family"), family.alias("m"), (F.col("c_nationkey") * 100000 + F.floor(k / 10)).alias("f"), F.when(k % 3 == 0, "MZ").when(k % 3 == 1, "DZ").otherwise("NT").alias("z"), "c_acctbal")
+    orders = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.avg("o_totalprice").alias("spent"), F.avg(F.dayofyear("o_orderdate")).alias("day"), F.count("*").cast("double").alias("orders"))
+    return H.ace(people.join(orders, "id"), "id", "family", "m", "f", "z", ["spent", "day", "c_acctbal"], ["orders"])
