@@ -127,17 +127,77 @@ def hrf(step: float, seconds: float = 32.0) -> np.ndarray:
     return out / out.sum()
 
 
-def lasso(gram: np.ndarray, moment: np.ndarray, weight: float, rounds: int = 200) -> np.ndarray:
-    """Coordinate descent for 1/2 b'Gb - b'c + weight |b|, G and c being means of products."""
-    b = np.zeros(len(moment))
+def lasso_rows(gram: np.ndarray, moments: np.ndarray, weight: float, start: np.ndarray | None = None, rounds: int = 20_000) -> np.ndarray:
+    """Coordinate descent for 1/2 b'Gb - b'c + weight |b| for every row c of moments at once, G and c being means of products.
+
+    start: where to begin, such as the solution for a larger weight. Raises where `rounds`
+    are not enough.
+    """
+    b = np.zeros_like(moments) if start is None else start.copy()
+    used = np.flatnonzero(np.diag(gram) > 0)
     for _ in range(rounds):
-        was = b.copy()
-        for j in np.flatnonzero(np.diag(gram) > 0):
-            c = moment[j] - gram[j] @ b + gram[j, j] * b[j]
-            b[j] = np.sign(c) * max(abs(c) - weight, 0) / gram[j, j]
-        if np.abs(b - was).max(initial=0) < 1e-10:
+        moved = 0.0
+        for j in used:
+            c = moments[:, j] - b @ gram[:, j] + gram[j, j] * b[:, j]
+            new = np.sign(c) * np.maximum(np.abs(c) - weight, 0) / gram[j, j]
+            moved = max(moved, np.abs(new - b[:, j]).max(initial=0))
+            b[:, j] = new
+        if moved <= 1e-10 * max(1.0, np.abs(b).max(initial=0)):
+            return b
+    raise RuntimeError(f"the weights still move by {moved} after {rounds} rounds")
+
+
+def lasso(gram: np.ndarray, moment: np.ndarray, weight: float) -> np.ndarray:
+    """lasso_rows of one row."""
+    return lasso_rows(gram, moment[None], weight)[0]
+
+
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """For each row of a square matrix its column, each column once, at the least total cost: shortest augmenting paths."""
+    n = len(cost)
+    u, v, row_of = np.zeros(n + 1), np.zeros(n + 1), np.full(n + 1, -1)
+    for i in range(n):
+        row_of[n], at = i, n
+        least, before, seen = np.full(n, np.inf), np.full(n, n), np.zeros(n + 1, bool)
+        while row_of[at] >= 0:
+            seen[at] = True
+            r = row_of[at]
+            open_ = ~seen[:n]
+            slack = cost[r] - u[r] - v[:n]
+            closer = open_ & (slack < least)
+            least[closer], before[closer] = slack[closer], at
+            nxt = int(np.where(open_, least, np.inf).argmin())
+            step = least[nxt]
+            u[row_of[seen]] += step
+            v[seen] -= step
+            least[open_] -= step
+            at = nxt
+        while at != n:
+            row_of[at] = row_of[before[at]]
+            at = before[at]
+        row_of[n] = -1
+    out = np.empty(n, int)
+    out[row_of[:n]] = np.arange(n)
+    return out
+
+
+def matched_modes(folds: dict[int, np.ndarray], first: np.ndarray) -> dict[int, np.ndarray]:
+    """For each fold the places of its modes in the order of `first`: clusters of magnitudes that each fold hits once.
+
+    folds and first: channels by modes, as many in each. Centres begin as the magnitudes
+    of `first`, every fold is dealt to them at the least squared distance, and centres
+    become the means of what they were dealt, until that no longer changes.
+    """
+    size = {f: np.abs(v) for f, v in folds.items()}
+    centres, own = np.abs(first), np.abs(first)
+    places: dict[int, np.ndarray] = {}
+    for _ in range(100):
+        new = {f: assignment(((centres[:, :, None] - v[:, None, :]) ** 2).sum(0)) for f, v in size.items()}
+        if places and all((new[f] == places[f]).all() for f in new):
             break
-    return b
+        places = new
+        centres = np.mean([own, *(v[:, places[f]] for f, v in size.items())], 0)
+    return places
 
 
 def leading_communities(weights: np.ndarray) -> np.ndarray:
@@ -207,3 +267,22 @@ def contrast_f(xx: np.ndarray, xy: np.ndarray, yy: float, n: int, c: np.ndarray)
     p, p2 = int(np.linalg.matrix_rank(xx)), int(np.linalg.matrix_rank(keep.T @ xx @ keep))
     f = ((rss(keep) - rss(np.eye(len(xx)))) / (p - p2)) / (rss(np.eye(len(xx))) / (n - p))
     return float(f), fisher_p(f, p - p2, n - p), p - p2, n - p
+
+
+def signed_rank_p(n: int, w: float, z: float | None) -> float | None:
+    """Two-sided p of a signed-rank sum: exact for up to 15 ranks without ties, else of z."""
+    from math import erfc, sqrt
+
+    if n == 0:
+        return 1.0
+    if z is None or z != z:
+        return None
+    centre = n * (n + 1) / 4
+    untied = z == 0 or abs((w - centre) / z - sqrt(n * (n + 1) * (2 * n + 1) / 24)) < 1e-9
+    if n > 15 or not untied or w != int(w):
+        return erfc(abs(z) / sqrt(2))
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1
+    for r in range(1, n + 1):
+        ways[r:] += ways[:-r].copy()
+    return float(min(1.0, 2 * ways[: int(min(w, 2 * centre - w)) + 1].sum() / 2**n))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from undula.functions.columns import safe_corr, wrap_phase
-from undula.functions.dense import band_pass, forward_backward, is_noise, lasso, modes, refit, spline
+from undula.functions.dense import band_pass, forward_backward, is_noise, lasso_rows, matched_modes, modes, refit, spline
 from undula.operators.moments import HELD_KEYS
 from undula.operators.panel import folds, following
 
@@ -241,10 +241,85 @@ def fold_modes(moments: DataFrame, unit: str, n_channels: int, low: float, high:
     return dealt, found
 
 
-def forecasts(panel: DataFrame, keys: Keys, vectors: np.ndarray | dict[int, np.ndarray], n_channels: int, pairs: Sequence[int], sparse: float | None = None, kernel: float | None = None) -> DataFrame:
+def _of_fold(parameter: float | dict[int, float], rows: pd.DataFrame) -> float:
+    return parameter[int(rows["fold"].iat[0])] if isinstance(parameter, dict) else parameter
+
+
+def _smoothed(rest: np.ndarray, d2: np.ndarray, kernel: float) -> np.ndarray:
+    """rest averaged by Gaussian weights of squared distances, their median root times kernel / 50 wide."""
+    width = max(np.median(np.sqrt(d2)) * kernel / 50, 1e-300)
+    w = np.exp(-(d2 - d2.min(0)) / (2 * width * width))
+    return rest @ (w / w.sum(0))
+
+
+def parameter_curves(panel: DataFrame, keys: Keys, n_channels: int, weights: Sequence[float], widths: Sequence[float]) -> DataFrame:
+    """(keys, model, parameter, r2): how well the sparse model with each weight, and the kernel model with each width, forecasts a session's last fifth.
+
+    A session is fitted and scored by one task for all parameters: weights from the
+    largest down, each from the solution before, and distances once.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        channels, times, values = _matrix(rows)
+        full = np.zeros((n_channels, len(times)))
+        full[channels - 1] = values
+        cut, out = int(np.floor(0.8 * (len(times) - 1) + 0.5)), []
+        y, x, yt, xt = full[:, :cut], full[:, 1 : cut + 1], full[:, cut:-1], full[:, cut + 1 :]
+        if cut >= 2 and xt.shape[1] >= 2:
+            a = (x * y).sum() / max((y * y).sum(), 1e-300)
+            rest, sst = x - a * y, ((xt - xt.mean(1, keepdims=True)) ** 2).sum(1)
+            score = lambda forecast: float((1 - ((xt - forecast) ** 2).sum(1)[sst > 0] / sst[sst > 0]).mean()) if (sst > 0).any() else 0.0
+            theta = None
+            for weight in sorted(weights, reverse=True):
+                theta = lasso_rows(y @ y.T / cut, rest @ y.T / cut, weight, theta)
+                out.append(("sparse", float(weight), score((a * np.eye(n_channels) + theta) @ yt)))
+            d2 = np.maximum((y * y).sum(0)[:, None] + (yt * yt).sum(0)[None] - 2 * y.T @ yt, 0)
+            out += [("kernel", float(h), score(a * yt + _smoothed(rest, d2, h))) for h in widths]
+        return pd.DataFrame(out, columns=["model", "parameter", "r2"]).assign(**{k: rows[k].iat[0] for k in keys})[[*keys, "model", "parameter", "r2"]]
+
+    return panel.groupBy(*keys).applyInPandas(run, _schema(panel, keys, "model string, parameter double, r2 double"))
+
+
+def chosen_parameters(curves: DataFrame, dealt: DataFrame, unit: str, first: dict[str, int] | None = None, fineness: int = 1000) -> dict[str, dict[int, float]]:
+    """{model: {fold: parameter}}: for each fold the parameter of the largest mean r2 over the units outside it.
+
+    curves: from parameter_curves, on even grids; dealt: (unit, fold). A fold's mean
+    curve, without its first points where `first` says so, is followed by a spline in
+    steps of the grid's step / fineness; the driver sees one curve for each fold and model.
+    """
+    per = curves.groupBy(unit, "model", "parameter").agg(F.avg("r2").alias("r2")).join(dealt, unit)
+    other = dealt.select(F.col("fold").alias("left_out")).distinct()
+    means = per.join(F.broadcast(other), F.col("fold") != F.col("left_out")).groupBy("left_out", "model", "parameter").agg(F.avg("r2").alias("r2")).toPandas()  # a row for each fold and point
+    out: dict[str, dict[int, float]] = {}
+    for (model, fold), curve in means.sort_values("parameter").groupby(["model", "left_out"]):
+        at, y = (curve[c].to_numpy()[(first or {}).get(model, 0) :] for c in ("parameter", "r2"))
+        if len(at) > 3:
+            step = (at[-1] - at[0]) / (len(at) - 1)
+            fine = np.linspace(at[0], at[-1], (len(at) - 1) * fineness + 1)
+            at, y = fine, spline(step, y, fine - at[0] + step)
+        out.setdefault(model, {})[int(fold)] = float(at[int(y.argmax())])
+    return out
+
+
+def mode_matches(spark, folds_: dict[int, np.ndarray], first: np.ndarray, most: int = 12) -> DataFrame:
+    """(mode, fold, other, correlation, cosine) for folds fold < other: how alike what they have of a mode is.
+
+    The first of each conjugate pair stands for it. Modes are matched one to one by their
+    magnitudes (matched_modes), with the order of `first`; correlation is that of the
+    magnitudes, cosine the magnitude of that of the vectors.
+    """
+    k = min([most, first.shape[1] // 2, *(v.shape[1] // 2 for v in folds_.values())])
+    odd = {f: v[:, : 2 * k : 2] for f, v in folds_.items()}
+    places = matched_modes(odd, first[:, : 2 * k : 2])
+    alike = {f: v[:, places[f]] / np.linalg.norm(v[:, places[f]], axis=0) for f, v in odd.items()}
+    rows = [(m + 1, f, g, float(np.corrcoef(abs(alike[f][:, m]), abs(alike[g][:, m]))[0, 1]), float(abs(np.vdot(alike[f][:, m], alike[g][:, m])))) for f in alike for g in alike if f < g for m in range(k)]
+    return spark.createDataFrame(rows, "mode int, fold int, other int, correlation double, cosine double")
+
+
+def forecasts(panel: DataFrame, keys: Keys, vectors: np.ndarray | dict[int, np.ndarray], n_channels: int, pairs: Sequence[int], sparse: float | dict[int, float] | None = None, kernel: float | dict[int, float] | None = None) -> DataFrame:
     """(keys, model, n_modes, r2, loss): one-step forecasts of a session's last fifth, fitted on what is before.
 
-    vectors: the modes, or those of each `fold`, which then is one of the keys. A session
+    vectors, sparse, kernel: the modes and parameters, or those of each `fold`, which then is one of the keys. A session
     is forecast by one task, which needs its samples together; sessions are of bounded
     length. model: modes (with each number of conjugate pairs), null (one coefficient),
     persistence, sparse (null plus row-wise lasso of its residual) where a weight is
@@ -274,13 +349,11 @@ def forecasts(panel: DataFrame, keys: Keys, vectors: np.ndarray | dict[int, np.n
             sse["modes", k] = ((xt - step @ yt) ** 2).sum(1)
         if sparse is not None:
             rest, g = x - a * y, y @ y.T / cut
-            theta = np.stack([lasso(g, y @ row / cut, sparse) for row in rest])
+            theta = lasso_rows(g, rest @ y.T / cut, _of_fold(sparse, rows))
             sse["sparse", 0] = ((xt - (a * np.eye(n_channels) + theta) @ yt) ** 2).sum(1)
         if kernel is not None:
             rest, d2 = x - a * y, np.maximum((y * y).sum(0)[:, None] + (yt * yt).sum(0)[None] - 2 * y.T @ yt, 0)
-            width = max(np.median(np.sqrt(d2)) * kernel / 50, 1e-300)
-            w = np.exp(-(d2 - d2.min(0)) / (2 * width * width))
-            sse["kernel", 0] = ((xt - a * yt - rest @ (w / w.sum(0))) ** 2).sum(1)
+            sse["kernel", 0] = ((xt - a * yt - _smoothed(rest, d2, _of_fold(kernel, rows))) ** 2).sum(1)
         ok = (sst > 0) & (sse["null", 0] > 0)
         out = [(m, k, float((1 - e[ok] / sst[ok]).mean()) if ok.any() else 0.0, float((e[ok] / sse["null", 0][ok]).mean()) if ok.any() else 0.0) for (m, k), e in sse.items()]
         return pd.DataFrame(out, columns=["model", "n_modes", "r2", "loss"]).assign(**{k: rows[k].iat[0] for k in keys})[[*keys, "model", "n_modes", "r2", "loss"]]

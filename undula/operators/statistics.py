@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from undula.functions.columns import ci95
-from undula.functions.dense import contrast_f, contrast_t
+from undula.functions.columns import ci95, safe_corr
+from undula.functions.dense import contrast_f, contrast_t, signed_rank_p, student_p
 from undula.operators.ordering import at_positions, joined, least_from, value_ranks
 
 Keys = Sequence[str]
@@ -119,6 +120,38 @@ def signed_rank(rows: DataFrame, difference: str, keys: Keys = ()) -> DataFrame:
     return out.select(*keys, "n", "w", F.try_divide(F.col("w") - n * (n + 1) / 4, spread).alias("z"))
 
 
+def signed_rank_tests(rows: DataFrame, difference: str, keys: Keys = ()) -> DataFrame:
+    """signed_rank with two-sided `p`: exact for up to 15 differences without ties, else by the normal approximation; null without spread."""
+    tests = signed_rank(rows, difference, keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in batches:
+            yield found.assign(p=[signed_rank_p(int(n), w, z) for n, w, z in zip(found["n"], found["w"], found["z"])])
+
+    kinds = dict(tests.dtypes)
+    return tests.mapInPandas(run, ", ".join([f"{c} {kinds[c]}" for c in tests.columns] + ["p double"]))
+
+
+def with_p(tests: DataFrame, t: str = "t", df: str = "df", name: str = "p") -> DataFrame:
+    """tests with the two-sided p of their t and degrees of freedom; null where either is null. One row in, one out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in batches:
+            known = found[t].notna() & found[df].notna() & (found[df] > 0)
+            yield found.assign(**{name: [student_p(x, n) if ok else None for x, n, ok in zip(found[t], found[df], known)]})
+
+    kinds = dict(tests.dtypes)
+    return tests.mapInPandas(run, ", ".join([f"{c} {kinds[c]}" for c in tests.columns] + [f"{name} double"]))
+
+
+def retest(rows: DataFrame, unit: str, rating: str, value: str, first, second, keys: Keys = ()) -> DataFrame:
+    """(keys, n, r, icc): correlation and ICC (3,1) of two ratings, over the units that have both; null without spread."""
+    of = lambda c: F.avg(F.when(F.col(rating) == c, F.col(value)))
+    both = rows.groupBy(*keys, unit).agg(of(first).alias("a"), of(second).alias("b")).where("a is not null and b is not null")
+    up, down = F.var_samp(F.col("a") + F.col("b")), F.var_samp(F.col("a") - F.col("b"))
+    return both.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr(F.col("a"), F.col("b")).alias("r"), F.try_divide(up - down, up + down).alias("icc"))
+
+
 def mad_outliers(rows: DataFrame, values: list[str], scaled_mads: float = 3.0) -> DataFrame:
     """rows with `is_outlier`: any value further than so many scaled median deviations from its median."""
     mid = rows.agg(*[F.median(c).alias(f"_m_{c}") for c in values])

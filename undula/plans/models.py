@@ -7,16 +7,18 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from undula.functions.columns import period_seconds
+from undula.functions.columns import period_seconds, safe_corr
 from undula.operators import modes as O
 from undula.operators import families as A
 from undula.operators import heritability as H
 from undula.operators import moments as M
 from undula.operators import patterns as C
+from undula.operators import series as S
 from undula.operators import statistics as T
 from undula.operators import templates as Q
-from undula.operators.panel import regress_global_signal
+from undula.operators.panel import regress_global_signal, split_in_time
 from undula.sources.staging import written
 from undula.sources.tables import embedding_panel, read
 
@@ -85,7 +87,7 @@ def forecast_cv(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def forecast_grid(spark: SparkSession, d: str) -> DataFrame:
-    """L-15: mean loss of the sparse model by weight and of the kernel model by width."""
+    """Mean loss of the sparse model by weight and of the kernel model by width, over all labels; it chooses nothing, forecast_choice does."""
     panel = labelled_panel(spark, d)
     none = {}
     each = [O.forecasts(panel, ["label"], none, CHANNELS, (), sparse=w, kernel=h).where("model in ('sparse', 'kernel')").withColumn("parameter", F.when(F.col("model") == "sparse", w).otherwise(h)) for w, h in ((0.005, 5.0), (0.01, 20.0), (0.02, 50.0), (0.05, 100.0))]
@@ -97,14 +99,14 @@ def forecast_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def forecast_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """L-16: signed ranks, over labels, of the loss of each model less that of the null."""
+    """Signed ranks, over labels, of the loss of each model less that of the null; forecast_tests compares models with each other."""
     f = forecast_cv(spark, d).select("label", "model", "n_modes", (F.col("loss") - 1).alias("difference"))
     return T.signed_rank(f.where("model <> 'null'"), "difference", ["model", "n_modes"])
 
 
 @query
 def mode_consistency(spark: SparkSession, d: str) -> DataFrame:
-    """L-17: magnitude of the cosine between the first mode of every two folds."""
+    """Magnitude of the cosine between the modes of largest modulus of every two folds, which may be different modes; mode_matching matches them."""
     _, vectors = O.fold_modes(_moments(spark, d), "label", CHANNELS, LOW, HIGH)
     first = [(f, i + 1, float(x.real), float(x.imag)) for f, v in vectors.items() if v.shape[1] for i, x in enumerate(v[:, 0] / math.sqrt((abs(v[:, 0]) ** 2).sum()))]
     m = spark.createDataFrame(first, "fold int, channel int, re double, im double")
@@ -115,9 +117,7 @@ def mode_consistency(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def test_retest(spark: SparkSession, d: str) -> DataFrame:
-    """L-53: agreement of a metric between two halves of each label's time: ICC (3,1) by mode."""
-    from undula.operators.panel import split_in_time
-
+    """Agreement of the engagement of two modes between two halves of each label's time: ICC (3,1); retest_eigenvalues has refitted ones."""
     halves = split_in_time(labelled_panel(spark, d), ["label"], 0.5).withColumn("half", F.col("is_fit").cast("int")).drop("is_fit")
     vectors, _, _ = O.fit_group(_moments(spark, d), CHANNELS, LOW, HIGH)
     metrics = O.engagement(halves, ["label", "half"], vectors[:, :4], CHANNELS)
@@ -208,7 +208,7 @@ def mode_lag_projection(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def feature_time_course(spark: SparkSession, d: str) -> DataFrame:
-    """L-34, L-35: a reconstruction's frames against the mean pattern of each label."""
+    """L-34: a reconstruction's frames against the mean pattern of each label."""
     features = labelled_panel(spark, d).groupBy(F.col("label").alias("feature"), "channel").agg(F.avg("value").alias("weight"))
     return O.feature_course(mode_reconstruction(spark, d), features)
 
@@ -347,3 +347,119 @@ def heritability(spark: SparkSession, d: str) -> DataFrame:
     people = read(spark, d, "customer").select(k.alias("id"), family.alias("family"), family.alias("m"), (F.col("c_nationkey") * 100000 + F.floor(k / 10)).alias("f"), F.when(k % 3 == 0, "MZ").when(k % 3 == 1, "DZ").otherwise("NT").alias("z"), "c_acctbal")
     orders = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.avg("o_totalprice").alias("spent"), F.avg(F.dayofyear("o_orderdate")).alias("day"), F.count("*").cast("double").alias("orders"))
     return H.ace(people.join(orders, "id"), "id", "family", "m", "f", "z", ["spent", "day", "c_acctbal"], ["orders"])
+
+
+#: Grids of the sparse model's weight, of which the choice leaves out the first, and of the kernel's width.
+WEIGHTS, WIDTHS = tuple(i / 1000 for i in range(1, 11)), tuple(range(2, 21, 2))
+
+
+def _dealt_panel(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(the labelled panel, its folds, modes fitted outside each)."""
+    panel = written(labelled_panel(spark, d))
+    dealt, vectors = O.fold_modes(O.session_moments(panel, ["label"], CHANNELS), "label", CHANNELS, LOW, HIGH)
+    return panel, dealt, vectors
+
+
+def _choices(panel: DataFrame, dealt: DataFrame) -> dict[str, dict[int, float]]:
+    return O.chosen_parameters(O.parameter_curves(panel, ["label"], CHANNELS, WEIGHTS, WIDTHS), dealt, "label", {"sparse": 1})
+
+
+@query
+def forecast_choice(spark: SparkSession, d: str) -> DataFrame:
+    """L-15: the weight of the sparse and the width of the kernel model that do best on the labels outside each fold."""
+    panel, dealt, _ = _dealt_panel(spark, d)
+    rows = [(model, fold, p) for model, each in _choices(panel, dealt).items() for fold, p in each.items()]
+    return spark.createDataFrame(rows, "model string, fold int, parameter double")
+
+
+def _chosen_forecasts(spark: SparkSession, d: str) -> DataFrame:
+    panel, dealt, vectors = _dealt_panel(spark, d)
+    best = _choices(panel, dealt)
+    return O.forecasts(panel.join(dealt, "label"), ["fold", "label"], vectors, CHANNELS, range(1, 13), sparse=best["sparse"], kernel=best["kernel"])
+
+
+@query
+def forecast_chosen(spark: SparkSession, d: str) -> DataFrame:
+    """L-10 to L-15: forecast_cv with the parameters that each fold's other labels choose."""
+    return _chosen_forecasts(spark, d)
+
+
+@query
+def forecast_tests(spark: SparkSession, d: str) -> DataFrame:
+    """L-16: signed-rank tests, over labels, of r2 between numbers of modes, and of each against the null, sparse and kernel models."""
+    f = written(_chosen_forecasts(spark, d)).select("label", "n_modes", "model", "r2")
+    modes_ = f.where("model = 'modes'").select("label", F.col("n_modes").alias("first"), F.col("r2").alias("_r"))
+    others = f.where("model <> 'persistence'").select("label", F.when(F.col("model") == "modes", F.col("n_modes").cast("string")).otherwise(F.col("model")).alias("second"), F.when(F.col("model") == "modes", F.col("n_modes")).alias("_n"), "r2")
+    both = modes_.join(others, "label").where("_n is null or first < _n")
+    return T.signed_rank_tests(both.withColumn("difference", F.round(F.col("_r") - F.col("r2"), 12)), "difference", ["first", "second"])
+
+
+@query
+def mode_matching(spark: SparkSession, d: str) -> DataFrame:
+    """L-17: modes of the folds matched one to one, and how alike those of every two folds are."""
+    panel, _, vectors = _dealt_panel(spark, d)
+    first, _, _ = O.fit_group(O.session_moments(panel, ["label"], CHANNELS), CHANNELS, LOW, HIGH)
+    return O.mode_matches(spark, vectors, first)
+
+
+@query
+def retest_eigenvalues(spark: SparkSession, d: str) -> DataFrame:
+    """L-53: correlation and ICC (3,1), over labels, of eigenvalues refitted to the two halves of their time, for the first of each pair of modes."""
+    halves = written(split_in_time(labelled_panel(spark, d), ["label"], 0.5).withColumn("half", F.col("is_fit").cast("int")).drop("is_fit"))
+    moments = written(O.session_moments(halves, ["label", "half"], CHANNELS))
+    vectors, _, _ = O.fit_group(moments, CHANNELS, LOW, HIGH)
+    refitted = O.subject_metrics(moments, ["label", "half"], vectors[:, :10], CHANNELS).where("mode_idx % 2 = 1")
+    each = refitted.select("label", "half", "mode_idx", F.explode(F.create_map(F.lit("persistence"), F.col("persistence"), F.lit("progression"), F.abs("progression"))).alias("metric", "value"))
+    return T.retest(each, "label", "half", "value", 1, 0, ["metric", "mode_idx"])
+
+
+def _pairs_of(modes_: DataFrame, most: int) -> DataFrame:
+    """The modes of the first pairs, with `pair`."""
+    return modes_.withColumn("pair", F.floor((F.col("mode_idx") + 1) / 2).cast("int")).where(F.col("pair") <= most)
+
+
+def cumulative(rows: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """E-14: rows (pair, by, value) with the mean over the pairs up to each, as `value`."""
+    w = Window.partitionBy(*by).orderBy("pair").rowsBetween(Window.unboundedPreceding, 0)  # a bounded number of pairs
+    return rows.withColumn(value, F.avg(value).over(w))
+
+
+@query
+def reconstructed_fc(spark: SparkSession, d: str) -> DataFrame:
+    """L-29, E-14: correlations of the mean reconstruction of the first n pairs of modes, weighted by engagement, against the panel's."""
+    panel = written(labelled_panel(spark, d))
+    vectors, values, _ = O.fit_group(O.session_moments(panel, ["label"], CHANNELS), CHANNELS, LOW, HIGH)
+    weight = O.engagement(panel, ["label"], vectors[:, :10], CHANNELS).groupBy("mode_idx").agg(F.avg("b_mean").alias("weight"))
+    courses = O.reconstructed(_pairs_of(O.mode_table(spark, vectors[:, :10], values[:10]), 5), 60, 0.72 / 1.5, keys=["pair"])
+    weighted = courses.join(weight.withColumn("pair", F.floor((F.col("mode_idx") + 1) / 2).cast("int")).where("mode_idx % 2 = 1"), "pair").withColumn("value", F.col("value") * F.col("weight"))
+    fc = M.correlation_matrix(cumulative(weighted.select("pair", "channel", "t", "value"), ["channel", "t"]), ["pair"])
+    observed = M.correlation_matrix(panel.select("channel", "t", "value")).withColumnRenamed("r", "observed")
+    return fc.join(observed, ["i", "j"]).groupBy(F.col("pair").alias("n")).agg(safe_corr(F.col("r"), F.col("observed")).alias("r"))
+
+
+@query
+def phase_fc_accumulated(spark: SparkSession, d: str) -> DataFrame:
+    """L-27, E-14, B-14: phase coupling of each of the first pairs of modes, and its running mean, against the panel's correlations."""
+    first = group_modes(spark, d).where("mode_idx % 2 = 1 and mode_idx <= 10")
+    each = O.phase_coupling(first).select(F.floor((F.col("mode_idx") + 1) / 2).cast("int").alias("pair"), "i", "j", "coupling").withColumn("value", F.col("coupling"))
+    observed = M.correlation_matrix(embedding_panel(spark, d)).withColumnRenamed("r", "observed")
+    both = cumulative(each, ["i", "j"]).join(observed, ["i", "j"])
+    return both.groupBy(F.col("pair").alias("n")).agg(safe_corr(F.col("coupling"), F.col("observed")).alias("own"), safe_corr(F.col("value"), F.col("observed")).alias("accumulated"))
+
+
+@query
+def reconstruction_dfc(spark: SparkSession, d: str) -> DataFrame:
+    """E-15: sample deviation of correlations over 31 frames of the reconstruction of each of the first two pairs."""
+    courses = O.reconstructed(_pairs_of(group_modes(spark, d), 2), 91, 0.72 / 1.5, keys=["pair"])
+    sliding = S.sliding_correlation(M.channel_pairs(courses, ["pair"]), 31, ["pair"])
+    return sliding.groupBy("pair", "i", "j").agg(F.stddev_samp("rho").alias("deviation"))
+
+
+@query
+def t_tests(spark: SparkSession, d: str) -> DataFrame:
+    """L-49 to L-51 with p: quantities under two return flags, paired by part and pooled, by line status; and their difference against 0."""
+    x = read(spark, d, "lineitem")
+    paired = T.paired_t(x, "l_partkey", "l_returnflag", "l_quantity", "A", "R", ["l_linestatus"]).select(F.lit("paired").alias("test"), "l_linestatus", (F.col("n") - 1).alias("df"), "t", "d")
+    pooled = T.pooled_t(x.where("l_returnflag in ('A', 'R')").withColumn("first", F.col("l_returnflag") == "A"), "first", "l_quantity", ["l_linestatus"]).select(F.lit("pooled").alias("test"), "l_linestatus", (F.col("n1") + F.col("n2") - 2).alias("df"), "t", "d")
+    one = T.one_sample_t(x.withColumn("v", F.col("l_discount") - 0.05), "v", ["l_linestatus"]).select(F.lit("one").alias("test"), "l_linestatus", (F.col("n") - 1).alias("df"), "t", "d")
+    return T.with_p(paired.unionByName(pooled).unionByName(one))
