@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from undula.functions.columns import safe_corr, wrap_phase
 from undula.functions.dense import band_pass, forward_backward, is_noise, lasso_rows, matched_modes, modes, refit, spline
-from undula.operators.moments import HELD_KEYS
+from undula.operators.moments import HELD_KEYS, key_rows
 from undula.operators.panel import folds, following
 
 Keys = Sequence[str]
@@ -43,7 +43,7 @@ def filtered(panel: DataFrame, keys: Keys, rate: float, low: float, high: float)
         rows = rows.sort_values("t")
         return rows.assign(value=band_pass(rows[["value"]].to_numpy(float).T, rate, low, high)[0])[[*keys, "channel", "t", "value"]]
 
-    return panel.groupBy(*keys, "channel").applyInPandas(run, _schema(panel, keys, "channel int, t long, value double"))
+    return panel.groupBy(*keys, "channel").applyInPandas(run, _schema(panel, [*keys, "channel", "t"], "value double"))
 
 
 def resampled(panel: DataFrame, keys: Keys, step: float, new_step: float) -> DataFrame:
@@ -80,12 +80,12 @@ def nuisance_residual(panel: DataFrame, regressors: DataFrame, keys: Keys) -> Da
 
 
 def time_sums(panel: DataFrame, keys: Keys, n_channels: int, part: Callable[[np.ndarray, np.ndarray | None], np.ndarray], paired: bool) -> DataFrame:
-    """(keys, place, value): sums over the samples of each key of what `part` gives for some of them.
+    """(keys, sums): sums over the samples of each key of what `part` gives for some of them.
 
     part takes samples by channels 1..n_channels, absent ones 0, and with `paired` each
     one's next sample, the last of a key having none; it returns a flat array of sums.
     Channels of a t are gathered into one row, tasks sum the rows they have, and the
-    tasks' sums are added place by place: a session may be spread over any number of tasks.
+    tasks' sums are added as whole arrays: a session may be spread over any number of tasks.
     """
     frames = panel.groupBy(*keys, "t").agg(F.collect_list(F.struct(F.col("channel").cast("int").alias("c"), F.col("value").cast("double").alias("v"))).alias("now"))
     sides = ["now", "next"] if paired else ["now"]
@@ -109,9 +109,7 @@ def time_sums(panel: DataFrame, keys: Keys, n_channels: int, part: Callable[[np.
                 x = np.zeros((batch.num_rows, n_channels))
                 x[np.repeat(np.arange(batch.num_rows), np.diff(channel.offsets.to_numpy())), channel.flatten().to_numpy() - 1] = np.nan_to_num(value.flatten().to_numpy(zero_copy_only=False))
                 wide.append(x)
-            key_of = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
-            for key in dict.fromkeys(key_of):
-                of = np.array([k == key for k in key_of])
+            for key, of in key_rows(batch, keys):
                 value = part(wide[0][of], wide[1][of] if paired else None)
                 sums[key] = sums[key] + value if key in sums else value
             if len(sums) > HELD_KEYS:
@@ -119,7 +117,42 @@ def time_sums(panel: DataFrame, keys: Keys, n_channels: int, part: Callable[[np.
         yield from out()
 
     parts = flat.mapInArrow(run, _schema(panel, keys, "sums array<double>"))
-    return parts.select(*keys, F.posexplode("sums").alias("place", "x")).groupBy(*keys, "place").agg(F.sum("x").alias("value"))
+    return added(parts, keys)
+
+
+#: Rows of sums of one key are first added in so many parts, then these.
+ADDED_PARTS = 16
+
+
+def added(parts: DataFrame, keys: Keys) -> DataFrame:
+    """(keys, sums): the arrays of each key added, as streams sorted by key that hold one array at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, types, names = None, None, [], [*keys, "sums"]
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([k], t) for k, t in zip(held, types)), pa.array([total], pa.list_(pa.float64()))], names=names)
+
+        for batch in batches:
+            types = [batch.column(k).type for k in keys]
+            rows = zip(*(batch.column(k).to_pylist() for k in keys)) if keys else [()] * batch.num_rows
+            for key, sums in zip(rows, batch.column("sums")):
+                value = sums.values.to_numpy()
+                if key == held:
+                    total = total + value
+                else:
+                    if held is not None:
+                        yield out()
+                    held, total = key, value.copy()
+        if held is not None:
+            yield out()
+
+    def step(rows: DataFrame, *by: str) -> DataFrame:
+        dealt = rows.repartition(*by) if by else rows.coalesce(1)
+        return (dealt.sortWithinPartitions(*keys) if keys else dealt).mapInArrow(run, _schema(parts, keys, "sums array<double>"))
+
+    salted = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(ADDED_PARTS)))
+    return step(step(salted, *keys, "_salt"), *keys)
 
 
 def session_moments(panel: DataFrame, keys: Keys, n_channels: int) -> DataFrame:
@@ -131,32 +164,43 @@ def session_moments(panel: DataFrame, keys: Keys, n_channels: int) -> DataFrame:
     def part(y: np.ndarray, x: np.ndarray | None) -> np.ndarray:
         return np.concatenate([[len(y)], (y.T @ y).ravel(), (x.T @ y).ravel(), (x.T @ x).ravel()])
 
-    sums, size = time_sums(panel, keys, n_channels, part, True), n_channels * n_channels
-    whole = sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("_sums"))
-    cut = lambda i, name: F.slice("_sums", 2 + i * size, size).alias(name)
-    return whole.select(*keys, F.col("_sums")[0].cast("long").alias("tau"), cut(0, "yy"), cut(1, "xy"), cut(2, "xx"))
+    whole, size = time_sums(panel, keys, n_channels, part, True), n_channels * n_channels
+    cut = lambda i, name: F.slice("sums", 2 + i * size, size).alias(name)
+    return whole.select(*keys, F.col("sums")[0].cast("long").alias("tau"), cut(0, "yy"), cut(1, "xy"), cut(2, "xx"))
 
 
 def summed(moments: DataFrame, keys: Keys = ()) -> DataFrame:
     """(keys, place, yy, xy, xx): the moments summed over sessions, place by place.
 
-    Partitions sum their sessions first, so the shuffle carries a matrix for each
-    partition and key, not for each session.
+    Partitions sum their sessions first, some keys at a time, so the shuffle carries a
+    matrix for each partition and key, not for each session.
     """
+    flat = moments.select(*keys, F.concat("yy", "xy", "xx").alias("sums"))
 
-    def partial(batches):
-        sums: dict = {}
-        for rows in batches:
-            for row in rows.itertuples(index=False):
-                held = np.stack([row.yy, row.xy, row.xx])
-                k = tuple(getattr(row, c) for c in keys)
-                sums[k] = sums[k] + held if k in sums else held
-        if sums:
-            yield pd.DataFrame([[*k, *v] for k, v in sums.items()], columns=[*keys, "yy", "xy", "xx"])
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, value in sums.items():
+                yield pa.RecordBatch.from_arrays([*(pa.array([k], t) for k, t in zip(key, types)), pa.array([value], pa.list_(pa.float64()))], names=[*keys, "sums"])
+            sums.clear()
+
+        for batch in batches:
+            types = [batch.column(k).type for k in keys]
+            rows = zip(*(batch.column(k).to_pylist() for k in keys)) if keys else [()] * batch.num_rows
+            for key, value in zip(rows, batch.column("sums")):
+                value = value.values.to_numpy()
+                sums[key] = sums[key] + value if key in sums else value.copy()
+                if len(sums) > HELD_KEYS:
+                    yield from out()
+        yield from out()
 
-    parts = moments.select(*keys, "yy", "xy", "xx").mapInPandas(partial, _schema(moments, keys, "yy array<double>, xy array<double>, xx array<double>"))
-    each = parts.select(*keys, F.posexplode(F.arrays_zip("yy", "xy", "xx")).alias("place", "m"))
-    return each.groupBy(*keys, "place").agg(*[F.sum(f"m.{c}").alias(c) for c in ("yy", "xy", "xx")])
+    total = added(flat.mapInArrow(partial, _schema(flat, keys, "sums array<double>")), keys)
+    n = F.size("sums") / 3
+    third = lambda i: F.slice("sums", (i * n + 1).cast("int"), n.cast("int"))
+    zipped = total.select(*keys, F.posexplode(F.arrays_zip(third(0).alias("yy"), third(1).alias("xy"), third(2).alias("xx"))).alias("place", "m"))
+    return zipped.select(*keys, "place", "m.yy", "m.xy", "m.xx")
 
 
 def group_operator(moments: DataFrame, n_channels: int) -> tuple[np.ndarray, float]:
@@ -220,8 +264,8 @@ def engagement(panel: DataFrame, keys: Keys, vectors: np.ndarray, n_channels: in
 
 def _by_mode(sums: DataFrame, keys: Keys, k: int, names: tuple[str, ...]) -> DataFrame:
     """(keys, mode_idx, names): sums of k modes after one another, a row for each mode."""
-    mode = (F.col("place") % k + 1).cast("int").alias("mode_idx")
-    return sums.groupBy(*keys, mode).agg(*[F.sum(F.when(F.floor(F.col("place") / k) == i, F.col("value"))).alias(n) for i, n in enumerate(names)])
+    each = F.arrays_zip(*[F.slice("sums", i * k + 1, k).alias(n) for i, n in enumerate(names)])
+    return sums.select(*keys, F.posexplode(each).alias("_m", "_s")).select(*keys, (F.col("_m") + 1).cast("int").alias("mode_idx"), *[F.col(f"_s.{n}").alias(n) for n in names])
 
 
 def fold_modes(moments: DataFrame, unit: str, n_channels: int, low: float, high: float, n_folds: int = 5) -> tuple[DataFrame, dict[int, np.ndarray]]:

@@ -37,6 +37,16 @@ def channel_pairs(panel: DataFrame, keys: Keys = (), with_self: bool = False) ->
 HELD_KEYS = 16
 
 
+def key_rows(batch: pa.RecordBatch, keys: Keys) -> list[tuple[tuple, np.ndarray | slice]]:
+    """Each key of a batch with the places of its rows, told in one pass over the rows."""
+    if not keys:
+        return [((), slice(None))] if batch.num_rows else []
+    codes: dict[tuple, int] = {}
+    of = np.fromiter((codes.setdefault(k, len(codes)) for k in zip(*(batch.column(c).to_pylist() for c in keys))), np.int64, batch.num_rows)
+    order = np.argsort(of, kind="stable")
+    return list(zip(codes, np.split(order, np.cumsum(np.bincount(of, minlength=len(codes)))[:-1])))
+
+
 def pair_sums(samples: DataFrame, left: str, right: str, keys: Keys = (), half: bool = False) -> DataFrame:
     """(keys, i, j, n, l, r, ll, rr, lr): sums over t of left of channel i and right of channel j, and of their products.
 
@@ -76,9 +86,7 @@ def pair_sums(samples: DataFrame, left: str, right: str, keys: Keys = (), half:
                 wide = np.full((batch.num_rows, len(channels)), np.nan)
                 wide[row, at] = batch.column(name).flatten().to_numpy(zero_copy_only=False)
                 x += [np.nan_to_num(wide), (~np.isnan(wide)).astype(float)]
-            key_of = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
-            for key in dict.fromkeys(key_of):
-                of = np.array([k == key for k in key_of]) if keys else slice(None)
+            for key, of in key_rows(batch, keys):
                 lv, lk, rv, rk = (c[of] for c in x)
                 m = np.stack([lk.T @ rk, lv.T @ rk, lk.T @ rv, (lv * lv).T @ rk, lk.T @ (rv * rv), lv.T @ rv])
                 sums[key, channels] = sums[key, channels] + m if (key, channels) in sums else m

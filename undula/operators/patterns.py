@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from undula.functions.dense import leading_communities
 from undula.operators.panel import zscored
 from undula.operators.statistics import midpoint_percentile
+from undula.sources.staging import written
 
 
 def row_vectors(matrix: DataFrame, value: str = "r") -> DataFrame:
@@ -24,6 +25,7 @@ def row_vectors(matrix: DataFrame, value: str = "r") -> DataFrame:
 
 def clusters(vectors: DataFrame, k: int, replicates: int = 10, seed: int = 321) -> DataFrame:
     """vectors (id columns, row) with `cluster` from 1: squared Euclidean k-means, the replicate of least cost."""
+    vectors = written(vectors)  # read by every fit
     fits = [KMeans(featuresCol="row", predictionCol="cluster", k=k, maxIter=1000, seed=seed + i).fit(vectors) for i in range(replicates)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(vectors).withColumn("cluster", F.col("cluster") + 1)
