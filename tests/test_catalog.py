@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from undula.plans import catalog
+from undula.plans import catalog, models, profiles
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -21,8 +21,11 @@ def rows(df):
     return sorted(map(tuple, df.where(df.notna(), None).values.tolist()), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+QUERIES, ORACLE = {**catalog.QUERIES, **models.QUERIES, **profiles.QUERIES}, {**catalog.ORACLE, **models.ORACLE, **profiles.ORACLE}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows_as_sql(spark, sf_dir, sql, name):
-    mine, theirs = catalog.QUERIES[name](spark, sf_dir).toPandas(), sql.execute(catalog.ORACLE[name]).df()
+    mine, theirs = QUERIES[name](spark, sf_dir).toPandas(), sql.execute(ORACLE[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
     assert rows(mine) == rows(theirs)

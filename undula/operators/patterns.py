@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from undula.functions.dense import leading_communities
+from undula.operators.families import array_moments
+from undula.operators.moments import correlation_matrix
 from undula.operators.panel import zscored
 from undula.operators.statistics import midpoint_percentile
 from undula.sources.staging import written
@@ -71,6 +76,74 @@ def coactivation_patterns(panel: DataFrame, seeds: list[int], keys: list[str], k
     return each.groupBy("cluster").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda v: v["x"]).alias("pattern"))
 
 
+def area_gradients(matrix: DataFrame, areas: DataFrame, value: str = "r", components: int = 5) -> DataFrame:
+    """(area, i, component, score): gradients of each area by how alike its channels correlate with those outside.
+
+    matrix: full (i, j, value); areas: (area, channel), which may overlap. Rows of an area's
+    channels over the channels outside are correlated with each other, and the scores are
+    principal components of that matrix, of which a task holds one of an area's size. A
+    component's largest loading is positive; channels whose row is constant take no part.
+    """
+    inside = areas.select("area", F.col("channel").alias("i"))
+    rows = matrix.join(inside, "i").join(areas.select("area", F.col("channel").alias("j")), ["area", "j"], "left_anti")
+    pairs = correlation_matrix(rows.select("area", F.col("i").alias("channel"), F.col("j").alias("t"), F.col(value).alias("value")), ["area"]).where("r is not null")
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(rows[["i", "j"]].to_numpy())
+        s = np.eye(len(names))
+        at = [np.searchsorted(names, rows[c]) for c in "ij"]
+        s[at[0], at[1]] = s[at[1], at[0]] = rows["r"]
+        centred = s - s.mean(0)
+        _, _, loadings = np.linalg.svd(centred, full_matrices=False)
+        loadings = loadings[:components].T
+        loadings = loadings * np.sign(loadings[np.abs(loadings).argmax(0), np.arange(loadings.shape[1])])
+        scores = centred @ loadings
+        return pd.DataFrame({"area": rows["area"].iat[0], "i": np.repeat(names, scores.shape[1]), "component": np.tile(np.arange(1, scores.shape[1] + 1), len(names)), "score": scores.ravel()})
+
+    kinds = dict(pairs.dtypes)
+    return pairs.groupBy("area").applyInPandas(solve, f"area {kinds['area']}, i {kinds['i']}, component int, score double")
+
+
+def first_components(vectors: DataFrame, variance: float) -> tuple[DataFrame, np.ndarray]:
+    """(vectors with `scores`, loadings): principal-component scores of the centred rows, of the first components that hold this share of their variance."""
+    rows = vectors.withColumn("_x", vector_to_array("row"))
+    size = len(rows.select("_x").first()[0])
+    s, n = array_moments(rows.select(F.concat(F.array(F.lit(1.0)), "_x").alias("x")), size + 1)
+    mean = s[0, 1:] / n
+    values, loadings = np.linalg.eigh(s[1:, 1:] / n - np.outer(mean, mean))
+    values, loadings = values[::-1].clip(0), loadings[:, ::-1]
+    k = int(np.searchsorted(np.cumsum(values) / values.sum(), variance)) + 1
+    loadings = loadings[:, :k] * np.sign(loadings[np.abs(loadings[:, :k]).argmax(0), np.arange(k)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("_x").flatten().to_numpy().reshape(-1, size)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([*((x - mean) @ loadings)], pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "scores"])
+
+    keys = [c for c in rows.columns if c not in ("row", "_x")]
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in keys] + ["scores array<double>"])
+    return rows.select(*keys, "_x").mapInArrow(run, schema), loadings
+
+
+def coactivation_frames(panel: DataFrame, seeds: list[int], keys: list[str], k: int = 8, replicates: int = 5, variance: float = 0.999) -> tuple[DataFrame, np.ndarray]:
+    """((keys, t, scores, cluster), loadings): the frames that seed_frames picks, z-scored, reduced to components and clustered by k-means."""
+    scored = written(zscored(panel, keys))
+    cells = scored.join(seed_frames(scored, seeds, keys), [*keys, "t"]).groupBy(*keys, "t").agg(F.array_sort(F.collect_list(F.struct("channel", "value"))).alias("c"))
+    frames = written(cells.select(*keys, "t", F.transform("c", lambda x: x["value"]).alias("_v")))
+    reduced, loadings = first_components(frames.select(*keys, "t", array_to_vector("_v").alias("row")), variance)
+    found = clusters(reduced.withColumn("row", array_to_vector("scores")), k, replicates, seed=684)
+    return found.drop("row"), loadings
+
+
+def coactivation_profiles(frames: DataFrame, loadings: np.ndarray) -> DataFrame:
+    """(cluster, n, pattern): cluster means of scores, brought back to channels without adding the mean of all frames again."""
+    each = frames.select("cluster", F.posexplode("scores").alias("p", "x")).groupBy("cluster", "p").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    centres = each.groupBy("cluster").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("p", "x"))).alias("c")).collect()  # one for each cluster
+    rows = [(r["cluster"], r["n"], (loadings @ np.array([c["x"] for c in r["c"]])).tolist()) for r in centres]
+    return frames.sparkSession.createDataFrame(rows, "cluster int, n long, pattern array<double>")
+
+
 def storey_q(p: np.ndarray) -> np.ndarray:
     """q-values of a bounded list of p-values; the share of true nulls is the least over the grid 0.05 .. 0.9 of mean(p > l) / (1 - l)."""
     p = np.asarray(p, float)

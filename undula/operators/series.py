@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from undula.functions.columns import safe_corr
 from undula.operators.moments import channel_pairs
-from undula.operators.ordering import at_positions, beside, numbered, sign_runs, tiled, value_ranks
+from undula.operators.ordering import at_positions, beside, joined, numbered, sign_runs, tiled, value_ranks
+from undula.operators.panel import demeaned
+from undula.sources.staging import written
 
 Keys = Sequence[str]
 
@@ -77,6 +80,30 @@ def peak_lag(lagged: DataFrame, keys: Keys = (), step: float = 1.0, longest: flo
     return best.select(*keys, "i", "j", kept.alias("lag"), (F.col("b.value") - (F.col("b.before") - F.col("b.after")) * delta / 4).alias("peak"))
 
 
+def lag_structure(panel: DataFrame, lags: int, step: float = 1.0, longest: float | None = None, keys: Keys = ()) -> DataFrame:
+    """(keys, i, j, lag, peak, zero, awtd) for i < j of each session.
+
+    lag and peak are peak_lag's, of the demeaned channels' covariance; zero is the Fisher z
+    of the correlation at lag 0, and awtd is lag times peak. zero and awtd are null where
+    the lag is; a correlation of 1 counts as the largest below.
+    """
+    centred = demeaned(panel, keys)
+    lagged = written(lagged_covariance(centred, lags, keys))
+    spread = centred.groupBy(*keys, "channel").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("sd"))
+    of = lambda name: spread.select(*keys, F.col("channel").alias(name), F.col("sd").alias(f"_{name}"))
+    now = lagged.where("lag = 0").select(*keys, "i", "j", F.col("value").alias("_c")).join(of("i"), [*keys, "i"]).join(of("j"), [*keys, "j"])
+    edge = 1 - 2.0**-52
+    r = F.least(F.greatest(F.try_divide(F.col("_c"), F.col("_i") * F.col("_j")), F.lit(-edge)), F.lit(edge))
+    both = peak_lag(lagged, keys, step, longest).join(now, [*keys, "i", "j"])
+    known = F.col("lag").isNotNull()
+    return both.select(*keys, "i", "j", "lag", "peak", F.when(known, F.atanh(r)).alias("zero"), (F.col("lag") * F.col("peak")).alias("awtd"))
+
+
+def mean_lag_structure(sessions: DataFrame) -> DataFrame:
+    """(i, j, lag, peak, zero, awtd): means over sessions, nulls skipped, zero brought back to a correlation."""
+    return sessions.groupBy("i", "j").agg(F.avg("lag").alias("lag"), F.avg("peak").alias("peak"), F.tanh(F.avg("zero")).alias("zero"), F.avg("awtd").alias("awtd"))
+
+
 def local_maxima(series: DataFrame, value: str, keys: Keys = (), least: float | None = None) -> DataFrame:
     """Samples above both neighbours, a plateau counting at its first sample; ends are none."""
     steps = beside(series, value, keys, "_before", back=True).withColumn("_d", F.col(value) - F.col("_before"))
@@ -134,3 +161,33 @@ def convolved(samples: DataFrame, value: str, response: Sequence[float], keys: K
     sent = samples.where(F.col(value) != 0).select(*keys, F.col("t").alias("_at"), F.col(value).alias("_v"), F.posexplode(weights).alias("_lag", "_w"))
     sums = sent.groupBy(*keys, (F.col("_at") + F.col("_lag")).alias("t")).agg(F.sum(F.col("_v") * F.col("_w")).alias("response"))
     return samples.join(sums, [*keys, "t"], "left").withColumn("response", F.coalesce("response", F.lit(0.0)))
+
+
+def task_regressor(sessions: DataFrame, events: DataFrame, keys: Keys, tr: float, response: Sequence[float], factor: int = 30) -> DataFrame:
+    """(keys, n, response): the boxcar of the events on a grid of tr / factor, convolved with the response on that grid, at every tr.
+
+    sessions: (keys, samples); events: (keys, onset, duration) in the units of tr. Grid
+    points from onset to its end, both included, are on, and events that overlap count
+    once. Sample n from 0 is at grid point n * factor + ceil(factor / 2) - 1. A run of
+    points that are on adds a difference of two cumulated responses to the samples
+    within its reach, so the fine grid itself is never made.
+    """
+    fine, length = tr / factor, len(response)
+    total = F.array(*[F.lit(float(x)) for x in np.concatenate([[0.0], np.cumsum(response)])])
+    low, high = F.greatest(F.ceil(F.col("onset") / fine - 1e-9), F.lit(0)), F.floor((F.col("onset") + F.col("duration")) / fine + 1e-9)
+    spans = events.where("duration >= 0").select(*keys, low.alias("a"), high.alias("b")).where("b >= a")
+    by = Window.partitionBy(*keys).orderBy("a", "b")
+    reached = F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    told = spans.withColumn("_new", F.coalesce((F.col("a") > reached + 1).cast("int"), F.lit(1)))
+    runs = told.withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    offset = -(-factor // 2) - 1
+    first = F.greatest(F.ceil((F.col("a") - offset) / factor), F.lit(0))
+    last = F.floor((F.col("b") + length - 1 - offset) / factor)
+    sent = joined(runs, sessions.select(*keys, "samples"), keys).withColumn("last", F.least(last, F.col("samples") - 1)).where(first <= F.col("last"))
+    each = sent.withColumn("n", F.explode(F.sequence(first, F.col("last"))))
+    at = F.col("n") * factor + offset
+    clip = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(length)).cast("int")
+    part = F.get(total, clip(at - F.col("a") + 1)) - F.get(total, clip(at - F.col("b")))
+    sums = each.groupBy(*keys, "n").agg(F.sum(part).alias("response"))
+    grid = sessions.where("samples > 0").select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("samples").cast("long") - 1)).alias("n"))
+    return grid.join(sums, [*keys, "n"], "left").select(*keys, "n", F.coalesce("response", F.lit(0.0)).alias("response"))
