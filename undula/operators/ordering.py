@@ -17,7 +17,7 @@ Keys = Sequence[str]
 #: Values of t that one task orders at a time, and positions in a tile.
 TIME_CHUNK = 4096
 #: Ranges that the values of a key are cut into: this many times this many.
-RANGES = 32
+RANGES = 16
 
 
 def joined(rows: DataFrame, other: DataFrame, keys: Keys, how: str = "inner") -> DataFrame:
@@ -85,21 +85,27 @@ def sign_runs(rows: DataFrame, sign: str, top: str, keys: Keys) -> DataFrame:
     return inner.unionByName(edges.groupBy(*keys, "_run").agg(F.sum("length").alias("length"), F.max("top").alias("top")).drop("_run"))
 
 
-def value_ranks(rows: DataFrame, value: str, keys: Keys = ()) -> DataFrame:
+def value_ranks(rows: DataFrame, value: str, keys: Keys = (), bounds: tuple[float, float] | None = None) -> DataFrame:
     """(keys, value, count, below, total, range): each distinct value that is known, how often a key has it, and how many smaller ones.
 
-    Equal values are counted before they are ordered. The ranges between approximate
-    quantiles of a key are ordered by themselves, and their sizes put them in place.
+    Equal values are counted before they are ordered. Ranges of a key, between
+    approximate quantiles or, given bounds, of one width, are ordered by themselves, and
+    their sizes put them in place. Values out of the bounds count in the ranges at the ends.
     """
     known = rows.where(F.col(value).isNotNull()).select(*keys, value)
-    cuts = known.groupBy(*keys).agg(F.percentile_approx(value, [i / RANGES**2 for i in range(1, RANGES**2)], 20 * RANGES**2).alias("_cuts"), F.count("*").alias("total"))
     distinct = known.groupBy(*keys, value).agg(F.count("*").alias("count"))
-    coarse = F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda i: F.element_at("_cuts", i * RANGES))
-    steps = joined(distinct, cuts.withColumn("_coarse", coarse), keys).withColumn("_r", F.size(F.filter("_coarse", lambda c: c < F.col(value))) * RANGES)
-    fine = F.size(F.filter(F.slice("_cuts", F.col("_r") + 1, F.lit(RANGES)), lambda c: c < F.col(value)))
-    placed = steps.withColumn("range", F.col("_r") + fine).drop("_cuts", "_coarse", "_r")
+    if bounds:
+        width = (bounds[1] - bounds[0]) / RANGES**2
+        placed = distinct.withColumn("range", F.greatest(F.least(F.floor((F.col(value) - bounds[0]) / width), F.lit(RANGES**2 - 1)), F.lit(0)).cast("int"))
+    else:
+        cuts = known.groupBy(*keys).agg(F.percentile_approx(value, [i / RANGES**2 for i in range(1, RANGES**2)], 20 * RANGES**2).alias("_cuts"))
+        coarse = F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda i: F.element_at("_cuts", i * RANGES))
+        steps = joined(distinct, cuts.withColumn("_coarse", coarse), keys).withColumn("_r", F.size(F.filter("_coarse", lambda c: c < F.col(value))) * RANGES)
+        fine = F.size(F.filter(F.slice("_cuts", F.col("_r") + 1, F.lit(RANGES)), lambda c: c < F.col(value)))
+        placed = steps.withColumn("range", F.col("_r") + fine).drop("_cuts", "_coarse", "_r")
     sizes = placed.groupBy(*keys, "range").agg(F.sum("count").alias("_n"))
-    before = sizes.select(*keys, "range", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("range")) - F.col("_n")).alias("_before"))  # bounded
+    each = Window.partitionBy(*keys)  # a bounded number of ranges
+    before = sizes.select(*keys, "range", (F.sum("_n").over(each.orderBy("range")) - F.col("_n")).alias("_before"), F.sum("_n").over(each).alias("total"))
     within = F.sum("count").over(Window.partitionBy(*keys, "range").orderBy(value)) - F.col("count")
     return placed.join(before, [*keys, "range"]).withColumn("below", F.col("_before") + within).drop("_before")
 

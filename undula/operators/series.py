@@ -43,8 +43,8 @@ def excursion(sliding: DataFrame, keys: Keys = (), alpha: float = 0.9, beta: flo
     Samples equal to the median, to nine digits, are runs of their own side.
     """
     group = [*keys, "i", "j"]
-    sliding = sliding.withColumn("rho", F.round("rho", 9))
-    mid = at_positions(value_ranks(sliding, "rho", group), "rho", (F.col("total") + 1) / 2, group, "_m")
+    sliding = written(sliding.select(*group, "t", F.round("rho", 9).alias("rho")))
+    mid = at_positions(value_ranks(sliding, "rho", group, (-1.0, 1.0)), "rho", (F.col("total") + 1) / 2, group, "_m")
     signed = sliding.join(mid, group).withColumn("_s", F.signum(F.round(F.col("rho") - F.col("_m"), 10)))
     runs = sign_runs(signed, "_s", "rho", group)
     return runs.groupBy(*group).agg(F.sum(F.pow(F.col("length"), F.lit(alpha)) * F.pow(F.col("top"), F.lit(beta))).alias("excursion"))
