@@ -94,3 +94,29 @@ def test_contrasts_equal_the_long_formulas():
     assert df == 47 and t == pytest.approx(b[1] / np.sqrt(s2 * np.linalg.inv(x.T @ x)[1, 1]))
     f, pf, df1, df2 = dense.contrast_f(*m, c[:, None])
     assert (df1, df2) == (1, 47) and f == pytest.approx(t * t) and pf == pytest.approx(p)
+
+
+def ring_of_cliques(n, size):
+    w = np.zeros((n * size, n * size))
+    for c in range(n):
+        w[c * size : (c + 1) * size, c * size : (c + 1) * size] = 1
+        w[c * size, ((c + 1) % n) * size + 1] = w[((c + 1) % n) * size + 1, c * size] = 1
+    np.fill_diagonal(w, 0)
+    return w
+
+
+def test_communities_of_known_graphs():
+    rng = np.random.default_rng(0)
+    w = ring_of_cliques(6, 5)
+    found = dense.leading_communities(w)
+    assert len(set(found)) >= 3 and all(len(set(found[5 * c : 5 * c + 5])) == 1 for c in range(6))
+    two = (rng.random((30, 30)) < np.where(np.equal.outer(np.arange(30) < 15, np.arange(30) < 15), 0.7, 0.1)).astype(float)
+    two = np.triu(two, 1) + np.triu(two, 1).T
+    halves = dense.leading_communities(two)
+    assert len(set(halves[:15])) == len(set(halves[15:])) == 1 and halves[0] != halves[-1]
+    for seed in range(10):
+        r = np.random.default_rng(seed)
+        noise = np.triu((r.random((40, 40)) < 0.15) * r.random((40, 40)), 1)
+        noise = noise + noise.T
+        assert dense.modularity(noise, dense.leading_communities(noise)) >= dense.modularity(noise, dense.leading_communities(noise, tune=False)) - 1e-12
+    assert (dense.leading_communities(np.zeros((3, 3))) == 1).all()

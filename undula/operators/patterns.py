@@ -48,15 +48,25 @@ def gradients(vectors: DataFrame, components: int = 5) -> DataFrame:
     return model.transform(centred).withColumn("score", F.zip_with(vector_to_array("_s"), fixed, lambda a, b: a * b)).drop("_s", "row")
 
 
+#: Nodes of a matrix that the driver solves at most: 128 MB of doubles.
+DENSE_NODES = 4096
+
+
 def communities(matrix: DataFrame, value: str = "r") -> DataFrame:
-    """(i, community) by spectral modularity of a channels-by-channels matrix, solved on the driver."""
+    """(i, community) by spectral modularity with tuned splits, of a matrix of channels by channels.
+
+    The driver solves it, and refuses more than DENSE_NODES nodes, which are counted first.
+    """
+    nodes = matrix.select("i").union(matrix.select("j")).distinct().limit(DENSE_NODES + 1).count()
+    if nodes > DENSE_NODES:
+        raise ValueError(f"communities of more than {DENSE_NODES} nodes are not solved on the driver")
     m = matrix.select("i", "j", value).toPandas()
     wide = m.pivot_table(index="i", columns="j", values=value, fill_value=0.0)
-    nodes = sorted(set(wide.index) | set(wide.columns))
-    w = wide.reindex(index=nodes, columns=nodes).fillna(0.0).to_numpy(float)
+    names = sorted(set(wide.index) | set(wide.columns))
+    w = wide.reindex(index=names, columns=names).fillna(0.0).to_numpy(float)
     np.fill_diagonal(w, 0)
     found = leading_communities((w + w.T) / 2)
-    return matrix.sparkSession.createDataFrame(pd.DataFrame({"i": nodes, "community": found}))
+    return matrix.sparkSession.createDataFrame(pd.DataFrame({"i": names, "community": found}))
 
 
 def seed_frames(panel: DataFrame, seeds: list[int], keys: list[str], percent: float = 85, most: int = 200, seed: int = 1) -> DataFrame:
