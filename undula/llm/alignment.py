@@ -34,7 +34,9 @@ FAN = 16
 #: Pairs of ids up to so many are broadcast with their counts, some 40 bytes each.
 BROADCAST_PAIRS = 4_000_000
 #: A worker keeps what at most so many chunks of up to CACHED_CHARS characters give; results don't depend on it.
-CACHED, CACHED_CHARS = 150_000, 40
+CACHED, CACHED_CHARS = 200_000, 40
+#: New chunks that are encoded as one text.
+TOGETHER = 1000
 #: A blank between a character that is none and one that is no white space: both tokenizers start a token there.
 #: (The four others are no white space by some tables only, so nothing is cut before them.)
 _NO_CUT = "\\s\u180e\u200b\u2060\ufeff"
@@ -145,7 +147,7 @@ class PairEncoder:
         self.slots: dict[str, int] = {}
         self.groups: list[bytes] = []
         self.links: list[bytes] = []
-        self.sizes: list[tuple[int, int, int]] = []  # tokens of A, of B, and whether the bytes are the chunk's
+        self.sizes = np.zeros((1024, 3), np.int64)  # tokens of A, of B, and whether the bytes are the chunk's
 
     def ids(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of blank + chunk by A and by B, which puts a blank before a text itself."""
@@ -157,13 +159,51 @@ class PairEncoder:
         raw = [f" {c}".encode() for c in chunks]
         return [b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for r, x, y in zip(raw, a, b)]
 
+    def _together(self, chunks: list[str], raw: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """(ids, number for each chunk) by A and by B of chunks encoded as one text; None if either doesn't give its bytes back.
+
+        Chunks begin and end with characters that are no blanks, so both tokenizers start a token at each.
+        """
+        whole, ends = b"".join(raw), np.cumsum([len(r) for r in raw])
+        a = self.a.encode_batch_fast([whole.decode()], add_special_tokens=False)[0].ids
+        b = self.b.encode(" ".join(chunks))
+        if not b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b]):
+            return None
+        found = []
+        for ids, size in ((np.array(a, np.int64), self.a_size), (np.array(b, np.int64), self.b_size)):
+            last = np.searchsorted(np.cumsum(size[ids]), ends, "right")
+            found.append((ids, np.diff(last, prepend=0)))
+        return found
+
+    def _encoded(self, chunks: list[str]) -> tuple[list[str], list[str], list[np.ndarray], list[np.ndarray]]:
+        """(chunks that are given back, others, ids by A and B, numbers of ids of each chunk by A and B)."""
+        plain = [c for c in chunks if c and c[-1] != " " and not ODD_BLANK.match(f" {c[0]}")]
+        good, bad, parts, alone = [], [], [], [c for c in chunks if not c or c[-1] == " " or ODD_BLANK.match(f" {c[0]}")]
+        for i in range(0, len(plain), TOGETHER):
+            block = plain[i : i + TOGETHER]
+            if (found := self._together(block, [f" {c}".encode() for c in block])) is None:
+                alone += block
+            else:
+                good += block
+                parts.append(found)
+        if alone:
+            a, b = self.ids(alone)
+            same = self._given_back(alone, a, b)
+            kept = [i for i, s in enumerate(same) if s]
+            good += [alone[i] for i in kept]
+            bad = [c for c, s in zip(alone, same) if not s]
+            parts.append([(np.fromiter(itertools.chain.from_iterable([x[i] for i in kept]), np.int64), np.array([len(x[i]) for i in kept], np.int64)) for x in (a, b)])
+        return good, bad, *([np.concatenate([p[side][k] for p in parts]) for side in (0, 1)] for k in (0, 1))
+
     def _learn(self, chunks: list[str]) -> None:
         """Keep what new chunks give, all of them worked out together: their byte offsets run on from one to the next."""
-        a, b = self.ids(chunks)
-        same = self._given_back(chunks, a, b)
-        good = [i for i, s in enumerate(same) if s]
-        n = [np.array([len(x[i]) for i in good], np.int64) for x in (a, b)]
-        flat = [np.fromiter(itertools.chain.from_iterable([x[i] for i in good]), np.int64) for x in (a, b)]
+        good, bad, flat, n = self._encoded(chunks)
+        first = len(self.groups)
+        while len(self.sizes) < first + len(chunks):
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.sizes[first : first + len(chunks)] = 0
+        self.sizes[first : first + len(good)] = np.stack([*n, np.ones_like(n[0])], 1)
+        self.slots.update(zip([*good, *bad], range(first, first + len(chunks))))
         ends = [np.cumsum(size[ids]) for size, ids in zip((self.a_size, self.b_size), flat)]
         common = np.intersect1d(*ends, assume_unique=True)
         at_a, at_b = (np.searchsorted(e, common) + 1 for e in ends)
@@ -180,14 +220,10 @@ class PairEncoder:
             marks = np.zeros(len(ids), np.int64)
             marks[final - 1] = mark
             order[to] = 4 * ids + marks
-        groups = iter("".join([self.names[i] for i in order.tolist()]).encode().split(b"\n"))
-
-        start, stop = iter([0, *(8 * (last[:-1] + 1)).tolist()]), iter((8 * (last + 1)).tolist())
-        for chunk, x, y, ok in zip(chunks, a, b, same):
-            self.slots[chunk] = len(self.groups)
-            self.groups.append(next(groups) if ok else b"")
-            self.links.append(links[next(start) : next(stop)] if ok else b"")
-            self.sizes.append((len(x), len(y), 1) if ok else (0, 0, 0))
+        groups = "".join([self.names[i] for i in order.tolist()]).encode().split(b"\n")[: len(good)]
+        cuts = [0, *(8 * (last + 1)).tolist()]
+        self.groups += groups + [b""] * len(bad)
+        self.links += [links[i:j] for i, j in zip(cuts, cuts[1:])] + [b""] * len(bad)
 
     def align(self, spaced: list[str]) -> Iterator[tuple[bool, int, int, bytes, np.ndarray]]:
         """For each text that begins with a blank: (same bytes, tokens of A, of B, groups, links as A's id * 2^32 + B's)."""
@@ -195,26 +231,24 @@ class PairEncoder:
         flat = list(itertools.chain.from_iterable(each))
         if len(self.slots) > CACHED:
             self.forget()
-        kept = len(self.groups)
         slots = list(map(self.slots.get, flat))
-        if new := list(dict.fromkeys(c for c, s in zip(flat, slots) if s is None)):
-            new.sort(key=len)
-            self._learn(new)
+        new = list(dict.fromkeys([c for c, s in zip(flat, slots) if s is None]))
+        short, long = [c for c in new if len(c) <= CACHED_CHARS], [c for c in new if len(c) > CACHED_CHARS]
+        for some in (short, long):
+            if some:
+                self._learn(some)
+        if new:
             slots = list(map(self.slots.__getitem__, flat))
-        sizes = np.array(self.sizes, np.int64)
         at, start = np.array(slots), 0
         for own in each:
             mine, listed = at[start : start + len(own)], slots[start : start + len(own)]
             start += len(own)
-            n_a, n_b, same = sizes[mine].sum(0).tolist()
+            n_a, n_b, same = self.sizes[mine].sum(0).tolist()
             yield same == len(own), n_a, n_b, b";".join([self.groups[i] for i in listed]), np.frombuffer(b"".join([self.links[i] for i in listed]), np.int64)
-        # long chunks came last, and don't stay
-        long = len(new) - sum(len(c) <= CACHED_CHARS for c in new) if len(self.groups) > kept else 0
-        if long:
-            for c in new[-long:]:
+        if long:  # they came last, and don't stay
+            for c in long:
                 del self.slots[c]
-            for held in (self.groups, self.links, self.sizes):
-                del held[-long:]
+            del self.groups[-len(long) :], self.links[-len(long) :]
 
 
 def byte_values() -> dict[str, int]:
