@@ -123,3 +123,23 @@ def test_stages_in_order(spark, sf_dir):
         ids = set(now)
     packed = corpus_pipeline.STAGES[-1][1](spark, d, sf_dir)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids
+
+
+def test_run_on_odd_and_empty_tables(spark, tmp_path):
+    """The whole of run(): null, empty, blank and repeated rows, rows without an id, a benchmark passage; tables without labels, items or documents."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    passage = "one two three four five six seven eight nine ten eleven"
+    texts = [(1, None), (2, ""), (3, " \n "), (4, "plain words that stay " * 3), (4, "plain words that stay " * 3), (5, f"before {passage} after"), (None, "no id here"), (6, "long " * 9000)]
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in texts], schema)
+    tables = {"labels": ("doc_id long, quality int, toxic int", [(4, 1, 0), (5, None, None)]), "benchmark": ("item_id long, text string", [(1, passage), (2, None)])}
+    for name, rows in (("odd", docs), ("none", docs.where("false"))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        for table, (kind, held) in tables.items():
+            spark.createDataFrame(held if name == "odd" else [], kind).write.parquet(str(tmp_path / name / f"{table}.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    of = lambda i: [r for r in rows if r["doc_id"] == i]
+    assert not of(5) and sum(r["length"] for r in of(6)) == of(6)[0]["doc_tokens"] == 9001
+    # a document's pieces hold its ids once, so repeated rows are one; of blank texts, which are copies of one another, one stays
+    whole = lambda i: sum(r["length"] for r in of(i)) == of(i)[0]["doc_tokens"]
+    assert whole(4) and whole(None) and len(of(1) + of(2) + of(3)) == 1 and of(1)[0]["doc_tokens"] == 1
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
