@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from undula.functions import dense
 from undula.operators import modes, patterns, series
 from undula.plans import models, profiles
+from undula.sources.tables import hourly_panel
 
 N = models.CHANNELS
 
@@ -201,3 +202,47 @@ def test_lag_structure_of_known_delays(spark):
     assert got.loc[1, "lag"] == pytest.approx(2, abs=0.1) and np.tanh(got.loc[1, "zero"]) == pytest.approx(np.cos(2 * np.pi * 2 / 25), abs=0.02)
     assert got.loc[1, "awtd"] == pytest.approx(got.loc[1, "lag"] * got.loc[1, "peak"])
     assert series.mean_lag_structure(series.lag_structure(spark.createDataFrame(rows, "s int, channel int, t int, value double").where(F.col("s") == 1), 6, keys=["s"])).count() == 1
+
+
+def test_framed_covariance_equals_the_pairwise_one(spark, sf_dir):
+    panel = hourly_panel(spark, sf_dir).withColumn("s", F.floor(F.col("t") / 180))
+    want, got = (f(panel, 6, ["s"]).toPandas().set_index(["s", "i", "j", "lag"])["value"].sort_index() for f in (series.lagged_covariance, series.framed_covariance))
+    assert got.index.equals(want.index) and np.allclose(got, want)
+
+
+def test_framed_covariance_of_missing_samples(spark):
+    rows = [(1, 0, 1.0), (2, 0, 3.0), (1, 5, 2.0), (2, 5, None), (1, 9, 4.0), (2, 9, 5.0)]
+    got = series.framed_covariance(spark.createDataFrame(rows, "channel int, t int, value double"), 2).toPandas().set_index("lag")["value"].to_dict()
+    assert got == {0: (1 * 3 + 4 * 5) / 2, 1: 2 * 5, 2: 1 * 5, -1: 2 * 3, -2: 4 * 3}
+    assert series.framed_covariance(spark.createDataFrame([], "channel int, t int, value double"), 2).count() == 0
+
+
+def test_mode_lag_agreement(spark, sf_dir, by_label):
+    each = []
+    for x in by_label.values():
+        x = x - x.mean(1, keepdims=True)
+        n = x.shape[1]
+        cov = np.stack([(x[:, max(0, -k) : n - max(0, k)] @ x[:, max(0, k) : n - max(0, -k)].T) / (n - abs(k)) for k in range(-6, 7)])
+        at = np.abs(cov).argmax(0)
+        inner = (at > 0) & (at < 12)
+        a, b, c = (np.take_along_axis(cov, np.clip(at + s, 0, 12)[None], 0)[0] for s in (-1, 0, 1))
+        lag = (at - 6 + (a - c) / (2 * (a - 2 * b + c))) * 0.72
+        each.append(np.where(inner & (np.abs(lag) <= 4), lag, np.nan))
+    upper = np.triu_indices(len(each[0]), 1)
+    mean = np.nanmean(each, axis=0)
+    lags = profiles.group_lags(spark, sf_dir).toPandas().sort_values(["i", "j"])
+    assert np.allclose(lags["lag"], mean[upper], atol=1e-6)
+    rows = models.group_modes(spark, sf_dir).where("mode_idx = 3").toPandas().sort_values("channel")
+    phase = np.arctan2(rows["im"], rows["re"]).to_numpy()
+    delay = np.angle(np.exp(1j * (phase[:, None] - phase[None])))
+    got = profiles.mode_lag_agreement(spark, sf_dir).where("mode_idx = 3").first()
+    assert got["n"] == len(upper[0]) and got["matrix_r"] == pytest.approx(np.corrcoef(delay[upper], mean[upper])[0, 1], abs=1e-6)
+    m = np.triu(mean, 1)
+    assert got["projection_r"] == pytest.approx(np.corrcoef(delay.sum(0), (m - m.T).sum(0))[0, 1], abs=1e-6)
+
+
+def test_lag_agreement_of_a_travelling_wave(spark):
+    modes_ = spark.createDataFrame([(1, c, float(np.cos(-0.4 * c)), float(np.sin(-0.4 * c))) for c in range(1, 6)], "mode_idx int, channel int, re double, im double")
+    lags = spark.createDataFrame([(i, j, float(j - i)) for i in range(1, 6) for j in range(i + 1, 6)] + [(1, 9, None)], "i int, j int, lag double")
+    got = modes.lag_agreement(modes_, lags).first()
+    assert got["n"] == 10 and got["matrix_r"] == pytest.approx(1) and got["projection_r"] == pytest.approx(1)

@@ -449,6 +449,24 @@ def lag_projection(modes_: DataFrame) -> DataFrame:
     return each.groupBy("mode_idx", F.col("a.channel").alias("channel")).agg(F.avg(wrap_phase(F.col("a.phase") - F.col("b.phase"))).alias("lag"))
 
 
+def lag_agreement(modes_: DataFrame, lags: DataFrame) -> DataFrame:
+    """(mode_idx, n, matrix_r, projection_r): how the phase delays of each mode's channels agree with measured lags.
+
+    lags: (i, j, lag) for i < j, positive where j follows i; null lags take no part. A
+    mode's delay of j behind i is the wrapped difference of their phases, for modes that
+    turn forward. matrix_r is over the n pairs, projection_r over channels, as means over
+    the channels that they make pairs with. Null where a side is constant.
+    """
+    phase = modes_.select("mode_idx", "channel", F.atan2("im", "re").alias("phase"))
+    of = lambda name: phase.select("mode_idx", F.col("channel").alias(name), F.col("phase").alias(f"_{name}"))
+    pairs = lags.where("lag is not null").select("i", "j", "lag").join(of("i"), "i").join(of("j"), ["mode_idx", "j"])
+    each = pairs.select("mode_idx", "i", "j", wrap_phase(F.col("_i") - F.col("_j")).alias("delay"), "lag")
+    whole = each.groupBy("mode_idx").agg(F.count("*").alias("n"), safe_corr(F.col("delay"), F.col("lag")).alias("matrix_r"))
+    ends = F.explode(F.array(F.struct(F.col("j").alias("channel"), F.col("delay"), F.col("lag")), F.struct(F.col("i").alias("channel"), (-F.col("delay")).alias("delay"), (-F.col("lag")).alias("lag"))))
+    channels = each.select("mode_idx", ends.alias("_e")).groupBy("mode_idx", "_e.channel").agg(F.avg("_e.delay").alias("delay"), F.avg("_e.lag").alias("lag"))
+    return whole.join(channels.groupBy("mode_idx").agg(safe_corr(F.col("delay"), F.col("lag")).alias("projection_r")), "mode_idx")
+
+
 def feature_course(frames: DataFrame, features: DataFrame, keys: Keys = ()) -> DataFrame:
     """(keys, t, feature, r): correlation over channels of each frame (keys, channel, t, value) with each feature (feature, channel, weight)."""
     return frames.join(features, "channel").groupBy(*keys, "t", "feature").agg(safe_corr(F.col("value"), F.col("weight")).alias("r"))

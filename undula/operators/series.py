@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from undula.functions.columns import safe_corr
-from undula.operators.moments import channel_pairs
+from undula.operators.moments import channel_pairs, pair_sums
 from undula.operators.ordering import at_positions, beside, joined, numbered, sign_runs, tiled, value_ranks
 from undula.operators.panel import demeaned
 from undula.sources.staging import written
@@ -65,6 +65,29 @@ def lagged_covariance(panel: DataFrame, lags: int, keys: Keys = ()) -> DataFrame
     return each.groupBy(*group, F.col("_s.lag").alias("lag")).agg(F.avg(F.col("vi") * F.col("_s.v")).alias("value"))
 
 
+def framed_covariance(panel: DataFrame, lags: int, keys: Keys = ()) -> DataFrame:
+    """(keys, i, j, lag, value) for i < j as lagged_covariance, for panels of many channels; demean first.
+
+    Lags count the frames of a session, a frame being a t at which any channel has a
+    sample, and a mean is over the frames at which both samples are known. Samples are
+    shuffled once for each lag from 0 on, and tasks sum matrix products of whole frames;
+    no row for each pair and frame is made. A negative lag is the positive one of the
+    pair turned round.
+    """
+    cells = written(panel.groupBy(*keys, "t").agg(F.collect_list(F.struct("channel", F.col("value").cast("double").alias("value"))).alias("_c")))
+    each = numbered(cells, keys, "_n").select(*keys, "_n", F.explode("_c").alias("_s")).select(*keys, "_n", "_s.channel", "_s.value")
+    moved = each.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags))))
+    now = moved.select(*keys, "lag", "channel", F.col("_n").alias("t"), F.col("value").alias("left"), F.lit(None).cast("double").alias("right"))
+    later = moved.select(*keys, "lag", "channel", (F.col("_n") - F.col("lag")).alias("t"), F.lit(None).cast("double").alias("left"), F.col("value").alias("right")).where("t >= 0")
+    sides = now.unionByName(later).groupBy(*keys, "lag", "channel", "t").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    sums = pair_sums(sides, "left", "right", [*keys, "lag"]).where("i <> j")
+    ahead = F.col("i") < F.col("j")
+    turned = sums.where(ahead | (F.col("lag") > 0))
+    first, second = F.when(ahead, F.col("i")).otherwise(F.col("j")), F.when(ahead, F.col("j")).otherwise(F.col("i"))
+    lag = F.when(ahead, F.col("lag")).otherwise(-F.col("lag"))
+    return turned.select(*keys, first.alias("i"), second.alias("j"), lag.alias("lag"), (F.col("lr") / F.col("n")).alias("value"))
+
+
 def peak_lag(lagged: DataFrame, keys: Keys = (), step: float = 1.0, longest: float | None = None) -> DataFrame:
     """(keys, i, j, lag, peak): the vertex of the parabola through the largest magnitude and its neighbours.
 

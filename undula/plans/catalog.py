@@ -214,18 +214,18 @@ def lateralization(spark: SparkSession, d: str) -> DataFrame:
     return S.lateralisation(panel, F.col("channel") <= 32, 43, 14).select("channel", r("index").alias("index"))
 
 
-_LAG = f"""{PANEL}, dm AS (SELECT channel, t, value - avg(value) OVER (PARTITION BY channel) AS value FROM panel),
+LAG = f"""{PANEL}, dm AS (SELECT channel, t, value - avg(value) OVER (PARTITION BY channel) AS value FROM panel),
 lags AS (SELECT unnest(range(-6, 7)) AS lag),
 lc AS (SELECT a.channel AS i, b.channel AS j, l.lag, avg(a.value * b.value) AS value FROM lags l JOIN dm a ON true JOIN dm b ON b.t = a.t + l.lag AND a.channel < b.channel GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {_LAG} SELECT i, j, CAST(lag AS INTEGER) AS lag, round(value, 4) + 0.0 AS value FROM lc")
+@query(f"WITH {LAG} SELECT i, j, CAST(lag AS INTEGER) AS lag, round(value, 4) + 0.0 AS value FROM lc")
 def lagged_cov(spark: SparkSession, d: str) -> DataFrame:
     """E-06, E-11."""
     return S.lagged_covariance(P.demeaned(hourly_panel(spark, d)), 6).select("i", "j", "lag", r("value", 4).alias("value"))
 
 
-@query(f"""WITH {_LAG}, n AS (SELECT *, lag(value) OVER (PARTITION BY i, j ORDER BY lag) AS a, lead(value) OVER (PARTITION BY i, j ORDER BY lag) AS c FROM lc),
+@query(f"""WITH {LAG}, n AS (SELECT *, lag(value) OVER (PARTITION BY i, j ORDER BY lag) AS a, lead(value) OVER (PARTITION BY i, j ORDER BY lag) AS c FROM lc),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY abs(value) DESC, lag) AS k FROM n) q WHERE k = 1)
 SELECT i, j, round(CASE WHEN abs(lag + (a - c) / (2 * (a - 2 * value + c))) <= 4 THEN lag + (a - c) / (2 * (a - 2 * value + c)) END, 4) + 0.0 AS lag,
 round(value - (a - c) * (a - c) / (2 * (a - 2 * value + c)) / 4, 4) + 0.0 AS peak FROM b""")

@@ -14,8 +14,8 @@ from undula.operators import patterns as C
 from undula.operators import series as S
 from undula.operators import statistics as T
 from undula.operators import subjects as U
-from undula.plans.catalog import PANEL, r
-from undula.plans.models import CHANNELS, labelled_panel, mode_reconstruction
+from undula.plans.catalog import LAG, PANEL, r
+from undula.plans.models import CHANNELS, group_modes, labelled_panel, mode_reconstruction
 from undula.sources.staging import written
 from undula.sources.tables import START, embedding_panel, hourly_panel, read, user_sessions
 
@@ -159,3 +159,36 @@ def glm_f(spark: SparkSession, d: str) -> DataFrame:
     """L-43: F of quantity and discount at once, for the price."""
     x = read(spark, d, "lineitem").withColumn("one", F.lit(1.0))
     return T.glm_f(x, ["one", "l_quantity", "l_discount"], "l_extendedprice", [[0, 1, 0], [0, 0, 1]]).select("df1", "df2", r("f", 2).alias("f"))
+
+
+@query()
+def group_lags(spark: SparkSession, d: str) -> DataFrame:
+    """L-24, E-06: mean lag of every pair of channels over labels, up to six samples of 0.72 s, those beyond 4 s left out."""
+    each = S.peak_lag(S.framed_covariance(P.demeaned(labelled_panel(spark, d), ["label"]), 6, ["label"]), ["label"], TR, 4.0)
+    return each.groupBy("i", "j").agg(F.avg("lag").alias("lag"), F.avg("peak").alias("peak"))
+
+
+@query()
+def mode_lag_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """L-32: phase delays of the first of each pair of modes against the group's lags."""
+    return O.lag_agreement(group_modes(spark, d).where("mode_idx % 2 = 1"), written(group_lags(spark, d)))
+
+
+@query(f"""WITH {LAG}, n AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS c FROM lc WINDOW w AS (PARTITION BY i, j ORDER BY lag)),
+b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY abs(value) DESC, lag) = 1),
+g AS (SELECT i, j, lag + (a - c) / (2 * (a - 2 * value + c)) AS lag FROM b WHERE abs(lag + (a - c) / (2 * (a - 2 * value + c))) <= 4),
+o AS (SELECT avg(value) AS m FROM events),
+p AS (SELECT CAST(user_id % 3 + 1 AS INTEGER) AS mode_idx, event_type AS channel, atan2(avg(CASE WHEN hour(ts) % 2 = 1 THEN value END) - max(m), avg(value) - max(m)) AS phase FROM events CROSS JOIN o GROUP BY 1, 2),
+e AS (SELECT mode_idx, i, j, lag, x.phase - y.phase - 2 * pi() * ceil((x.phase - y.phase - pi()) / (2 * pi())) AS delay FROM g JOIN p x ON x.channel = i JOIN p y USING (mode_idx) WHERE y.channel = j),
+k AS (SELECT mode_idx, j AS channel, delay, lag FROM e UNION ALL SELECT mode_idx, i, -delay, -lag FROM e),
+z AS (SELECT mode_idx, channel, avg(delay) AS delay, avg(lag) AS lag FROM k GROUP BY 1, 2)
+SELECT * FROM (SELECT mode_idx, count(*) AS n, round(corr(delay, lag), 5) + 0.0 AS matrix_r FROM e GROUP BY 1) u JOIN (SELECT mode_idx, round(corr(delay, lag), 5) + 0.0 AS projection_r FROM z GROUP BY 1) v USING (mode_idx)""")
+def lag_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """L-32 over a mode table: users in three groups, types of events as channels, their means as real and those of odd hours as imaginary parts."""
+    e = read(spark, d, "events")
+    mean = e.agg(F.avg("value").alias("m"))
+    odd = F.when(F.hour("ts") % 2 == 1, F.col("value"))
+    parts = e.groupBy((F.col("user_id") % 3 + 1).cast("int").alias("mode_idx"), F.col("event_type").alias("channel")).agg(F.avg("value").alias("re"), F.avg(odd).alias("im"))
+    modes_ = parts.join(F.broadcast(mean)).select("mode_idx", "channel", (F.col("re") - F.col("m")).alias("re"), (F.col("im") - F.col("m")).alias("im"))
+    lags = S.peak_lag(S.framed_covariance(P.demeaned(hourly_panel(spark, d)), 6), longest=4.0)
+    return O.lag_agreement(modes_, written(lags)).select("mode_idx", "n", r("matrix_r", 5).alias("matrix_r"), r("projection_r", 5).alias("projection_r"))
