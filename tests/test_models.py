@@ -1,9 +1,11 @@
 """The registered model queries against numpy over the same tables."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from undula.functions import dense
+from undula.operators import patterns
 from undula.plans import models
 
 N = models.CHANNELS
@@ -157,6 +159,39 @@ def test_gradients_clusters_and_communities(spark, sf_dir, fc):
     assert all((found[i] == found[j]) == (want[i] == want[j]) for i in range(N) for j in range(i))
 
 
+def as_edges(spark, w):
+    i, j = np.nonzero(w)
+    return spark.createDataFrame(pd.DataFrame({"i": i + 1, "j": j + 1, "r": w[i, j]}))
+
+
+def test_spread_communities(spark, sf_dir, fc):
+    """L-30: known graphs, and no less modularity than splits without single changes."""
+    blocks = np.kron(np.eye(4), np.ones((6, 6))) - np.eye(24)
+    blocks[5, 6] = blocks[6, 5] = blocks[11, 12] = blocks[12, 11] = 1
+    found = patterns.spread_communities(as_edges(spark, blocks)).orderBy("i").toPandas()["community"].to_numpy()
+    assert all((found[a] == found[b]) == (a // 6 == b // 6) for a in range(24) for b in range(24))
+    ring = np.roll(np.eye(12), 1, 1) + np.roll(np.eye(12), -1, 1)
+    found = patterns.spread_communities(as_edges(spark, ring)).orderBy("i").toPandas()["community"].to_numpy()
+    assert dense.modularity(ring, found) >= dense.modularity(ring, dense.leading_communities(ring, tune=False)) - 1e-9
+    w = fc - np.eye(N)
+    found = models.fc_communities_spread(spark, sf_dir).orderBy("i").toPandas()
+    assert found["i"].tolist() == list(range(1, N + 1))
+    assert dense.modularity(w, found["community"].to_numpy()) >= dense.modularity(w, dense.leading_communities(w, tune=False)) - 1e-9
+
+
+def test_spread_communities_of_odd_graphs(spark, monkeypatch):
+    rows = [("a", "b", 1.0), ("c", "d", 1.0), ("e", "e", 5.0), ("a", "c", None), ("a", "b", 0.5)]
+    found = {r["i"]: r["community"] for r in patterns.spread_communities(spark.createDataFrame(rows, "i string, j string, r double")).collect()}
+    assert set(found) == set("abcde") and found["a"] == found["b"] != found["c"] == found["d"]
+    none = spark.createDataFrame([], "i int, j int, r double")
+    assert patterns.spread_communities(none).count() == 0
+    flat = spark.createDataFrame([(1, 2, 0.0), (2, 3, 0.0)], "i int, j int, r double")
+    assert {r["community"] for r in patterns.spread_communities(flat).collect()} == {1}
+    monkeypatch.setattr(patterns, "SPREAD_NODES", 2)
+    with pytest.raises(ValueError, match="3 nodes"):
+        patterns.spread_communities(flat)
+
+
 def test_coactivation_patterns(spark, sf_dir):
     got = models.coactivation_patterns(spark, sf_dir).collect()
     assert len(got) == 4 and all(len(r["pattern"]) == N for r in got) and all(r["n"] > 0 for r in got)

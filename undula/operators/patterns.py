@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -69,6 +69,121 @@ def communities(matrix: DataFrame, value: str = "r") -> DataFrame:
     return matrix.sparkSession.createDataFrame(pd.DataFrame({"i": names, "community": found}))
 
 
+#: Nodes of a graph whose edges stay in tasks: the driver holds a vector of them for each step of the eigenvector.
+SPREAD_NODES = 1_000_000
+
+
+def spread_communities(matrix: DataFrame, value: str = "r", steps: int = 30, seed: int = 1) -> DataFrame:
+    """(i, community) by spectral modularity, of graphs too large for one machine's matrix.
+
+    matrix: (i, j, value), either or both ways round; null and the diagonal count as 0.
+    Every community of a level is split at once: `steps` Lanczos steps for the leading
+    eigenvector of each, then changes of side while modularity grows. A step is one job,
+    in which tasks multiply their edges by a vector of nodes; no edge leaves its task, and
+    the driver holds vectors of at most SPREAD_NODES nodes, which are counted first. A
+    split is a local optimum of single changes of side, where `communities` also tries
+    sequences of them.
+    """
+    spark = matrix.sparkSession
+    cells = matrix.where(F.col("i") != F.col("j")).select("i", "j", F.col(value).cast("double").alias("w")).where("w <> 0")
+    nodes = matrix.select("i").union(matrix.select("j")).where("i is not null").distinct()
+    if (size := nodes.count()) > SPREAD_NODES:
+        raise ValueError(f"communities of {size} nodes, more than {SPREAD_NODES}")
+    names = nodes.orderBy("i").toPandas()["i"]
+    kind = dict(nodes.dtypes)["i"]
+    if not size:
+        return spark.createDataFrame([], f"i {kind}, community int")
+    named = spark.createDataFrame(pd.DataFrame({"name": names, "p": np.arange(size, dtype=np.int32)}), f"name {kind}, p int")
+    half = cells.join(named.select(F.col("name").alias("i"), F.col("p").alias("a")), "i").join(named.select(F.col("name").alias("j"), F.col("p").alias("b")), "j").select("a", "b", (F.col("w") / 2).alias("w"))
+    both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    edges = written(both.repartitionByRange("a", "b").sortWithinPartitions("a", "b"))
+
+    def products(v: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Edges within groups, times v."""
+        sent = spark.sparkContext.broadcast((v, group))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            v, group = sent.value
+            for batch in batches:
+                a, b, w = (batch.column(c).to_numpy() for c in "abw")
+                inside = group[a] == group[b]
+                at, place = np.unique(a[inside], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.bincount(place, w[inside] * v[b[inside]], len(at)))], names=["a", "y"])
+
+        sums = edges.mapInArrow(run, "a int, y double").groupBy("a").agg(F.sum("y").alias("y")).toPandas()  # one for each node
+        sent.destroy()
+        out = np.zeros(size)
+        out[sums["a"]] = sums["y"]
+        return out
+
+    group, open_ = np.zeros(size, int), np.ones(1, bool)
+    degree = products(np.ones(size), group)
+    total, random = degree.sum(), np.random.default_rng(seed)
+    while total and open_.any():
+        live, count = open_[group], len(open_)
+        per_group = lambda x: np.bincount(group, x, count)
+        level = np.where(live, group, -1 - np.arange(size))  # closed groups have no edges inside
+        rest = products(np.ones(size), level) - degree * per_group(degree * live)[group] / total
+
+        def apply(v: np.ndarray) -> np.ndarray:
+            return np.where(live, products(v, level) - degree * per_group(degree * v)[group] / total - rest * v, 0.0)
+
+        s = np.where(_leading(apply, np.where(live, random.standard_normal(size), 0.0), group, count, steps) >= 0, 1.0, -1.0)
+        s = _tuned(apply, s, np.where(live, -degree * degree / total - rest, 0.0), group, count, random)
+        gained, side = per_group(s * apply(s)), per_group(s > 0)
+        splits = open_ & (gained > 1e-10) & (side > 0) & (side < np.bincount(group, minlength=count))
+        kept, group = np.unique(2 * group + (splits[group] & (s > 0)), return_inverse=True)
+        open_ = splits[kept // 2]
+    return spark.createDataFrame(pd.DataFrame({"i": names, "community": (group + 1).astype(np.int32)}), f"i {kind}, community int")
+
+
+def _leading(apply: Callable[[np.ndarray], np.ndarray], start: np.ndarray, group: np.ndarray, count: int, steps: int) -> np.ndarray:
+    """The eigenvector of the largest eigenvalue of each group's block, by Lanczos steps with full orthogonalisation."""
+    dot = lambda x, y: np.bincount(group, x * y, count)
+    unit = lambda x, n: np.divide(x, n[group], out=np.zeros_like(x), where=n[group] > 0)
+    steps = max(1, min(steps, int(np.bincount(group).max())))
+    q = unit(start, np.sqrt(dot(start, start)))
+    basis, t = [], np.zeros((count, steps, steps))
+    for p in range(steps):
+        basis.append(q)
+        r = apply(q)
+        t[:, p, p] = dot(q, r)
+        scale = np.sqrt(dot(r, r))
+        for _ in range(2):
+            for x in basis:
+                r = r - dot(x, r)[group] * x
+        beta = np.sqrt(dot(r, r))
+        beta = np.where(beta > 1e-9 * scale, beta, 0.0)
+        if p + 1 == steps or not beta.any():
+            break
+        t[:, p, p + 1] = t[:, p + 1, p] = beta
+        q = unit(np.where(beta[group] > 0, r, 0.0), beta)
+    _, vectors = np.linalg.eigh(t)
+    return sum(x * vectors[group, p, -1] for p, x in enumerate(basis))
+
+
+def _tuned(apply: Callable[[np.ndarray], np.ndarray], s: np.ndarray, own: np.ndarray, group: np.ndarray, count: int, random: np.random.Generator) -> np.ndarray:
+    """Sides after changes of side while s'Bs grows in every group: a random share of the nodes that gain, halved while that fails, and at last the best one alone."""
+    y = apply(s)
+    score, share, done = np.bincount(group, s * y, count), np.full(count, 0.5), np.zeros(count, bool)
+    while True:
+        gain = -4 * s * (y - own * s)
+        gains = (gain > 1e-9) & ~done[group]
+        if not gains.any():
+            return s
+        order = np.lexsort((-gain, group))
+        best = np.zeros(len(s), bool)
+        best[order[np.unique(group[order], return_index=True)[1]]] = True
+        alone = share * np.bincount(group, gains, count) < 1
+        moved = gains & (best | (~alone[group] & (random.random(len(s)) < share[group])))
+        new = np.where(moved, -s, s)
+        after = apply(new)
+        better = np.bincount(group, new * after, count) > score
+        s, y = np.where(better[group], new, s), np.where(better[group], after, y)
+        done |= alone & ~better  # rounding: what is left gains nothing
+        score, share = np.bincount(group, s * y, count), np.where(better, 0.5, share / 2)
+
+
 def seed_frames(panel: DataFrame, seeds: list[int], keys: list[str], percent: float = 85, most: int = 200, seed: int = 1) -> DataFrame:
     """(keys, t) of frames whose mean over seed channels is above that percentile of the session; of more than `most`, those with the smallest hashes."""
     signal = panel.where(F.col("channel").isin(*seeds)).groupBy(*keys, "t").agg(F.avg("value").alias("value"))

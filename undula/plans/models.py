@@ -192,6 +192,12 @@ def fc_communities(spark: SparkSession, d: str) -> DataFrame:
     return C.communities(_full_fc(spark, d))
 
 
+@query
+def fc_communities_spread(spark: SparkSession, d: str) -> DataFrame:
+    """L-30, for graphs larger than a machine: edges stay in tasks."""
+    return C.spread_communities(_full_fc(spark, d))
+
+
 @query
 def global_signal_coupling(spark: SparkSession, d: str) -> DataFrame:
     """L-18."""
