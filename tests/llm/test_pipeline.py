@@ -143,3 +143,21 @@ def test_run_on_odd_and_empty_tables(spark, tmp_path):
     whole = lambda i: sum(r["length"] for r in of(i)) == of(i)[0]["doc_tokens"]
     assert whole(4) and whole(None) and len(of(1) + of(2) + of(3)) == 1 and of(1)[0]["doc_tokens"] == 1
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from undula.llm.shared import checkpointed, settled
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString(" ").split() if "shuffle_" in f}
+    before = files()
+    rows = spark.range(20_000).selectExpr("id", "id % 7 AS k")
+    x = checkpointed(rows.repartition(5, "id"))
+    y = settled(lambda first: first.groupBy("k").count())(x)
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert y.count() == 7 and x.count() == 20_000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from undula.llm.shared import ascii_lower, broadcast_if_small, checkpointed, fresh_path, table
+from undula.llm.shared import ascii_lower, broadcast_if_small, checkpointed, fresh_path, table, write_table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Benchmark vocabulary, windows and candidate documents up to so many rows are broadcast; more are joined by shuffles.
@@ -46,7 +46,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, path: str) -> DataFrame:
     vocabulary = checkpointed(vocabulary.unionByName(length))
     placed = docs.select("doc_id", F.posexplode(F.array_append(words(F.col("text")), F.lit(""))).alias("pos", "term"))
     postings = placed.join(broadcast_if_small(vocabulary, BROADCAST_ROWS), "term").select("term_id", "doc_id", "pos")
-    postings.write.parquet(path)
+    write_table(postings, path)
     return docs.sparkSession.read.parquet(path)
 
 
