@@ -192,3 +192,32 @@ def test_p_values(spark, sf_dir):
     assert dense.student_p(2.228138852, 10) == pytest.approx(0.05, abs=1e-8) and (got["p"] == [dense.student_p(t, d) for t, d in zip(got["t"], got["df"])]).all()
     odd = spark.createDataFrame(pd.DataFrame({"t": [1.0, None, 2.0], "df": [0.0, 3.0, 5.0]}))
     assert [r["p"] is None or np.isnan(r["p"]) for r in T.with_p(odd).orderBy("df").collect()] == [True, True, False]
+
+
+def test_forecasts_of_sessions_in_several_blocks(spark, monkeypatch):
+    # a long session is met block by block, and the session without a name counts too
+    monkeypatch.setattr(O, "AHEAD", 70)
+    monkeypatch.setattr(O, "PAST", 300)
+    rng = np.random.default_rng(3)
+    series = {"a": rng.standard_normal((3, 1001)).cumsum(1) / 5, None: rng.standard_normal((3, 46))}
+    rows = [(k, c + 1, t * 7, float(x[c, t])) for k, x in series.items() for c in range(3) for t in range(x.shape[1])]
+    panel = spark.createDataFrame(rows, "session string, channel int, t long, value double")
+    got = O.parameter_scores(panel, ["session"], 3, (0.01, 0.002), (5.0, 20.0)).toPandas()
+    assert len(got) == 8
+    for k, x in series.items():
+        mine = got[got["session"].isna() if k is None else got["session"] == k].set_index(["model", "parameter"])
+        cut = int(np.floor(0.8 * (x.shape[1] - 1) + 0.5))
+        y, z, yt, zt = x[:, :cut], x[:, 1 : cut + 1], x[:, cut:-1], x[:, cut + 1 :]
+        a = (z * y).sum() / (y * y).sum()
+        d2 = ((y[:, :, None] - yt[:, None, :]) ** 2).sum(0)
+        null, sst = ((zt - a * yt) ** 2).sum(1), ((zt - zt.mean(1, keepdims=True)) ** 2).sum(1)
+        plain = {}
+        for h in (5.0, 20.0):
+            w = np.exp(-(d2 - d2.min(0)) / (2 * (np.median(np.sqrt(d2)) * h / 50) ** 2))
+            plain["kernel", h] = a * yt + (z - a * y) @ (w / w.sum(0))
+        for p in (0.01, 0.002):
+            plain["sparse", p] = a * yt + dense.lasso_rows(y @ y.T / cut, (z - a * y) @ y.T / cut, p) @ yt
+        for at, forecast in plain.items():
+            e = ((zt - forecast) ** 2).sum(1)
+            assert mine.loc[at, "r2"] == pytest.approx((1 - e / sst).mean(), abs=1e-8) and mine.loc[at, "loss"] == pytest.approx((e / null).mean(), rel=1e-7)
+    assert not O.parameter_scores(panel.where("false"), ["session"], 3, (0.01,), (5.0,)).count()

@@ -7,14 +7,16 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from undula.functions.columns import safe_corr, wrap_phase
 from undula.functions.dense import band_pass, forward_backward, is_noise, lasso_rows, matched_modes, modes, refit, spline
 from undula.operators.moments import HELD_KEYS, key_rows
-from undula.operators.panel import folds, following
+from undula.operators.ordering import following, numbered
+from undula.operators.panel import folds
+from undula.sources.staging import written
 
 Keys = Sequence[str]
 SAMPLES = "t long, channel int, value double"
@@ -285,43 +287,256 @@ def fold_modes(moments: DataFrame, unit: str, n_channels: int, low: float, high:
     return dealt, found
 
 
-def _of_fold(parameter: float | dict[int, float], rows: pd.DataFrame) -> float:
-    return parameter[int(rows["fold"].iat[0])] if isinstance(parameter, dict) else parameter
+def _of_fold(parameter: float | dict[int, float], row: dict) -> float:
+    return parameter[int(row["fold"])] if isinstance(parameter, dict) else parameter
 
 
-def _smoothed(rest: np.ndarray, d2: np.ndarray, kernel: float) -> np.ndarray:
-    """rest averaged by Gaussian weights of squared distances, their median root times kernel / 50 wide."""
-    width = max(np.median(np.sqrt(d2)) * kernel / 50, 1e-300)
-    w = np.exp(-(d2 - d2.min(0)) / (2 * width * width))
-    return rest @ (w / w.sum(0))
+#: Held-out pairs of a session that a task forecasts, earlier pairs that it compares them with, and how many of the former at a time.
+AHEAD, PAST, AT_A_TIME = 4096, 32_768, 64
+#: Bits of a distance that one pass over all of them settles.
+MEDIAN_BITS = 21
+#: (model, modes, parameter, one-step matrix).
+Step = tuple[str, int, float, np.ndarray]
 
 
-def parameter_curves(panel: DataFrame, keys: Keys, n_channels: int, weights: Sequence[float], widths: Sequence[float]) -> DataFrame:
-    """(keys, model, parameter, r2): how well the sparse model with each weight, and the kernel model with each width, forecasts a session's last fifth.
+def _wide(batch: pa.RecordBatch | pa.Table, name: str, n_channels: int) -> np.ndarray:
+    column = batch.column(name)
+    return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy().reshape(-1, n_channels)
+
+
+def _arrays(rows: list, kind: pa.DataType = pa.float64()) -> pa.Array:
+    return pa.array(rows, pa.list_(kind))
+
 
-    A session is fitted and scored by one task for all parameters: weights from the
-    largest down, each from the solution before, and distances once.
+def _split_pairs(panel: DataFrame, keys: Keys, n_channels: int) -> tuple[DataFrame, DataFrame]:
+    """((_s, n, cut, size, y, x), (_s, keys, cut, size)), both written: frames of a session with the next ones, and its sessions.
+
+    A frame is a t at which any channel has a sample; absent ones are 0, several are
+    averaged. Pairs from position `cut` on are held out. _s names a session, also where a key is null.
     """
+    known = panel.where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
+    cells = known.groupBy(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_s"), *keys, "t").agg(F.collect_list(F.struct(F.col("channel").cast("int").alias("c"), F.col("value").cast("double").alias("v"))).alias("_c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            channel, value = batch.column("c"), batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            at = np.repeat(np.arange(batch.num_rows), np.diff(channel.offsets.to_numpy())), channel.flatten().to_numpy() - 1
+            total, count = np.zeros((batch.num_rows, n_channels)), np.zeros((batch.num_rows, n_channels))
+            np.add.at(total, at, value)
+            np.add.at(count, at, 1.0)
+            names = ["_s", *keys, "t"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), _arrays([*(total / np.maximum(count, 1))])], names=[*names, "y"])
+
+    frames = written(cells.select("_s", *keys, "t", "_c.c", "_c.v").mapInArrow(run, "_s string, " + _schema(panel, [*keys, "t"], "y array<double>")))
+    sizes = frames.groupBy("_s", *keys).agg(F.count("*").alias("size"))
+    cut = F.floor(F.lit(0.8) * (F.col("size") - 1) + 0.5).cast("long")
+    sessions = written(sizes.withColumn("cut", cut).where("cut >= 2 and size - 1 - cut >= 2"))
+    each = following(numbered(frames.select("_s", "t", "y"), ["_s"], "n"), "y", ["_s"], "x").where("x is not null")
+    return written(each.join(sessions.select("_s", "cut", "size"), "_s").select("_s", "n", "cut", "size", "y", "x")), sessions
+
+
+def _fitted_steps(pairs: DataFrame, sessions: DataFrame, keys: Keys, n_channels: int, steps: Callable, widths: Callable) -> DataFrame:
+    """(_s, a, mean, model, n_modes, parameter, steps, widths), written: a session's linear models, from the moments of the pairs before its cut."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, x = (_wide(batch, c, n_channels) for c in "yx")
+            ahead = batch.column("n").to_numpy() >= batch.column("cut").to_numpy()
+            for (s,), of in key_rows(batch, ["_s"]):
+                yt, xt, out = y[of][~ahead[of]], x[of][~ahead[of]], x[of][ahead[of]]
+                yield pa.RecordBatch.from_arrays([pa.array([s]), _arrays([np.concatenate([[len(out)], out.sum(0), (yt.T @ yt).ravel(), (xt.T @ yt).ravel()])])], names=["_s", "sums"])
+
+    names = ["a", "mean", "model", "n_modes", "parameter", "steps", "widths"]
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                v = np.array(row["sums"])
+                yy, xy = v[1 + n_channels :].reshape(2, n_channels, n_channels)
+                a = np.trace(xy) / max(np.trace(yy), 1e-300)
+                found = steps(row, a, yy, xy)
+                columns = [pa.array([row["_s"]]), pa.array([float(a)]), _arrays([v[1 : 1 + n_channels] / v[0]]), _arrays([[m for m, *_ in found]], pa.string()), _arrays([[k for _, k, *_ in found]], pa.int32())]
+                columns += [_arrays([[float(p) for _, _, p, _ in found]]), _arrays([np.concatenate([s.ravel() for *_, s in found])]), _arrays([[float(h) for h in widths(row)]])]
+                yield pa.RecordBatch.from_arrays(columns, names=["_s", *names])
+
+    tasks = _tasks(sessions, F.lit(1))
+    whole = added(pairs.mapInArrow(sums, "_s string, sums array<double>"), ["_s"]).join(sessions, "_s").repartition(tasks, "_s")
+    return written(whole.mapInArrow(fit, "_s string, a double, mean array<double>, model array<string>, n_modes array<int>, parameter array<double>, steps array<double>, widths array<double>"))
+
+
+def _step_errors(pairs: DataFrame, sessions: DataFrame, fits: DataFrame, n_channels: int) -> DataFrame:
+    """(_s, sums): for each channel the held-out squares about its mean, then the squared errors of each model of fits."""
+    block = F.floor((F.col("n") - F.col("cut")) / AHEAD)
+    last = F.floor((F.col("size") - 2 - F.col("cut")) / AHEAD)
+
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+        out = []
+        if rows.num_rows and own.num_rows:
+            y, x = (_wide(rows, c, n_channels) for c in "yx")
+            mean, steps = (own.column(c)[0].values.to_numpy() for c in ("mean", "steps"))
+            out = [np.concatenate([((x - mean) ** 2).sum(0), *(((x - y @ s.T) ** 2).sum(0) for s in steps.reshape(-1, n_channels, n_channels))])]
+        return pa.Table.from_arrays([pa.array([rows.column("_s")[0].as_py()] if out else [], pa.string()), _arrays(out)], names=["_s", "sums"])
+
+    held = pairs.where("n >= cut").select("_s", block.alias("block"), "y", "x")
+    models = fits.join(sessions.select("_s", F.explode(F.sequence(F.lit(0), last)).alias("block")), "_s").select("_s", F.col("block").cast("long").alias("block"), "mean", "steps")
+    return added(held.groupBy("_s", "block").cogroup(models.groupBy("_s", "block")).applyInArrow(run, "_s string, sums array<double>"), ["_s"])
+
+
+def _tasks(sessions: DataFrame, groups: Column) -> int:
+    """As many tasks as the sessions have groups, up to the session's number of shuffle partitions."""
+    return max(1, min(sessions.agg(F.sum(groups)).first()[0] or 1, int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _met(pairs: DataFrame, tasks: int, info: DataFrame, *columns: str) -> DataFrame:
+    """Held-out pairs, with what info (_s, ...) has for their session, in blocks, each once for every slab of earlier pairs, which are there once for every block."""
+    names = ["_s", "block", "slab", "n", *columns]
+    last, slabs = F.floor((F.col("size") - 2 - F.col("cut")) / AHEAD), F.floor((F.col("cut") - 1) / PAST)
+    held = pairs.where("n >= cut").join(info, "_s").withColumn("block", F.floor((F.col("n") - F.col("cut")) / AHEAD)).withColumn("slab", F.explode(F.sequence(F.lit(0), slabs)))
+    past = pairs.where("n < cut").withColumn("slab", F.floor(F.col("n") / PAST)).withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+    known = [c for c in info.columns if c != "_s"]
+    both = held.select(*names, *known, F.lit(True).alias("ahead")).unionByName(past.select(*names, F.lit(False).alias("ahead")), allowMissingColumns=True)
+    return both.repartition(tasks, "_s", "block", "slab")
+
+
+def _squared_distances(y: np.ndarray, yt: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first, distances from every y) of so many rows of yt at a time."""
+    own = (y * y).sum(1)[:, None]
+    for i in range(0, len(yt), AT_A_TIME):
+        part = yt[i : i + AT_A_TIME]
+        yield i, np.maximum(own + (part * part).sum(1)[None] - 2 * y @ part.T, 0)
+
+
+def _middle_distances(pairs: DataFrame, sessions: DataFrame, tasks: int, n_channels: int) -> DataFrame:
+    """(_s, low, high), written: the bits of the two middle squared distances between held-out and earlier frames of a session, the same one if their number is odd.
+
+    Bits of doubles that are not negative have their order. Tasks count distances by their
+    first bits, then those that share the first bits of the middle ones by the next bits,
+    so no distance is kept or sent.
+    """
+    size = 1 << MEDIAN_BITS
+    total = F.col("cut") * (F.col("size") - 1 - F.col("cut"))
+    middle = sessions.select("_s", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.floor((total - 1) / 2).alias("rank")), F.struct(F.lit(1).alias("which"), F.floor(total / 2).alias("rank")))).alias("_r"))
+    ranks = written(middle.select("_s", "_r.which", F.lit(0).cast("long").alias("first"), F.col("_r.rank").cast("long").alias("rank")))
+    for shift in (2 * MEDIAN_BITS, MEDIAN_BITS, 0):
+        firsts = ranks.groupBy("_s").agg(F.collect_set("first").alias("firsts"))
+
+        def count(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by([("ahead", "ascending"), ("n", "ascending")])
+            ahead, y = rows.column("ahead").to_numpy(), _wide(rows, "y", n_channels)
+            keys_, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            if ahead.any() and not ahead.all():
+                found = {first: np.zeros(size, np.int64) for first in rows.column("firsts")[rows.num_rows - 1].as_py()}
+                for _, d2 in _squared_distances(y[~ahead], y[ahead]):
+                    bits = d2.ravel().view(np.int64) >> shift
+                    for first, held in found.items():
+                        held += np.bincount(bits[bits >> MEDIAN_BITS == first] & (size - 1), minlength=size)
+                for first, held in found.items():
+                    keys_.append(np.flatnonzero(held) + (first << MEDIAN_BITS))
+                    counts.append(held[held > 0])
+            keys_, counts = np.concatenate(keys_), np.concatenate(counts)
+            return pa.Table.from_arrays([pa.array([rows.column("_s")[0].as_py()] * len(keys_), pa.string()), pa.array(keys_), pa.array(counts)], names=["_s", "key", "count"])
+
+        counted = _met(pairs, tasks, firsts, "y").groupBy("_s", "block", "slab").applyInArrow(count, "_s string, key long, count long").groupBy("_s", "key").agg(F.sum("count").alias("count"))
+        by = Window.partitionBy("_s", "first").orderBy("key")  # at most 2^MEDIAN_BITS rows
+        placed = counted.withColumn("first", F.shiftright("key", MEDIAN_BITS)).withColumn("before", F.sum("count").over(by) - F.col("count"))
+        met = ranks.join(placed, ["_s", "first"]).where("before <= rank").groupBy("_s", "which").agg(F.max_by(F.struct("key", "before"), "key").alias("_k"))
+        ranks = written(met.join(ranks, ["_s", "which"]).select("_s", "which", F.col("_k.key").alias("first"), (F.col("rank") - F.col("_k.before")).alias("rank")))
+    return written(ranks.groupBy("_s").agg(F.min("first").alias("low"), F.max("first").alias("high")))
+
+
+def _kernel_errors(pairs: DataFrame, sessions: DataFrame, fits: DataFrame, n_channels: int) -> DataFrame:
+    """(_s, sums): for each width of fits and each channel the squared errors of the kernel model.
+
+    Every held-out pair meets every earlier one of its session, in blocks. A slab of the
+    latter gives sums under weights that are 1 at its nearest one; slabs meet there.
+    """
+    size = n_channels + 1
+    tasks = _tasks(sessions, F.ceil((F.col("size") - 1 - F.col("cut")) / AHEAD) * F.ceil(F.col("cut") / PAST))
+    info = written(fits.select("_s", "a", "widths").join(_middle_distances(pairs, sessions, tasks, n_channels), "_s"))
+
+    def weigh(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("ahead", "ascending"), ("n", "ascending")])
+        ahead, (y, x) = rows.column("ahead").to_numpy(), (_wide(rows, c, n_channels) for c in "yx")
+        s, block, slab = (rows.column(c)[0].as_py() for c in ("_s", "block", "slab"))
+        a, widths, low, high = (rows.column(c)[rows.num_rows - 1].as_py() for c in ("a", "widths", "low", "high"))
+        middle, out = np.sqrt(np.array([low, high]).view(float)).mean(), []
+        yt, xt, rest = y[ahead], x[ahead], np.column_stack([x[~ahead] - a * y[~ahead], np.ones(int((~ahead).sum()))])
+        for i, d2 in _squared_distances(y[~ahead], yt):
+            least, sums = d2.min(0), []
+            d2 -= least
+            for h in widths:
+                width = max(middle * h / 50, 1e-300)
+                sums.append((rest.T @ np.exp(-d2 / (2 * width * width))).ravel())
+            truth = (xt[i : i + AT_A_TIME] - a * yt[i : i + AT_A_TIME]).ravel() if slab == 0 else np.empty(0)
+            out.append((s, block, i // AT_A_TIME, least, np.concatenate(sums), truth, widths, float(middle)))
+        cast = [pa.string(), pa.int64(), pa.int64(), *[pa.list_(pa.float64())] * 4, pa.float64()]
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(cast)], names=["_s", "block", "piece", "least", "sums", "truth", "widths", "middle"])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        least = np.stack([v.values.to_numpy() for v in rows.column("least")])
+        widths, middle, m = rows.column("widths")[0].as_py(), rows.column("middle")[0].as_py(), least.shape[1]
+        truth = next(v.values.to_numpy() for v in rows.column("truth") if len(v)).reshape(m, n_channels)
+        far, errors = least - least.min(0), []
+        parts = [v.values.to_numpy().reshape(len(widths), size, m) for v in rows.column("sums")]
+        for k, h in enumerate(widths):
+            width = max(middle * h / 50, 1e-300)
+            whole = sum(p[k] * np.exp(-f / (2 * width * width)) for p, f in zip(parts, far))
+            errors.append(((truth - (whole[:-1] / whole[-1]).T) ** 2).sum(0))
+        return pa.Table.from_arrays([pa.array([rows.column("_s")[0].as_py()]), _arrays([np.concatenate(errors)])], names=["_s", "sums"])
+
+    weighed = _met(pairs, tasks, info, "y", "x").groupBy("_s", "block", "slab").applyInArrow(weigh, "_s string, block long, piece long, least array<double>, sums array<double>, truth array<double>, widths array<double>, middle double")
+    return added(weighed.groupBy("_s", "block", "piece").applyInArrow(meet, "_s string, sums array<double>"), ["_s"])
+
+
+def _scored(panel: DataFrame, keys: Keys, n_channels: int, steps: Callable[[dict, float, np.ndarray, np.ndarray], list[Step]], widths: Callable[[dict], Sequence[float]], with_kernel: bool, beside_null: bool = True) -> DataFrame:
+    """(keys, model, n_modes, parameter, r2, loss): forecasts of a session's last fifth, fitted on what is before.
+
+    steps: from a row of keys, the null coefficient a and the moments yy and xy, the linear
+    models, the first one the null; widths: those of the kernel model. Sessions of any
+    length: pairs are summed and compared in blocks. beside_null: channels that the null
+    model forecasts without error are left out.
+    """
+    pairs, sessions = _split_pairs(panel, keys, n_channels)
+    fits = _fitted_steps(pairs, sessions, keys, n_channels, steps, widths)
+    linear = _step_errors(pairs, sessions, fits, n_channels)
+    whole = fits.select("_s", "model", "n_modes", "parameter", "widths").join(linear, "_s").join(sessions.select("_s", *keys), "_s")
+    kernel = _kernel_errors(pairs, sessions, fits, n_channels).withColumnRenamed("sums", "kernel") if with_kernel else None
+    whole = whole.join(kernel, "_s") if with_kernel else whole.withColumn("kernel", F.array().cast("array<double>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                sst, *errors = np.array(row["sums"] + row["kernel"]).reshape(-1, n_channels)
+                ok = (sst > 0) & (errors[0] > 0) if beside_null else sst > 0
+                r2 = [float((1 - e[ok] / sst[ok]).mean()) if ok.any() else 0.0 for e in errors]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    loss = [float((e[ok] / errors[0][ok]).mean()) if ok.any() else 0.0 for e in errors]
+                k = len(row["widths"]) if with_kernel else 0
+                names, n, p = row["model"] + ["kernel"] * k, row["n_modes"] + [0] * k, row["parameter"] + row["widths"][:k]
+                yield pa.RecordBatch.from_arrays([*(pa.array([row[c]] * len(n), batch.column(c).type) for c in keys), pa.array(names), pa.array(n, pa.int32()), pa.array(p), pa.array(r2), pa.array(loss)], names=[*keys, "model", "n_modes", "parameter", "r2", "loss"])
+
+    return whole.mapInArrow(run, _schema(panel, keys, "model string, n_modes int, parameter double, r2 double, loss double"))
+
+
+def _sparse_steps(a: float, yy: np.ndarray, xy: np.ndarray, cut: int, weights: Sequence[float]) -> list[Step]:
+    """The null model plus lasso of its residual, row by row, from the largest weight down, each from the solution before."""
+    theta, out = None, []
+    for weight in sorted(weights, reverse=True):
+        theta = lasso_rows(yy / cut, (xy - a * yy) / cut, weight, theta)
+        out.append(("sparse", 0, weight, a * np.eye(len(yy)) + theta))
+    return out
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        channels, times, values = _matrix(rows)
-        full = np.zeros((n_channels, len(times)))
-        full[channels - 1] = values
-        cut, out = int(np.floor(0.8 * (len(times) - 1) + 0.5)), []
-        y, x, yt, xt = full[:, :cut], full[:, 1 : cut + 1], full[:, cut:-1], full[:, cut + 1 :]
-        if cut >= 2 and xt.shape[1] >= 2:
-            a = (x * y).sum() / max((y * y).sum(), 1e-300)
-            rest, sst = x - a * y, ((xt - xt.mean(1, keepdims=True)) ** 2).sum(1)
-            score = lambda forecast: float((1 - ((xt - forecast) ** 2).sum(1)[sst > 0] / sst[sst > 0]).mean()) if (sst > 0).any() else 0.0
-            theta = None
-            for weight in sorted(weights, reverse=True):
-                theta = lasso_rows(y @ y.T / cut, rest @ y.T / cut, weight, theta)
-                out.append(("sparse", float(weight), score((a * np.eye(n_channels) + theta) @ yt)))
-            d2 = np.maximum((y * y).sum(0)[:, None] + (yt * yt).sum(0)[None] - 2 * y.T @ yt, 0)
-            out += [("kernel", float(h), score(a * yt + _smoothed(rest, d2, h))) for h in widths]
-        return pd.DataFrame(out, columns=["model", "parameter", "r2"]).assign(**{k: rows[k].iat[0] for k in keys})[[*keys, "model", "parameter", "r2"]]
-
-    return panel.groupBy(*keys).applyInPandas(run, _schema(panel, keys, "model string, parameter double, r2 double"))
+
+def parameter_scores(panel: DataFrame, keys: Keys, n_channels: int, weights: Sequence[float], widths: Sequence[float], beside_null: bool = True) -> DataFrame:
+    """(keys, model, parameter, r2, loss) of the sparse model with each weight, and the kernel model with each width."""
+    steps = lambda row, a, yy, xy: [("null", 0, 0.0, a * np.eye(n_channels)), *_sparse_steps(a, yy, xy, row["cut"], weights)]
+    each = _scored(panel, keys, n_channels, steps, lambda row: widths, bool(widths), beside_null)
+    return each.where("model <> 'null'").select(*keys, "model", "parameter", "r2", "loss")
+
+
+def parameter_curves(panel: DataFrame, keys: Keys, n_channels: int, weights: Sequence[float], widths: Sequence[float]) -> DataFrame:
+    """(keys, model, parameter, r2): how well the sparse model with each weight, and the kernel model with each width, forecasts a session's last fifth."""
+    return parameter_scores(panel, keys, n_channels, weights, widths, beside_null=False).select(*keys, "model", "parameter", "r2")
 
 
 def chosen_parameters(curves: DataFrame, dealt: DataFrame, unit: str, first: dict[str, int] | None = None, fineness: int = 1000) -> dict[str, dict[int, float]]:
@@ -363,46 +578,27 @@ def mode_matches(spark, folds_: dict[int, np.ndarray], first: np.ndarray, most:
 def forecasts(panel: DataFrame, keys: Keys, vectors: np.ndarray | dict[int, np.ndarray], n_channels: int, pairs: Sequence[int], sparse: float | dict[int, float] | None = None, kernel: float | dict[int, float] | None = None) -> DataFrame:
     """(keys, model, n_modes, r2, loss): one-step forecasts of a session's last fifth, fitted on what is before.
 
-    vectors, sparse, kernel: the modes and parameters, or those of each `fold`, which then is one of the keys. A session
-    is forecast by one task, which needs its samples together; sessions are of bounded
-    length. model: modes (with each number of conjugate pairs), null (one coefficient),
+    vectors, sparse, kernel: the modes and parameters, or those of each `fold`, which then is one of the keys. Sessions
+    may be of any length (`_scored`). model: modes (with each number of conjugate pairs), null (one coefficient),
     persistence, sparse (null plus row-wise lasso of its residual) where a weight is
     given, and kernel (null plus the residual averaged by Gaussian weights of the
     distance, the median distance times kernel / 50 wide) where a width is given. r2: mean over channels of 1 - SSE / SST about the held-out mean. loss: mean
     of SSE over the null model's.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        channels, times, values = _matrix(rows)
-        full = np.zeros((n_channels, len(times)))
-        full[channels - 1] = values
-        cut = int(np.floor(0.8 * (len(times) - 1) + 0.5))
-        y, x, yt, xt = full[:, :cut], full[:, 1 : cut + 1], full[:, cut:-1], full[:, cut + 1 :]
-        if cut < 2 or xt.shape[1] < 2:
-            return pd.DataFrame(columns=[*keys, "model", "n_modes", "r2", "loss"])
-        a = (x * y).sum() / max((y * y).sum(), 1e-300)
-        sst = ((xt - xt.mean(1, keepdims=True)) ** 2).sum(1)
-        sse = {("null", 0): ((xt - a * yt) ** 2).sum(1), ("persistence", 0): ((xt - yt) ** 2).sum(1)}
+    def steps(row: dict, a: float, yy: np.ndarray, xy: np.ndarray) -> list[Step]:
+        out: list[Step] = [("null", 0, 0.0, a * np.eye(n_channels)), ("persistence", 0, 0.0, np.eye(n_channels))]
+        own = vectors.get(row.get("fold")) if isinstance(vectors, dict) else vectors
         for k in pairs:
-            own = vectors.get(int(rows["fold"].iat[0])) if isinstance(vectors, dict) else vectors
             if own is None or own.shape[1] < 2 * k:
                 continue
             u = own[:, : 2 * k]
-            d, v = refit(u, y @ y.T, x @ y.T), np.linalg.pinv(u)
-            step = (d[0] * (np.eye(n_channels) - u @ v) + u @ np.diag(d[1:]) @ v).real
-            sse["modes", k] = ((xt - step @ yt) ** 2).sum(1)
-        if sparse is not None:
-            rest, g = x - a * y, y @ y.T / cut
-            theta = lasso_rows(g, rest @ y.T / cut, _of_fold(sparse, rows))
-            sse["sparse", 0] = ((xt - (a * np.eye(n_channels) + theta) @ yt) ** 2).sum(1)
-        if kernel is not None:
-            rest, d2 = x - a * y, np.maximum((y * y).sum(0)[:, None] + (yt * yt).sum(0)[None] - 2 * y.T @ yt, 0)
-            sse["kernel", 0] = ((xt - a * yt - _smoothed(rest, d2, _of_fold(kernel, rows))) ** 2).sum(1)
-        ok = (sst > 0) & (sse["null", 0] > 0)
-        out = [(m, k, float((1 - e[ok] / sst[ok]).mean()) if ok.any() else 0.0, float((e[ok] / sse["null", 0][ok]).mean()) if ok.any() else 0.0) for (m, k), e in sse.items()]
-        return pd.DataFrame(out, columns=["model", "n_modes", "r2", "loss"]).assign(**{k: rows[k].iat[0] for k in keys})[[*keys, "model", "n_modes", "r2", "loss"]]
-
-    return panel.groupBy(*keys).applyInPandas(run, _schema(panel, keys, "model string, n_modes int, r2 double, loss double"))
+            d, v = refit(u, yy, xy), np.linalg.pinv(u)
+            out.append(("modes", k, 0.0, (d[0] * (np.eye(n_channels) - u @ v) + u @ np.diag(d[1:]) @ v).real))
+        return out if sparse is None else out + _sparse_steps(a, yy, xy, row["cut"], [_of_fold(sparse, row)])
+
+    widths = lambda row: [] if kernel is None else [_of_fold(kernel, row)]
+    return _scored(panel, keys, n_channels, steps, widths, kernel is not None).select(*keys, "model", "n_modes", "r2", "loss")
 
 
 def reconstructed(modes_: DataFrame, frames: int, steps_per_frame: float = 1.0, unit: bool = False, keys: Keys = ()) -> DataFrame:
