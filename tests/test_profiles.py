@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from undula.functions import dense
-from undula.operators import modes, patterns, series
+from undula.operators import modes, ordering, patterns, series
 from undula.plans import models, profiles
 from undula.sources.tables import hourly_panel
 
@@ -217,6 +217,25 @@ def test_framed_covariance_of_missing_samples(spark):
     assert series.framed_covariance(spark.createDataFrame([], "channel int, t int, value double"), 2).count() == 0
 
 
+def test_framed_covariance_across_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "TIME_CHUNK", 16)
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((3, 70)) < 0.1, np.nan, rng.standard_normal((3, 70)))
+    rows = [(s, f"c{c}", 10 * t, float(v)) for s in (0, 1) for c in range(3) for t, v in enumerate(x[c] * (s + 1))]
+    got = series.framed_covariance(spark.createDataFrame(rows, "s int, channel string, t int, value double"), 3, ["s"]).toPandas().set_index(["s", "i", "j", "lag"])["value"]
+    want = {(s, f"c{i}", f"c{j}", k): (s + 1) ** 2 * np.nanmean(x[i, max(0, -k) : 70 - max(0, k)] * x[j, max(0, k) : 70 - max(0, -k)]) for s in (0, 1) for i in range(3) for j in range(i + 1, 3) for k in range(-3, 4)}
+    assert len(got) == len(want) and all(np.isclose(got[k], v) for k, v in want.items())
+
+
+def test_framed_covariance_makes_no_row_for_each_lag(spark, capsys):
+    panel = spark.range(3000).select((F.col("id") % 3).alias("channel"), F.floor(F.col("id") / 3).alias("t"), F.rand(1).alias("value"))
+    plans = []
+    for lags in (1, 6):
+        series.framed_covariance(panel, lags).explain()
+        plans.append(capsys.readouterr().out)
+    assert all("Union" not in p and "sequence(" not in p and p.count("Generate explode") == 1 for p in plans)  # frames are copied to tiles, samples to no lags
+
+
 def test_mode_lag_agreement(spark, sf_dir, by_label):
     each = []
     for x in by_label.values():

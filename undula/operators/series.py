@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from undula.functions.columns import safe_corr
-from undula.operators.moments import channel_pairs, pair_sums
+from undula.operators.moments import channel_pairs
 from undula.operators.ordering import at_positions, beside, joined, numbered, sign_runs, tiled, value_ranks
 from undula.operators.panel import demeaned
 from undula.sources.staging import written
@@ -69,18 +71,34 @@ def framed_covariance(panel: DataFrame, lags: int, keys: Keys = ()) -> DataFrame
     """(keys, i, j, lag, value) for i < j as lagged_covariance, for panels of many channels; demean first.
 
     Lags count the frames of a session, a frame being a t at which any channel has a
-    sample, and a mean is over the frames at which both samples are known. Samples are
-    shuffled once for each lag from 0 on, and tasks sum matrix products of whole frames;
-    no row for each pair and frame is made. A negative lag is the positive one of the
-    pair turned round.
+    sample, and a mean is over the frames at which both samples are known. Frames are
+    rows with arrays of their samples, dealt once to tiles that also have the frames
+    their lags reach; a task sums matrix products of one tile at a time, and neither a
+    row for each lag of a sample nor one for each pair and frame is made. A negative lag
+    is the positive one of the pair turned round.
     """
-    cells = written(panel.groupBy(*keys, "t").agg(F.collect_list(F.struct("channel", F.col("value").cast("double").alias("value"))).alias("_c")))
-    each = numbered(cells, keys, "_n").select(*keys, "_n", F.explode("_c").alias("_s")).select(*keys, "_n", "_s.channel", "_s.value")
-    moved = each.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags))))
-    now = moved.select(*keys, "lag", "channel", F.col("_n").alias("t"), F.col("value").alias("left"), F.lit(None).cast("double").alias("right"))
-    later = moved.select(*keys, "lag", "channel", (F.col("_n") - F.col("lag")).alias("t"), F.lit(None).cast("double").alias("left"), F.col("value").alias("right")).where("t >= 0")
-    sides = now.unionByName(later).groupBy(*keys, "lag", "channel", "t").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    sums = pair_sums(sides, "left", "right", [*keys, "lag"]).where("i <> j")
+    kinds = dict(panel.dtypes)
+    cells = written(panel.groupBy(*keys, "t").agg(F.collect_list(F.struct("channel", F.col("value").cast("double").alias("value"))).alias("_c")).select(*keys, "t", "_c.channel", "_c.value"))
+    tiles = tiled(numbered(cells, keys, "_n"), after=lags, n="_n").where("_tile >= 0").select(*keys, "_tile", "_n", "_own", "channel", "value")
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = pa.Table.from_batches(batches).combine_chunks()
+        n, own = tile.column("_n").to_numpy(), pc.sum(tile.column("_own")).as_py()
+        channel, value = (tile.column(c).combine_chunks() for c in ("channel", "value"))
+        coded = channel.flatten().dictionary_encode()
+        wide = np.full((len(n), len(coded.dictionary)), np.nan)
+        np.fmax.at(wide, (np.repeat(n - n.min(), np.diff(channel.offsets.to_numpy())), coded.indices.to_numpy()), value.flatten().to_numpy(zero_copy_only=False))
+        known, wide = (~np.isnan(wide)).astype(float), np.nan_to_num(wide)
+        for lag in range(min(lags, len(n) - 1) + 1):
+            at = slice(0, min(own, len(n) - lag)), slice(lag, min(own + lag, len(n)))
+            count, total = (x[at[0]].T @ x[at[1]] for x in (known, wide))
+            np.fill_diagonal(count, 0)
+            i, j = np.nonzero(count)
+            same = [pa.repeat(k, len(i)) for k in (*key[: len(keys)], pa.scalar(lag, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*same, *(coded.dictionary.take(pa.array(x)) for x in (i, j)), pa.array(count[i, j]), pa.array(total[i, j])], names=[*keys, "lag", "i", "j", "n", "lr"])
+
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["lag int", *(f"{c} {kinds['channel']}" for c in "ij"), "n double", "lr double"])
+    sums = tiles.groupBy(*keys, "_tile").applyInArrow(run, schema).groupBy(*keys, "lag", "i", "j").agg(F.sum("n").alias("n"), F.sum("lr").alias("lr"))
     ahead = F.col("i") < F.col("j")
     turned = sums.where(ahead | (F.col("lag") > 0))
     first, second = F.when(ahead, F.col("i")).otherwise(F.col("j")), F.when(ahead, F.col("j")).otherwise(F.col("i"))
