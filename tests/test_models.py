@@ -232,3 +232,11 @@ def test_periods_and_cleaning(spark, sf_dir, series, group):
     want = x.T - a @ np.linalg.lstsq(a, x.T, rcond=None)[0]
     clean = models.nuisance_cleaned(spark, sf_dir).where("label = 2").toPandas().pivot(index="channel", columns="t", values="value").to_numpy()
     assert np.allclose(clean, want.T, atol=1e-8)
+
+
+def test_labelled_panel_sorts_no_samples(spark, sf_dir, capsys):
+    panel = models.labelled_panel(spark, sf_dir)
+    panel.explain()
+    assert "Join" not in capsys.readouterr().out  # labels stand beside the vectors
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    assert {tuple(r) for r in panel.collect()} == {(r["label"], i + 1, r["vec_id"], float(x)) for r in vectors for i, x in enumerate(r["embedding"])}
