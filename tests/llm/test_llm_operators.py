@@ -433,6 +433,53 @@ def test_near_duplicates_in_hot_groups_equal_brute_force(spark, monkeypatch):
     assert got == plain_components(sorted(sets), alike)
 
 
+def test_texts_that_share_a_passage_by_chance_send_no_sets(spark, monkeypatch):
+    """Sets are made of pairs that may be similar, not of all that share a shingle, whose number grows with the square of the texts."""
+    monkeypatch.setattr(near_dups, "SAMPLED", 1)  # as in many texts: the sample doesn't show what two of them share
+    rng = np.random.default_rng(10)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 8)) for _ in range(n)]
+    rows = []
+    for i in range(30):
+        passage = words(12)
+        rows += [(2 * i, words(44) + passage + words(44)), (2 * i + 1, words(44) + passage + words(44))]
+    sent, real = [], near_dups.shingle_sets
+    monkeypatch.setattr(near_dups, "shingle_sets", lambda docs, shingle, kept: sent.append(docs.count() if list(kept) == ["node"] else 0) or real(docs, shingle, kept))
+    found = near_dups.near_duplicates(docs(spark, [(d, " ".join(w)) for d, w in rows])).collect()
+    assert all(r["doc_id"] == r["component_id"] for r in found) and len(found) == 60 and sum(sent) < 10
+
+
+def test_near_duplicates_of_short_texts_in_portions_equal_brute_force(spark, monkeypatch):
+    """Sets of few shingles, which share fewer than SHARED, and pairs that are compared a few at a time."""
+    monkeypatch.setattr(near_dups, "PORTION", 0.2)
+    # no links by fingerprints: all are found by prefixes
+    monkeypatch.setattr(near_dups, "near_links", lambda nodes, *_, **__: nodes.selectExpr("node AS a", "node AS b").where("false"))
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 4)) for _ in range(400)]
+    words, rows = lambda n: list(rng.choice(vocabulary, n)), []
+    for k in range(120):
+        base = words(int(rng.integers(4, 40)))
+        rows += [(10 * k, base), (10 * k + 1, base + words(1)), (10 * k + 2, base[1:]), (10 * k + 3, base[: len(base) // 2] + words(1) + base[len(base) // 2 :])]
+    compared, real = [], near_dups._compared_pairs
+    monkeypatch.setattr(near_dups, "_compared_pairs", lambda *a: compared.append(1) or real(*a))
+    sets, text = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in rows}, dict(rows)
+    alike = lambda a, b: text[a] == text[b] or bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs(spark, [(d, " ".join(w)) for d, w in rows])).collect()}
+    assert got == plain_components(sorted(sets), alike) and len(set(got.values())) < 400 and len(compared) > 2
+
+
+def test_sketches_tell_no_more_than_sets_differ():
+    rng = np.random.default_rng(12)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, n).astype(np.uint64))
+    for n in (1, 2, 7, 63, 64, 65, 500, 3000):
+        x = draw(n)
+        for y in (x, x[: n // 2 + 1], np.union1d(x[n // 5 :], draw(n // 4 + 1)), draw(n), draw(2 * n)):
+            least = near_dups.sketch_distance(near_dups.sketch_of(x), near_dups.sketch_of(y))
+            assert least <= len(np.setxor1d(x, y))
+        other = draw(n)
+        if n > 50:  # unrelated sets are told apart by far
+            assert near_dups.sketch_distance(near_dups.sketch_of(x), near_dups.sketch_of(other)) > (len(x) + len(other)) / 9
+
+
 def test_sparse_sites_shrink_most(spark):
     rows = [("big", "a", 0.9)] * 200 + [("small", "b", 0.9)] + [("good", "c", 0.05)] * 400
     got = {r["_host"]: r for r in quality.site_priors(spark.createDataFrame(rows, "_host string, _path string, bad double")).collect()}
